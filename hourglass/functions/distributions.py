@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # --- fixed values: Acklam's coefficients for the inverse normal CDF ---
 _A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
@@ -196,7 +197,7 @@ def t_two_sided_p(t: float, df: float) -> float:
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue_udf(t: pd.Series, df: pd.Series, alternative: pd.Series) -> pd.Series:
     """p-value of a t statistic; alternative is two-sided, less or greater."""
     out = []
