@@ -1 +1,96 @@
-"""Queries registered later."""
+"""Statistical-test queries (H family)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.distributions import norm_ppf_sql
+from ..operators import hypothesis as hyp
+from ..sources.readers import read_table
+from .catalog import register
+from .fixtures import LINEITEM_NUMERIC, clean_events
+from .queries_profile import CLEAN_EVENTS_SQL
+
+_EFFECT_SQL = CLEAN_EVENTS_SQL + """,
+m AS (SELECT event_type,
+             count(value) FILTER (WHERE is_rush_hour = 0) AS n_a, count(value) FILTER (WHERE is_rush_hour = 1) AS n_b,
+             avg(value) FILTER (WHERE is_rush_hour = 0) AS mean_a, avg(value) FILTER (WHERE is_rush_hour = 1) AS mean_b,
+             var_samp(value) FILTER (WHERE is_rush_hour = 0) AS var_a,
+             var_samp(value) FILTER (WHERE is_rush_hour = 1) AS var_b
+      FROM clean GROUP BY event_type)
+SELECT event_type, n_a, n_b, mean_a, mean_b,
+       (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t_stat,
+       power(var_a / n_a + var_b / n_b, 2)
+         / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)) AS dof,
+       (mean_b - mean_a) / sqrt((var_a + var_b) / 2) AS cohens_d,
+       mean_b - mean_a AS diff,
+       mean_b - mean_a - 1.96 * sqrt(var_a / n_a + var_b / n_b) AS ci_lo,
+       mean_b - mean_a + 1.96 * sqrt(var_a / n_a + var_b / n_b) AS ci_hi
+FROM m"""
+
+
+@register("rush_effect", _EFFECT_SQL,
+          floats=["mean_a", "mean_b", "t_stat", "dof", "cohens_d", "diff", "ci_lo", "ci_hi"],
+          ints=["n_a", "n_b"])
+def rush_effect(spark, sf_dir):
+    """H1-H4: rush vs off-peak Welch t, df, Cohen's d and 95 % CI per series."""
+    return hyp.welch_effect(clean_events(spark, sf_dir), "value", "is_rush_hour", ["event_type"])
+
+
+@register("rush_ttest")
+def rush_ttest(spark, sf_dir):
+    """H2: Welch test with its two-sided p-value, effect label, uplift."""
+    return hyp.welch_test(clean_events(spark, sf_dir), "value", "is_rush_hour", ["event_type"])
+
+
+@register("rush_decision")
+def rush_decision(spark, sf_dir):
+    """H5: decision table (metric, result) for the whole table's rush test."""
+    test = hyp.welch_test(clean_events(spark, sf_dir), "value", "is_rush_hour")
+    return hyp.decision_table(test)
+
+
+@register("jarque_bera", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column, n, g1, g2, n / 6.0 * (g1 * g1 + g2 * g2 / 4.0) AS jb,
+       exp(-(n / 6.0 * (g1 * g1 + g2 * g2 / 4.0)) / 2.0) AS p_value,
+       CASE WHEN exp(-(n / 6.0 * (g1 * g1 + g2 * g2 / 4.0)) / 2.0) > 0.05 THEN 1 ELSE 0 END AS normal
+FROM (SELECT count(x) AS n,
+             avg(power(x - mu, 3)) / power(avg(power(x - mu, 2)), 1.5) AS g1,
+             avg(power(x - mu, 4)) / power(avg(power(x - mu, 2)), 2) - 3 AS g2
+      FROM (SELECT {c} AS x, avg({c}) OVER () AS mu FROM lineitem WHERE {c} IS NOT NULL))"""
+    for c in LINEITEM_NUMERIC), floats=["g1", "g2", "jb", "p_value"], ints=["n", "normal"])
+def jarque_bera(spark, sf_dir):
+    """H6 companion on whole columns: Jarque-Bera from one moments pass."""
+    return hyp.jarque_bera(read_table(spark, sf_dir, "lineitem"), list(LINEITEM_NUMERIC))
+
+
+@register("shapiro_lineitem")
+def shapiro_lineitem(spark, sf_dir):
+    """H6: Shapiro-Wilk on a deterministic 500-row hash sample per column."""
+    return hyp.shapiro_test(read_table(spark, sf_dir, "lineitem"), list(LINEITEM_NUMERIC))
+
+
+_QQ_V = ("CASE WHEN i = n THEN power(0.5, 1.0 / n) WHEN i = 1 THEN 1.0 - power(0.5, 1.0 / n) "
+         "ELSE (i - 0.3175) / (n + 0.365) END")
+
+
+@register("qq_points", f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY c_acctbal) AS i, c_acctbal AS osr, count(*) OVER () AS n
+           FROM customer WHERE c_acctbal IS NOT NULL),
+v AS (SELECT i, osr, {_QQ_V} AS p FROM r)
+SELECT i, osr, {norm_ppf_sql('p')} AS osm FROM v""", floats=["osr", "osm"], ints=["i"])
+def qq_points(spark, sf_dir):
+    """H7: probability-plot points with distributed ranking (no single-task sort)."""
+    return hyp.qq_points(read_table(spark, sf_dir, "customer"), "c_acctbal")
+
+
+@register("qq_fit", f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY c_acctbal) AS i, c_acctbal AS osr, count(*) OVER () AS n
+           FROM customer WHERE c_acctbal IS NOT NULL),
+v AS (SELECT i, osr, {_QQ_V} AS p FROM r),
+q AS (SELECT osr, {norm_ppf_sql('p')} AS osm FROM v)
+SELECT regr_slope(osr, osm) AS slope, regr_intercept(osr, osm) AS intercept, corr(osr, osm) AS r FROM q""",
+          floats=["slope", "intercept", "r"])
+def qq_fit(spark, sf_dir):
+    """H7 line through the probability plot."""
+    return hyp.qq_fit(hyp.qq_points(read_table(spark, sf_dir, "customer"), "c_acctbal"))
