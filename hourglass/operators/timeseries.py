@@ -151,8 +151,11 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
     Regresses dy_t on [1, y_{t-1}, dy_{t-1} .. dy_{t-p}] with positional lags
     over each key's non-NULL observations.  With ``autolag="AIC"`` every p in
     0..maxlag is fitted on the common sample t > maxlag and the smallest AIC
-    wins; the chosen p is then refitted on its own full sample.  Each pass is
-    one Gram-matrix aggregation per key; the solves run per key in pandas.
+    wins; the chosen p is then refitted on its own full sample t > p.
+
+    One aggregation per key yields the Gram matrix of the common sample plus
+    the (at most maxlag) earlier rows; every candidate fit and the refit are
+    then tiny solves done per key in ``applyInPandas``.
     """
     keys = list(keys)
     gkeys = keys or ["_series"]
@@ -160,100 +163,85 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
              .filter(F.col("y").isNotNull())
     if not keys:
         base = base.withColumn("_series", F.lit(0))
+    # largest lag any key can use: one scalar from the largest series
+    n_max = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0]
+    key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
+    if n_max is None:
+        return df.sparkSession.createDataFrame([], f"{key_schema}, {_ADF_SCHEMA}, stationary int") \
+            .drop("_series")
+    L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n_max / 100.0) ** 0.25)), n_max // 2 - 2)
+    L = max(int(L), 0)
     kw = Window.partitionBy(*gkeys)
     ow = kw.orderBy("_t")
     base = (base.withColumn("rn", F.row_number().over(ow) - 1)
                 .withColumn("n", F.count(F.lit(1)).over(kw))
                 .withColumn("ybar", F.avg("y").over(kw)))
-    # largest lag any key can use: one scalar from the largest series
-    n_max = base.agg(F.max("n")).first()[0]
-    if n_max is None:
-        return df.sparkSession.createDataFrame([], _ADF_SCHEMA if not keys else
-                                               ", ".join(f"{k} string" for k in keys) + ", " + _ADF_SCHEMA)
-    L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n_max / 100.0) ** 0.25)), n_max // 2 - 2)
-    L = max(int(L), 0)
     klag = F.lit(maxlag) if maxlag is not None else _default_maxlag(F.col("n"))
-    dy = F.col("y") - F.lag("y", 1).over(ow)
-    base = base.withColumn("dy", dy).withColumn("ylag", F.lag("y", 1).over(ow) - F.col("ybar"))
+    base = base.withColumn("dy", F.col("y") - F.lag("y", 1).over(ow)) \
+               .withColumn("ylag", F.lag("y", 1).over(ow) - F.col("ybar"))   # centred level: better conditioning
     base = base.withColumns({f"d{i}": F.lag("dy", i).over(ow) for i in range(1, L + 1)})
-    base = base.withColumn("kmax", klag)
+    base = base.withColumn("kmax", klag).withColumn("one", F.lit(1.0))
     names = ["one", "ylag"] + [f"d{i}" for i in range(1, L + 1)] + ["dy"]
-    base = base.withColumn("one", F.lit(1.0))
-
-    def gram_of(frame, cond):
-        vals = [F.coalesce(F.col(c), F.lit(0.0)) for c in names]
-        aggs = [F.count(F.when(cond, 1)).alias("nobs")]
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                aggs.append(F.sum(F.when(cond, vals[i] * vals[j])).alias(f"g_{i}_{j}"))
-        return frame.groupBy(*gkeys).agg(F.first("kmax").alias("kmax"), F.first("n").alias("n"), *aggs)
-
     m = len(names)
-
-    def matrix(row):
+    vals = [F.coalesce(F.col(c), F.lit(0.0)) for c in names]
+    common = F.col("rn") >= F.col("kmax") + 1
+    edge = (F.col("rn") >= 1) & (F.col("rn") <= F.col("kmax"))
+    aggs = [F.first("kmax").alias("kmax"), F.first("n").alias("n"),
+            F.count(F.when(common, 1)).alias("nobs")]
+    aggs += [F.sum(F.when(common, vals[i] * vals[j])).alias(f"g_{i}_{j}") for i in range(m) for j in range(i, m)]
+    # the rows before the common sample: at most maxlag per key
+    aggs.append(F.collect_list(F.when(edge, F.struct(F.col("rn"), F.array(*vals).alias("z")))).alias("edge"))
+    grams = base.groupBy(*gkeys).agg(*aggs)
+    use_aic = bool(autolag)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
         g = np.zeros((m, m))
         for i in range(m):
             for j in range(i, m):
                 v = row[f"g_{i}_{j}"]
                 g[i, j] = g[j, i] = 0.0 if v is None or pd.isna(v) else float(v)
-        return g
-
-    if autolag:
-        sample1 = gram_of(base, F.col("rn") >= F.col("kmax") + 1)
-
-        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-            row = pdf.iloc[0]
-            g = matrix(row)
-            nobs, kmax = int(row["nobs"]), int(row["kmax"])
+        nobs, kmax = int(row["nobs"]), int(row["kmax"])
+        p, icbest = kmax, float("nan")
+        if use_aic:
             best = None
-            for p in range(0, kmax + 1):
-                idx = list(range(p + 2))
-                ssr = _ssr(g, idx, m - 1)
+            for q in range(0, kmax + 1):
+                ssr = _ssr(g, list(range(q + 2)), m - 1)
                 if ssr is None or nobs <= 0:
                     continue
                 llf = -nobs / 2.0 * (math.log(2 * math.pi) + math.log(ssr / nobs) + 1)
-                aic = -2 * llf + 2 * (p + 2)
+                aic = -2 * llf + 2 * (q + 2)
                 if best is None or aic < best[0]:
-                    best = (aic, p)
-            out = {k: [row[k]] for k in gkeys}
-            out["bestlag"] = [best[1] if best else 0]
-            out["icbest"] = [best[0] if best else float("nan")]
-            return pd.DataFrame(out)
-
-        key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
-        chosen = sample1.groupBy(*gkeys).applyInPandas(pick, f"{key_schema}, bestlag int, icbest double")
-        base2 = base.join(chosen, gkeys)
-    else:
-        base2 = base.withColumn("bestlag", F.col("kmax")).withColumn("icbest", F.lit(None).cast("double"))
-    sample2 = gram_of(base2.withColumn("kmax", F.col("bestlag")), F.col("rn") >= F.col("bestlag") + 1) \
-        .join(base2.groupBy(*gkeys).agg(F.first("icbest").alias("icbest")), gkeys)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        g = matrix(row)
-        nobs, p = int(row["nobs"]), int(row["kmax"])
+                    best = (aic, q)
+            if best is not None:
+                icbest, p = best
+        # refit on t > p: add the edge rows p+1..kmax to the common Gram
+        g2 = g.copy()
+        n2 = nobs
+        for item in (row["edge"] if row["edge"] is not None else []):
+            rn, z = int(item["rn"]), np.asarray(item["z"], dtype=float)
+            if rn >= p + 1:
+                g2 += np.outer(z, z)
+                n2 += 1
         idx = list(range(p + 2))
-        xtx, xty = g[np.ix_(idx, idx)], g[idx, m - 1]
         stat = float("nan")
         try:
-            inv = np.linalg.inv(xtx)
+            inv = np.linalg.inv(g2[np.ix_(idx, idx)])
+            xty = g2[idx, m - 1]
             beta = inv @ xty
-            ssr = float(g[m - 1, m - 1] - beta @ xty)
-            dof = nobs - len(idx)
-            sigma2 = ssr / dof if dof > 0 else float("nan")
-            stat = float(beta[1] / math.sqrt(sigma2 * inv[1, 1]))
+            ssr = float(g2[m - 1, m - 1] - beta @ xty)
+            dof = n2 - len(idx)
+            stat = float(beta[1] / math.sqrt(ssr / dof * inv[1, 1]))
         except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
             pass
-        crit = mackinnon_crit(nobs) if nobs > 0 else {"1%": None, "5%": None, "10%": None}
-        pval = mackinnon_p(stat) if not math.isnan(stat) else float("nan")
+        crit = mackinnon_crit(n2) if n2 > 0 else {"1%": None, "5%": None, "10%": None}
         out = {k: [row[k]] for k in gkeys}
-        out.update({"adf_stat": [stat], "p_value": [pval], "used_lag": [p], "nobs": [nobs],
-                    "crit_1pct": [crit["1%"]], "crit_5pct": [crit["5%"]], "crit_10pct": [crit["10%"]],
-                    "icbest": [row["icbest"]]})
+        out.update({"adf_stat": [stat], "p_value": [mackinnon_p(stat) if not math.isnan(stat) else float("nan")],
+                    "used_lag": [p], "nobs": [n2], "crit_1pct": [crit["1%"]], "crit_5pct": [crit["5%"]],
+                    "crit_10pct": [crit["10%"]], "icbest": [icbest]})
         return pd.DataFrame(out)
 
-    key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
-    res = sample2.groupBy(*gkeys).applyInPandas(fit, f"{key_schema}, {_ADF_SCHEMA}")
+    res = grams.groupBy(*gkeys).applyInPandas(solve, f"{key_schema}, {_ADF_SCHEMA}")
     res = res.withColumn("stationary", (F.col("p_value") < 0.05).cast("int"))
     return res.drop("_series") if not keys else res
 
