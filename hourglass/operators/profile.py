@@ -258,3 +258,14 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     res = quantiles(df, cols, probs, method)
     rows = [(c, float(p), v) for c in cols for p, v in zip(probs, res[c])]
     return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
+def data_dictionary(df: DataFrame, roles: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Column, type, role and description; roles come from ``roles`` or
+    from each field's metadata (``{"role": ..., "description": ...}``)."""
+    roles = roles or {}
+    rows = []
+    for f in df.schema.fields:
+        role, desc = roles.get(f.name, (f.metadata.get("role", "other"), f.metadata.get("description", "")))
+        rows.append((f.name, f.dataType.simpleString(), role, desc))
+    return df.sparkSession.createDataFrame(rows, "column string, dtype string, role string, description string")

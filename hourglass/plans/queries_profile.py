@@ -307,3 +307,52 @@ FROM clean""", floats=["mean_a", "mean_b", "uplift_pct"], ints=["n_a", "n_b"])
 def weekend_uplift(spark, sf_dir):
     """Weekend vs weekday mean (the weekday-uplift claim)."""
     return prof.uplift(clean_events(spark, sf_dir), "weekend", "value")
+
+
+# ----------------------------------------------------------------- head / types / findings
+@register("head_events", CLEAN_EVENTS_SQL + "\nSELECT * FROM clean ORDER BY ts, event_id LIMIT 10",
+          floats=["value"], ints=CLEAN_INTS, times=["ts"])
+def head_events(spark, sf_dir):
+    """The first ten cleaned rows in time order (a top-k, not a scan cap)."""
+    return clean_events(spark, sf_dir).orderBy("ts", "event_id").limit(10)
+
+
+_TYPES = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+          ("value", "double"))
+
+
+@register("type_profile", "WITH " + RAW_EVENTS_SQL + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
+    f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 1) AS null_pct FROM nulled"
+    for c, t in _TYPES), floats=["null_pct"], ints=["nulls"])
+def type_profile(spark, sf_dir):
+    """A2: column types with null counts and shares."""
+    return prof.type_profile(nullify_sentinel(sensor_events(spark, sf_dir), ["value"]))
+
+
+_FINDINGS_SQL = CLEAN_EVENTS_SQL + """,
+a AS (SELECT count(*) AS rows,
+             avg(value) FILTER (WHERE is_rush_hour = 0) AS off, avg(value) FILTER (WHERE is_rush_hour = 1) AS on_,
+             avg(value) FILTER (WHERE weekend = 0) AS wd, avg(value) FILTER (WHERE weekend = 1) AS we,
+             avg(CAST(is_rush_hour AS DOUBLE)) AS rush_share, avg(CAST(high_pollution AS DOUBLE)) AS high_share,
+             var_samp(value) FILTER (WHERE is_rush_hour = 0) AS v_off,
+             var_samp(value) FILTER (WHERE is_rush_hour = 1) AS v_on FROM clean),
+m AS (
+  SELECT 'rows' AS metric, CAST(rows AS DOUBLE) AS value, NULL::DOUBLE AS claim_low, NULL::DOUBLE AS claim_high FROM a
+  UNION ALL SELECT 'columns', 13.0, NULL, NULL FROM a
+  UNION ALL SELECT 'rush_uplift_pct', (on_ - off) / off * 100.0, 30.0, 40.0 FROM a
+  UNION ALL SELECT 'weekday_uplift_pct', (wd - we) / we * 100.0, 20.0, 30.0 FROM a
+  UNION ALL SELECT 'rush_share_pct', rush_share * 100.0, 20.0, 30.0 FROM a
+  UNION ALL SELECT 'high_class_pct', high_share * 100.0, 45.0, 55.0 FROM a
+  UNION ALL SELECT 'cohens_d_rush', (on_ - off) / sqrt((v_off + v_on) / 2), NULL, NULL FROM a)
+SELECT metric, value, claim_low, claim_high,
+       CASE WHEN claim_low IS NULL THEN 'n/a' WHEN value >= claim_low AND value <= claim_high THEN 'held'
+            ELSE 'not held' END AS held
+FROM m"""
+
+
+@register("findings", _FINDINGS_SQL, floats=["value", "claim_low", "claim_high"])
+def findings_q(spark, sf_dir):
+    """Every dashboard claim recomputed from the data, held or not."""
+    from .report import findings
+    return findings(clean_events(spark, sf_dir))

@@ -87,3 +87,25 @@ def test_air_quality_csv(spark, tmp_path):
         raise AssertionError("expected SourceMissing")
     except SourceMissing:
         pass
+
+
+def test_exports_roundtrip(spark, tmp_path):
+    from hourglass.sources.writers import export_findings, export_table, with_partition_columns
+    df = spark.createDataFrame([(dt.datetime(2024, m, 1), float(m)) for m in (1, 2, 2)], "ts timestamp_ntz, v double")
+    out = str(tmp_path / "clean")
+    export_table(with_partition_columns(df, "ts"), out, partition_by=["year", "month"])
+    back = spark.read.parquet(out)
+    assert back.count() == 3 and back.filter("month = 2").count() == 2
+    csv = str(tmp_path / "clean_csv")
+    export_table(df, csv, fmt="csv")
+    assert spark.read.option("header", True).csv(csv).count() == 3
+    fj = str(tmp_path / "findings")
+    export_findings(spark.createDataFrame([("rows", 3.0)], "metric string, value double"), fj)
+    assert spark.read.json(fj).count() == 1
+
+
+def test_data_dictionary(spark):
+    from hourglass.operators.profile import data_dictionary
+    df = spark.createDataFrame([(1.0, 2.0)], "`CO(GT)` double, T double")
+    dd = {r.column: r for r in data_dictionary(df, {"CO(GT)": ("target", "CO, reference analyser")}).collect()}
+    assert dd["CO(GT)"].role == "target" and dd["T"].role == "other" and dd["T"].dtype == "double"
