@@ -85,25 +85,33 @@ def type_profile(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- describe
-def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "select") -> DataFrame:
     """A3: count, mean, std (n-1), min, 25/50/75 %, max per column (long form).
 
-    ``method="exact"`` computes the percentiles inside the same single pass
-    (Spark's exact ``percentile``); ``"approx"`` uses a fixed-size sketch.
+    ``method``: "select" (default) computes count/mean/std/min/max in one
+    pass and the quartiles by bounded-memory exact selection (a few more
+    passes, any table size); "exact" computes everything in one pass with
+    Spark's ``percentile`` (buffer grows with distinct values); "approx" uses
+    a fixed-size sketch in the same single pass.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     probs = [0.25, 0.5, 0.75]
     aggs = []
     for i, c in enumerate(cols):
         x = col_of(c).cast("double")
-        if method == "approx":
-            q = F.percentile_approx(x, probs, 10_000).cast("array<double>")
-        else:
-            q = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
         aggs += [F.count(x).alias(f"c{i}__count"), F.avg(x).alias(f"c{i}__mean"),
                  F.stddev_samp(x).alias(f"c{i}__std"), F.min(x).alias(f"c{i}__min"),
-                 q.alias(f"c{i}__q"), F.max(x).alias(f"c{i}__max")]
-    long = _unpivot(df.agg(*aggs), cols, ["count", "mean", "std", "min", "q", "max"])
+                 F.max(x).alias(f"c{i}__max")]
+        if method == "approx":
+            aggs.append(F.percentile_approx(x, probs, 10_000).cast("array<double>").alias(f"c{i}__q"))
+        elif method == "exact":
+            aggs.append(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias(f"c{i}__q"))
+    one = df.agg(*aggs)
+    if method == "select":
+        qs = quantiles(df, cols, probs, "select")
+        one = one.select("*", *[F.array(*[F.lit(v).cast("double") for v in qs[c]]).alias(f"c{i}__q")
+                                for i, c in enumerate(cols)])
+    long = _unpivot(one, cols, ["count", "mean", "std", "min", "q", "max"])
     return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
                        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
                        F.col("q")[2].alias("q75"), "max")
@@ -187,12 +195,20 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
 
 
 # ---------------------------------------------------------------- box plots
-def boxplot_stats(df: DataFrame, col: str, keys: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers at the furthest points within whis*IQR, flier count."""
+def boxplot_stats(df: DataFrame, col: str, keys: Sequence[str] = (), whis: float = 1.5,
+                  method: str = "exact") -> DataFrame:
+    """Quartiles, whiskers at the furthest points within whis*IQR, flier count.
+
+    ``method="approx"`` takes the per-group quartiles from a fixed-size
+    sketch (for groups with very many distinct values)."""
     x = col_of(col).cast("double")
     data = df.select(*keys, x.alias("x")).filter(F.col("x").isNotNull())
+    if method == "approx":
+        qexpr = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).cast("array<double>")
+    else:
+        qexpr = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     q = data.groupBy(*keys).agg(
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+        qexpr.alias("q"),
         F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
     q = q.select(*keys, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
@@ -269,3 +285,18 @@ def data_dictionary(df: DataFrame, roles: dict[str, tuple[str, str]] | None = No
         role, desc = roles.get(f.name, (f.metadata.get("role", "other"), f.metadata.get("description", "")))
         rows.append((f.name, f.dataType.simpleString(), role, desc))
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, role string, description string")
+
+
+def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50, keys: Sequence[str] = ()) -> DataFrame:
+    """Scatter-plot data as 2-D bin counts over each axis' [min, max]
+    (constant-size output instead of collecting points)."""
+    xv, yv = col_of(x).cast("double"), col_of(y).cast("double")
+    data = df.select(*keys, xv.alias("x"), yv.alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    lim = data.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
+                   F.max("y").alias("y1")).first()
+    if lim["x0"] is None:
+        return df.sparkSession.createDataFrame([], "bin_x int, bin_y int, count bigint")
+    lx, hx, ly, hy = (F.lit(float(lim[k])) for k in ("x0", "x1", "y0", "y1"))
+    return (data.select(*keys, _bin_index(F.col("x"), lx, hx, bins).alias("bin_x"),
+                        _bin_index(F.col("y"), ly, hy, bins).alias("bin_y"))
+                .groupBy(*keys, "bin_x", "bin_y").agg(F.count(F.lit(1)).cast("bigint").alias("count")))

@@ -121,3 +121,23 @@ def vif_uncentered(spark, sf_dir):
 def vif_centered(spark, sf_dir):
     """C11 option: classical (centred) VIF from the inverse correlation matrix."""
     return relate.vif(_lineitem_part(spark, sf_dir), _VIF_COLS, centered=True).orderBy(F.desc("vif"))
+
+
+@register("scatter_bins", """
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+s AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d),
+g AS (SELECT x, y, x0, x1, y0, y1,
+             least(greatest(CAST(floor((x - x0) * (CAST(50 AS DOUBLE) / (x1 - x0))) AS INTEGER), 0), 49) AS gx,
+             least(greatest(CAST(floor((y - y0) * (CAST(50 AS DOUBLE) / (y1 - y0))) AS INTEGER), 0), 49) AS gy
+      FROM d, s),
+b AS (SELECT CASE WHEN x1 = x0 THEN 0 WHEN x < x0 + gx * ((x1 - x0) / CAST(50 AS DOUBLE)) THEN gx - 1
+                  WHEN x >= x0 + (gx + 1) * ((x1 - x0) / CAST(50 AS DOUBLE)) AND gx <> 49 THEN gx + 1 ELSE gx END AS bin_x,
+             CASE WHEN y1 = y0 THEN 0 WHEN y < y0 + gy * ((y1 - y0) / CAST(50 AS DOUBLE)) THEN gy - 1
+                  WHEN y >= y0 + (gy + 1) * ((y1 - y0) / CAST(50 AS DOUBLE)) AND gy <> 49 THEN gy + 1 ELSE gy END AS bin_y
+      FROM g)
+SELECT bin_x, bin_y, count(*) AS count FROM b GROUP BY bin_x, bin_y""", ints=["bin_x", "bin_y", "count"])
+def scatter_bins(spark, sf_dir):
+    """Scatter data as 50 x 50 bin counts (never the raw points)."""
+    from ..operators.profile import scatter_bins as bins2d
+    return bins2d(read_table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 50)
