@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of
 from .clean import numeric_columns
-from .quantiles import quantiles
+from .quantiles import grouped_quantiles, quantiles
 
 
 def _unpivot(one_row: DataFrame, labels: list[str], fields: list[str], key: str = "column") -> DataFrame:
@@ -196,39 +196,48 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
 
 # ---------------------------------------------------------------- box plots
 def boxplot_stats(df: DataFrame, col: str, keys: Sequence[str] = (), whis: float = 1.5,
-                  method: str = "exact") -> DataFrame:
+                  method: str = "select") -> DataFrame:
     """Quartiles, whiskers at the furthest points within whis*IQR, flier count.
 
-    ``method="approx"`` takes the per-group quartiles from a fixed-size
-    sketch (for groups with very many distinct values)."""
+    Quartiles: ``"select"`` (default) is exact with bounded memory, per group
+    too (``grouped_quantiles``), so a group holding a large share of the rows
+    is fine; ``"exact"`` uses Spark's ``percentile``; ``"approx"`` a sketch.
+    Mean, whiskers and fliers then come from one pass joined to the
+    one-row-per-group quartiles."""
+    keys = list(keys)
     x = col_of(col).cast("double")
     data = df.select(*keys, x.alias("x")).filter(F.col("x").isNotNull())
-    if method == "approx":
-        qexpr = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000).cast("array<double>")
+    probs = [0.25, 0.5, 0.75]
+    if not keys:
+        qs = quantiles(data, ["x"], probs, "select" if method == "select" else method)["x"]
+        if qs[0] is None:
+            return df.sparkSession.createDataFrame(
+                [], "n bigint, mean double, q1 double, median double, q3 double, whisker_lo double, "
+                    "whisker_hi double, fliers bigint")
+        q1, med, q3 = qs
+        lo, hi = q1 - whis * (q3 - q1), q3 + whis * (q3 - q1)
+        xc = F.col("x")
+        return data.agg(
+            F.count(F.lit(1)).cast("bigint").alias("n"), F.avg("x").alias("mean"),
+            F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
+            F.min(F.when(xc >= lo, xc)).alias("whisker_lo"), F.max(F.when(xc <= hi, xc)).alias("whisker_hi"),
+            F.count_if((xc < lo) | (xc > hi)).cast("bigint").alias("fliers"))
+    if method == "select":
+        q = grouped_quantiles(data, keys, "x", probs)
     else:
-        qexpr = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    q = data.groupBy(*keys).agg(
-        qexpr.alias("q"),
-        F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*keys, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+        qexpr = (F.percentile_approx("x", probs, 10_000).cast("array<double>") if method == "approx"
+                 else F.percentile("x", F.array(*[F.lit(p) for p in probs])))
+        q = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), qexpr.alias("q"))
+    q = q.select(*keys, F.col("n"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
     q = q.withColumns({"fence_lo": F.col("q1") - whis * (F.col("q3") - F.col("q1")),
                        "fence_hi": F.col("q3") + whis * (F.col("q3") - F.col("q1"))})
-    if keys:
-        joined = data.join(q, list(keys))
-    else:
-        # one global row of stats: carried as literals, no join needed
-        row = q.first()
-        if row is None:
-            return q.select(F.col("n").cast("bigint").alias("n"), "mean", "q1", "median", "q3",
-                            F.col("fence_lo").alias("whisker_lo"), F.col("fence_hi").alias("whisker_hi"),
-                            F.lit(0).cast("bigint").alias("fliers"))
-        joined = data.select("x", *[F.lit(row[c]).alias(c) for c in
-                                    ("n", "mean", "q1", "median", "q3", "fence_lo", "fence_hi")])
-    out = joined.groupBy(*keys, "n", "mean", "q1", "median", "q3", "fence_lo", "fence_hi").agg(
-        F.min(F.when(F.col("x") >= F.col("fence_lo"), F.col("x"))).alias("whisker_lo"),
-        F.max(F.when(F.col("x") <= F.col("fence_hi"), F.col("x"))).alias("whisker_hi"),
-        F.count_if((F.col("x") < F.col("fence_lo")) | (F.col("x") > F.col("fence_hi"))).alias("fliers"))
+    xc = F.col("x")
+    out = data.join(q, keys).groupBy(*keys, "n", "q1", "median", "q3", "fence_lo", "fence_hi").agg(
+        F.avg("x").alias("mean"),
+        F.min(F.when(xc >= F.col("fence_lo"), xc)).alias("whisker_lo"),
+        F.max(F.when(xc <= F.col("fence_hi"), xc)).alias("whisker_hi"),
+        F.count_if((xc < F.col("fence_lo")) | (xc > F.col("fence_hi"))).alias("fliers"))
     return out.select(*keys, F.col("n").cast("bigint").alias("n"), "mean", "q1", "median", "q3",
                       "whisker_lo", "whisker_hi", F.col("fliers").cast("bigint").alias("fliers"))
 

@@ -52,13 +52,30 @@ def medians(df: DataFrame, cols: Sequence[str], method: str = "select") -> dict[
     return {c: v[0] for c, v in quantiles(df, cols, [0.5], method).items()}
 
 
+class _Target:
+    """One wanted order statistic: 0-based ``rel`` rank inside the rows of
+    column ``i`` that lie strictly between ``base_lo`` and ``base_hi``."""
+
+    __slots__ = ("i", "rank", "rel", "base_lo", "base_hi", "n_base", "lo", "hi", "value", "p")
+
+    def __init__(self, i, rank, n):
+        self.i, self.rank, self.rel = i, rank, rank
+        self.base_lo = self.base_hi = None
+        self.n_base, self.lo, self.hi, self.value = n, None, None, None
+        self.p = rank / max(n - 1, 1)
+
+
 def _select_quantiles(df, cols, probs, accuracy):
-    # wanted order statistics (0-based ranks) per column
-    counts = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    wanted: dict[tuple[int, int], float] = {}   # (col index, rank) -> value
+    delta = 3.0 / accuracy
+    probes = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1.0, 1.0)})
+    xs = [col_of(c).cast("double") for c in cols]
+    # pass 1: counts and a sketch around every requested probability
+    row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                 *[F.percentile_approx(x, probes, accuracy).alias(f"a{i}") for i, x in enumerate(xs)]).first()
+    targets: dict[tuple[int, int], _Target] = {}
     plans = {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
         plans[i] = []
         for p in probs:
             if n == 0:
@@ -69,9 +86,12 @@ def _select_quantiles(df, cols, probs, accuracy):
             frac = pos - k
             ranks = [k] if frac == 0 or k + 1 >= n else [k, k + 1]
             plans[i].append((ranks, frac))
+            sketch = row[f"a{i}"]
             for r in ranks:
-                wanted[(i, r)] = None
-    _resolve_ranks(df, cols, {i: counts[f"n{i}"] for i in range(len(cols))}, wanted, accuracy)
+                t = targets.setdefault((i, r), _Target(i, r, n))
+                t.lo = sketch[probes.index(min(1.0, max(0.0, p - delta)))]
+                t.hi = sketch[probes.index(min(1.0, max(0.0, p + delta)))]
+    _resolve(df, xs, list(targets.values()), accuracy)
     out = {}
     for i, c in enumerate(cols):
         vals = []
@@ -80,101 +100,224 @@ def _select_quantiles(df, cols, probs, accuracy):
                 vals.append(None)
                 continue
             ranks, frac = plan
-            lo = wanted[(i, ranks[0])]
-            if len(ranks) == 1:
-                vals.append(lo)
-            else:
-                hi = wanted[(i, ranks[1])]
-                vals.append(lo + (hi - lo) * frac)
+            lo = targets[(i, ranks[0])].value
+            vals.append(lo if len(ranks) == 1 else lo + (targets[(i, ranks[1])].value - lo) * frac)
         out[c] = vals
     return out
 
 
-def _resolve_ranks(df, cols, n_by_col, wanted, accuracy, lower=None, upper=None, depth=0):
-    """Fill ``wanted[(col, rank)]`` with the exact order statistic.
+def _base(x, t: _Target):
+    cond = x.isNotNull()
+    if t.base_lo is not None:
+        cond = cond & (x > F.lit(t.base_lo))
+    if t.base_hi is not None:
+        cond = cond & (x < F.lit(t.base_hi))
+    return cond
 
-    ``lower``/``upper`` restrict every column to a value range already known to
-    hold the ranks (ranks are then relative to the restricted set).
+
+def _resolve(df, xs, targets, accuracy, depth=0):
+    """Pin each target to its exact value.
+
+    The bracket [lo, hi] comes from a sketch whose rank error is at most
+    n/accuracy, so at most about 8n/accuracy values lie strictly inside it.
+    One counting pass splits the base rows into < lo, = lo, (lo, hi), = hi;
+    only the values strictly inside are ever sorted (ties at the ends are
+    counted, never collected), and that in the same pass when the bound
+    guarantees a small bracket.  Wide brackets are narrowed recursively.
     """
-    keys = sorted(wanted)
-    if not keys:
+    pending = [t for t in targets if t.value is None]
+    if not pending:
         return
-    def restricted(i):
-        x = col_of(cols[i])
-        cond = x.isNotNull()
-        if lower is not None and lower.get(i) is not None:
-            cond = cond & (x >= F.lit(lower[i]))
-        if upper is not None and upper.get(i) is not None:
-            cond = cond & (x <= F.lit(upper[i]))
-        return cond
-
-    # 1. sketch brackets for every wanted rank
-    delta = 3.0 / accuracy
+    if depth > 8:
+        raise RuntimeError("quantile selection did not converge")
+    combine = all(t.n_base * 8.0 / accuracy + 8 <= WINDOW_LIMIT for t in pending)
     aggs = []
-    probes = {}
-    for j, (i, r) in enumerate(keys):
-        n = n_by_col[i]
-        p = r / max(n - 1, 1)
-        probes[j] = (max(0.0, p - delta), min(1.0, p + delta))
-    for i in sorted({i for i, _ in keys}):
-        ps = sorted({v for j, (ci, _) in enumerate(keys) if ci == i for v in probes[j]})
-        aggs.append(F.percentile_approx(F.when(restricted(i), col_of(cols[i])), ps, accuracy).alias(f"a{i}"))
-        probes[("ps", i)] = ps
+    for j, t in enumerate(pending):
+        x = xs[t.i]
+        base = _base(x, t)
+        lo, hi = F.lit(t.lo), F.lit(t.hi)
+        inside = base & (x > lo) & (x < hi)
+        aggs += [F.count_if(base & (x < lo)).alias(f"b{j}"), F.count_if(base & (x == lo)).alias(f"l{j}"),
+                 F.count_if(inside).alias(f"m{j}"),
+                 F.count_if(base & (x == hi) & (hi != lo)).alias(f"h{j}")]
+        if combine:
+            aggs.append(F.sort_array(F.collect_list(F.when(inside, x))).alias(f"v{j}"))
     row = df.agg(*aggs).first()
-    brackets = {}
-    for j, (i, r) in enumerate(keys):
-        ps = probes[("ps", i)]
-        vals = row[f"a{i}"]
-        lo = vals[ps.index(probes[j][0])]
-        hi = vals[ps.index(probes[j][1])]
-        brackets[j] = (lo, hi)
-
-    # 2. one counting pass: how many values fall below / inside each bracket
-    aggs = []
-    for j, (i, r) in enumerate(keys):
-        lo, hi = brackets[j]
-        x = col_of(cols[i])
-        base = restricted(i)
-        aggs.append(F.count(F.when(base & (x < F.lit(lo)), 1)).alias(f"b{j}"))
-        aggs.append(F.count(F.when(base & (x >= F.lit(lo)) & (x <= F.lit(hi)), 1)).alias(f"w{j}"))
-    row = df.agg(*aggs).first()
-
-    small, deeper = [], []
-    for j, (i, r) in enumerate(keys):
-        lo, hi = brackets[j]
-        below, inside = row[f"b{j}"], row[f"w{j}"]
-        if below <= r < below + inside:
-            if inside <= WINDOW_LIMIT or lo == hi:
-                small.append((j, i, r, lo, hi, below))
+    collect, deeper = [], []
+    for j, t in enumerate(pending):
+        below, eq_lo, mid, eq_hi = row[f"b{j}"], row[f"l{j}"], row[f"m{j}"], row[f"h{j}"]
+        r = t.rel
+        if r < below or r >= below + eq_lo + mid + eq_hi:
+            # the sketch missed (not expected): re-sketch the same base more finely
+            deeper.append(t)
+        elif r < below + eq_lo:
+            t.value = float(t.lo)
+        elif r < below + eq_lo + mid:
+            if combine:
+                t.value = float(row[f"v{j}"][r - below - eq_lo])
+            elif mid <= WINDOW_LIMIT:
+                collect.append((t, r - below - eq_lo))
             else:
-                deeper.append((j, i, r, lo, hi, below, inside))
+                t.base_lo, t.base_hi, t.rel, t.n_base = t.lo, t.hi, r - below - eq_lo, mid
+                deeper.append(t)
         else:
-            # the sketch missed (never expected): fall back to the full range
-            deeper.append((j, i, r, None, None, 0, n_by_col[i]))
-
-    # 3. values inside small brackets: sort a bounded set per bracket
-    if small:
-        aggs = []
-        for j, i, r, lo, hi, below in small:
-            x = col_of(cols[i])
-            cond = restricted(i) & (x >= F.lit(lo)) & (x <= F.lit(hi))
-            # element rank inside the bracket is r - below (1-based for element_at)
-            aggs.append(F.element_at(F.sort_array(F.collect_list(F.when(cond, x))),
-                                     F.lit(int(r - below + 1))).alias(f"v{j}"))
-        row = df.agg(*aggs).first()
-        for j, i, r, lo, hi, below in small:
-            wanted[(i, r)] = float(row[f"v{j}"])
-
-    # 4. large brackets: recurse on the bracket with relative ranks
-    for j, i, r, lo, hi, below, inside in deeper:
-        if depth >= 6:
-            raise RuntimeError("quantile selection did not converge")
-        sub = {(i, r - below): None}
-        new_lower = dict(lower or {})
-        new_upper = dict(upper or {})
-        if lo is not None:
-            new_lower[i], new_upper[i] = lo, hi
-        sub_n = dict(n_by_col)
-        sub_n[i] = inside
-        _resolve_ranks(df, cols, sub_n, sub, accuracy * 4, new_lower, new_upper, depth + 1)
-        wanted[(i, r)] = sub[(i, r - below)]
+            t.value = float(t.hi)
+    if collect:
+        row = df.agg(*[F.sort_array(F.collect_list(F.when(_base(xs[t.i], t) & (xs[t.i] > F.lit(t.lo))
+                                                          & (xs[t.i] < F.lit(t.hi)), xs[t.i]))).alias(f"v{j}")
+                       for j, (t, _) in enumerate(collect)]).first()
+        for j, (t, k) in enumerate(collect):
+            t.value = float(row[f"v{j}"][k])
+    if deeper:
+        acc = accuracy * 4
+        delta = 3.0 / acc
+        sk = df.agg(*[F.percentile_approx(F.when(_base(xs[t.i], t), xs[t.i]),
+                                          [max(0.0, t.rel / max(t.n_base - 1, 1) - delta),
+                                           min(1.0, t.rel / max(t.n_base - 1, 1) + delta)], acc).alias(f"s{j}")
+                      for j, t in enumerate(deeper)]).first()
+        for j, t in enumerate(deeper):
+            t.lo, t.hi = sk[f"s{j}"]
+        _resolve(df, xs, deeper, acc, depth + 1)
+
+
+BROADCAST_TARGETS = 100_000
+GRID = 1000
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+                      accuracy: int = ACCURACY) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) with bounded memory.
+
+    Pass 1 sketches every group.  Pass 2 joins the one-row-per-group
+    brackets back to the data and, per group, counts the values below / at /
+    strictly inside / at the top of each bracket, collecting the inside
+    values only where the sketch bound guarantees at most ``WINDOW_LIMIT``.
+    Targets still open (groups too large for that, or a sketch miss) are
+    narrowed in further rounds that read only the rows inside their
+    brackets: a fixed 1001-point quantile grid of the bracket, then the same
+    count/collect step.  The table of open targets is broadcast only after
+    its row count is checked.  Returns keys..., n, q (aligned with probs).
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
+    spark = df.sparkSession
+    delta = 3.0 / accuracy
+    probes = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1.0, 1.0)})
+    data = df.select(*keys, col_of(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.percentile_approx("_x", probes, accuracy).alias("_a"))
+    exprs = []
+    for j, p in enumerate(probs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(p)
+        k = F.floor(pos).cast("long")
+        exprs += [k.alias(f"_k{j}"), (pos - k).alias(f"_f{j}"),
+                  F.col("_a")[probes.index(min(1.0, max(0.0, p - delta)))].alias(f"_lo{j}"),
+                  F.col("_a")[probes.index(min(1.0, max(0.0, p + delta)))].alias(f"_hi{j}")]
+    st = st.select(*keys, "_n", *exprs)
+    small = (F.col("_n") * 8.0 / accuracy + 8) <= WINDOW_LIMIT
+    aggs = [F.first("_n").alias("_n")]
+    for j in range(len(probs)):
+        x, lo, hi = F.col("_x"), F.col(f"_lo{j}"), F.col(f"_hi{j}")
+        inside = (x > lo) & (x < hi)
+        aggs += [F.first(f"_k{j}").alias(f"_k{j}"), F.first(f"_f{j}").alias(f"_f{j}"),
+                 F.first(f"_lo{j}").alias(f"_lo{j}"), F.first(f"_hi{j}").alias(f"_hi{j}"),
+                 F.count_if(x < lo).alias(f"_b{j}"), F.count_if(x == lo).alias(f"_e{j}"),
+                 F.count_if(inside).alias(f"_m{j}"), F.count_if((x == hi) & (hi != lo)).alias(f"_t{j}"),
+                 F.sort_array(F.collect_list(F.when(small & inside, x))).alias(f"_v{j}")]
+    counted = data.join(st, keys).groupBy(*keys).agg(*aggs)
+    rows = []
+    for j in range(len(probs)):
+        for w in (0, 1):
+            rows.append(F.struct(
+                F.lit(2 * j + w).alias("_qtid"), (F.col(f"_k{j}") + w).alias("_qrank"), F.col(f"_f{j}").alias("_qfrac"),
+                F.lit(None).cast("double").alias("_qbase_lo"), F.lit(None).cast("double").alias("_qbase_hi"),
+                (F.col(f"_k{j}") + w).alias("_qrel"), F.col(f"_lo{j}").alias("_qlo"), F.col(f"_hi{j}").alias("_qhi"),
+                F.col(f"_b{j}").alias("_qb"), F.col(f"_e{j}").alias("_qe"), F.col(f"_m{j}").alias("_qm"),
+                F.col(f"_t{j}").alias("_qt"), F.col(f"_v{j}").alias("_qv")))
+    long = counted.select(*keys, "_n", F.inline(F.array(*rows)))
+    # a rank past the last row is only the unused upper neighbour of the maximum
+    long = long.filter(F.col("_qrank") < F.col("_n"))
+    long = _settle(long)
+    long = _persist(spark, long)
+    done = long.filter(F.col("_qvalue").isNotNull()).select(*keys, "_n", "_qtid", "_qfrac", "_qvalue")
+    pending = long.filter(F.col("_qvalue").isNull())
+    acc = accuracy
+    for _ in range(10):
+        n_pending = pending.count()
+        if n_pending == 0:
+            break
+        acc *= 4
+        pending = _narrow(data, keys, pending, n_pending, acc)
+        pending = _persist(spark, _settle(pending))
+        done = done.unionByName(pending.filter(F.col("_qvalue").isNotNull())
+                                .select(*keys, "_n", "_qtid", "_qfrac", "_qvalue"))
+        pending = pending.filter(F.col("_qvalue").isNull())
+    else:
+        raise RuntimeError("grouped quantile selection did not converge")
+    out = done.groupBy(*keys).agg(F.first("_n").alias("n"),
+                                  F.map_from_entries(F.collect_list(F.struct("_qtid", "_qvalue"))).alias("_vals"),
+                                  F.map_from_entries(F.collect_list(F.struct("_qtid", "_qfrac"))).alias("_fr"))
+    q = []
+    for j in range(len(probs)):
+        v0, v1 = F.col("_vals")[2 * j], F.col("_vals")[2 * j + 1]
+        fr = F.col("_fr")[2 * j]
+        q.append(F.when(fr == 0, v0).otherwise(v0 + (v1 - v0) * fr))
+    return out.select(*keys, F.col("n").cast("bigint").alias("n"), F.array(*q).alias("q"))
+
+
+def _settle(long: DataFrame) -> DataFrame:
+    """Value of each target from its bracket counts; open targets get the
+    base/rank of the next round."""
+    r, b, e, m, t = (F.col(c) for c in ("_qrel", "_qb", "_qe", "_qm", "_qt"))
+    inside_rank = (r >= b + e) & (r < b + e + m)
+    collected = F.size(F.col("_qv")) == m
+    value = (F.when(r < b, F.lit(None))
+             .when(r < b + e, F.col("_qlo"))
+             .when(inside_rank & collected, F.element_at(F.col("_qv"), (r - b - e + 1).cast("int")))
+             .when(inside_rank, F.lit(None))
+             .when(r < b + e + m + t, F.col("_qhi")))
+    return long.select(
+        "*", value.alias("_qvalue"),
+        F.when(inside_rank, F.col("_qlo")).otherwise(F.col("_qbase_lo")).alias("_qnbase_lo"),
+        F.when(inside_rank, F.col("_qhi")).otherwise(F.col("_qbase_hi")).alias("_qnbase_hi"),
+        F.when(inside_rank, r - b - e).otherwise(r).alias("_qnrel"))
+
+
+def _narrow(data: DataFrame, keys: list[str], pending: DataFrame, n_pending: int, acc: int) -> DataFrame:
+    """One narrowing round for open targets: grid the bracket interior, pick
+    the grid cell holding the rank, then count / collect inside it."""
+    tgt = pending.select(*keys, "_n", "_qtid", "_qrank", "_qfrac", F.col("_qnbase_lo").alias("_qbase_lo"),
+                         F.col("_qnbase_hi").alias("_qbase_hi"), F.col("_qnrel").alias("_qrel"))
+    side = F.broadcast(tgt) if n_pending <= BROADCAST_TARGETS else tgt   # broadcast only when counted small
+    x = F.col("_x")
+    inb = ((F.col("_qbase_lo").isNull() | (x > F.col("_qbase_lo"))) &
+           (F.col("_qbase_hi").isNull() | (x < F.col("_qbase_hi"))))
+    grid = [i / GRID for i in range(GRID + 1)]
+    sk = (data.join(side, keys).filter(inb)
+              .groupBy(*keys, "_qtid").agg(F.count(F.lit(1)).alias("_qnb"),
+                                         F.percentile_approx(x, grid, acc).alias("_qg")))
+    tgt = tgt.join(sk, [*keys, "_qtid"])
+    pos = F.col("_qrel") / F.greatest(F.col("_qnb") - 1, F.lit(1)) * GRID
+    lo_i = F.greatest(F.floor(pos) - 1, F.lit(0)).cast("int")
+    hi_i = F.least(F.ceil(pos) + 1, F.lit(GRID)).cast("int")
+    tgt = tgt.select(*keys, "_n", "_qtid", "_qrank", "_qfrac", "_qbase_lo", "_qbase_hi", "_qrel", "_qnb",
+                     F.col("_qg")[lo_i].alias("_qlo"), F.col("_qg")[hi_i].alias("_qhi"),
+                     (hi_i - lo_i).alias("_qcells"))
+    side = F.broadcast(tgt) if n_pending <= BROADCAST_TARGETS else tgt
+    lo, hi = F.col("_qlo"), F.col("_qhi")
+    inside = inb & (x > lo) & (x < hi)
+    # the grid bound: at most cells/GRID of the base plus the sketch error
+    bound_ok = (F.col("_qnb") * (F.col("_qcells") / GRID + 2.0 / acc) + 8) <= WINDOW_LIMIT
+    cnt = (data.join(side, keys).filter(inb)
+               .groupBy(*keys, "_qtid").agg(
+                   *[F.first(c).alias(c) for c in ("_n", "_qrank", "_qfrac", "_qbase_lo", "_qbase_hi", "_qrel", "_qlo", "_qhi")],
+                   F.count_if(inb & (x < lo)).alias("_qb"), F.count_if(inb & (x == lo)).alias("_qe"),
+                   F.count_if(inside).alias("_qm"), F.count_if(inb & (x == hi) & (hi != lo)).alias("_qt"),
+                   F.sort_array(F.collect_list(F.when(inside & bound_ok, x))).alias("_qv")))
+    return cnt
+
+
+def _persist(spark, df: DataFrame) -> DataFrame:
+    """Cut lineage between rounds (shared checkpoint folder)."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return df.checkpoint(eager=True)
+    return df.cache()

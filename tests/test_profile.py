@@ -92,3 +92,30 @@ def test_value_counts_and_uplift(spark):
     assert vc[0]["count"] == 2 and vc[0].share_pct == 50.0
     u = prof.uplift(df, "f", "v").first()
     assert (u.mean_a, u.mean_b, u.uplift_pct) == (2.0, 5.0, 150.0)
+
+
+@pytest.mark.parametrize("accuracy", [50, 400])
+def test_select_narrowing_paths(spark, monkeypatch, accuracy):
+    """Small sketches + a tiny window force the separate collect pass and the recursion."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=4000), np.full(2000, 1.5), rng.uniform(-3, 3, 1000)])
+    df = _frame(spark, x).repartition(5)
+    monkeypatch.setattr(Q, "WINDOW_LIMIT", 40)
+    probs = [0.01, 0.33, 0.5, 0.77, 0.999]
+    got = Q.quantiles(df, ["x"], probs, "select", accuracy=accuracy)["x"]
+    assert np.allclose(got, np.percentile(x, [p * 100 for p in probs]), rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("limit,accuracy", [(100_000, 10_000), (30, 100)])
+def test_grouped_quantiles_match_numpy(spark, monkeypatch, limit, accuracy):
+    rng = np.random.default_rng(21)
+    hot = np.r_[rng.normal(size=3000), np.full(1500, 2.0)]          # a hot group with a heavy tie
+    pdf = pd.DataFrame({"g": ["hot"] * len(hot) + ["b"] * 400 + ["c"],
+                        "x": np.r_[hot, rng.exponential(size=400), [7.0]]})
+    monkeypatch.setattr(Q, "WINDOW_LIMIT", limit)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    out = {r.g: r for r in Q.grouped_quantiles(spark.createDataFrame(pdf).repartition(4), ["g"], "x", probs,
+                                               accuracy=accuracy).collect()}
+    for g, sub in pdf.groupby("g"):
+        assert out[g].n == len(sub)
+        assert np.allclose(out[g].q, np.percentile(sub.x, [p * 100 for p in probs]), rtol=0, atol=1e-12)
