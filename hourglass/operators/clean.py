@@ -133,7 +133,12 @@ def clean(raw: DataFrame, spec: CleanSpec) -> DataFrame:
     df = add_calendar(df, spec.ts, spec.rush_hours)
     cols = (list(spec.impute_cols) if spec.impute_cols is not None
             else numeric_columns(df, exclude=spec.impute_exclude))
-    df = MedianImputer(cols, spec.quantile_method).fit(df).transform(df)
+    imputer = MedianImputer(cols, spec.quantile_method).fit(df)
+    df = imputer.transform(df)
     if spec.target:
-        df = add_threshold_target(df, spec.target, spec.target_out, method=spec.quantile_method)
+        # filling NULLs with the median leaves the median unchanged (the copies
+        # sit in the middle of the order), so the fitted value is reused
+        known = imputer.medians_.get(spec.target)
+        df = add_threshold_target(df, spec.target, spec.target_out, threshold=known,
+                                  method=spec.quantile_method)
     return df

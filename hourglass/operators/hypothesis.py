@@ -110,15 +110,19 @@ def hash_sample(df: DataFrame, cols: Sequence[str], size: int = 500, seed: int =
         F.struct(F.lit(c).alias("column"), col_of(c).cast("double").alias("x"),
                  F.xxhash64(F.lit(seed), F.lit(c), *row_cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("h"))
         for c in cols]))).filter(F.col("x").isNotNull())
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    one = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    counts = {c: one[f"n{i}"] for i, c in enumerate(cols)}
     frac = {c: min(1.0, 4.0 * size / max(counts.get(c, 0), 1)) for c in cols}
+    spark = df.sparkSession
     while True:
         cond = None
         for c in cols:
             thr = F.lit(int(frac[c] * float(0x7FFFFFFFFFFFFFFF)) if frac[c] < 1.0 else 0x7FFFFFFFFFFFFFFF)
             term = (F.col("column") == c) & (F.col("h") <= thr)
             cond = term if cond is None else cond | term
+        # about 4 x size rows per column survive: materialise them once
         kept = long.filter(cond)
+        kept = kept.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else kept.cache()
         got = {r["column"]: r["n"] for r in kept.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         short = [c for c in cols if got.get(c, 0) < min(size, counts.get(c, 0)) and frac[c] < 1.0]
         if not short:

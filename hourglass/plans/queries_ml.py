@@ -21,16 +21,20 @@ REG_LABEL = "l_extendedprice"
 CLS_LABEL = "high_price"
 
 
-def ml_frame(spark, sf_dir):
-    """lineitem joined to part, calendar features of the ship date and the
-    median-threshold class label (A15)."""
+def _ml_base(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice",
         F.month("l_shipdate").alias("ship_month"), F.weekday("l_shipdate").alias("ship_weekday"),
         (F.weekday("l_shipdate") >= 5).cast("int").alias("ship_weekend"))
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice",
                                                     "p_size")
-    df = li.join(part, "l_partkey")
+    return li.join(part, "l_partkey")
+
+
+def ml_frame(spark, sf_dir):
+    """lineitem joined to part, calendar features of the ship date and the
+    median-threshold class label (A15)."""
+    df = _ml_base(spark, sf_dir)
     med = medians(df, [REG_LABEL])[REG_LABEL]
     return df.withColumn(CLS_LABEL, (F.col(REG_LABEL) > F.lit(med)).cast("int"))
 
@@ -156,10 +160,11 @@ lab AS (SELECT *, CASE WHEN l_extendedprice > (SELECT median(l_extendedprice) FR
 def _scored(spark, sf_dir):
     """Rule-based scores on the ML frame: score = quantity, prediction =
     quantity above its median; label = high price."""
-    df = ml_frame(spark, sf_dir)
-    qmed = medians(df, ["l_quantity"])["l_quantity"]
-    return df.select(F.col(CLS_LABEL).alias("label"), F.col("l_quantity").cast("double").alias("score"),
-                     (F.col("l_quantity") > F.lit(qmed)).cast("int").alias("prediction"))
+    df = _ml_base(spark, sf_dir)
+    med = medians(df, [REG_LABEL, "l_quantity"])      # both medians from the same passes
+    return df.select((F.col(REG_LABEL) > F.lit(med[REG_LABEL])).cast("int").alias("label"),
+                     F.col("l_quantity").cast("double").alias("score"),
+                     (F.col("l_quantity") > F.lit(med["l_quantity"])).cast("int").alias("prediction"))
 
 
 @register("roc_rule", _ML_SQL + """,
