@@ -138,7 +138,8 @@ def clean(raw: DataFrame, spec: CleanSpec) -> DataFrame:
     if spec.target:
         # filling NULLs with the median leaves the median unchanged (the copies
         # sit in the middle of the order), so the fitted value is reused
-        known = imputer.medians_.get(spec.target)
+        fractional = isinstance(df.schema[spec.target].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+        known = imputer.medians_.get(spec.target) if fractional else None
         df = add_threshold_target(df, spec.target, spec.target_out, threshold=known,
                                   method=spec.quantile_method)
     return df
