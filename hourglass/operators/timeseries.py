@@ -52,15 +52,67 @@ def resample(df: DataFrame, ts: str, cols: Sequence[str], freq: str = "1 hour",
     return spine.join(agg, [*keys, ts], "left")
 
 
+def _micros(duration: str) -> int:
+    n, unit = duration.split()
+    per = {"microsecond": 1, "millisecond": 1000, "second": 1_000_000, "minute": 60_000_000,
+           "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+    return int(float(n) * per[unit.rstrip("s")])
+
+
+def _chunk_of(ts: str, chunk: str) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(_micros(chunk))).cast("long")
+
+
 def rolling_mean(df: DataFrame, col: str, ts: str, window: int = 168, keys: Sequence[str] = (),
-                 out: str | None = None, min_periods: int | None = None) -> DataFrame:
+                 out: str | None = None, min_periods: int | None = None,
+                 freq: str | None = None, chunk: str = "30 days") -> DataFrame:
     """T4: trailing mean over ``window`` rows; NULL until ``min_periods``
-    (default: the full window) non-NULL values are in the frame."""
+    (default: the full window) non-NULL values are in the frame.
+
+    With ``freq`` (the bucket width of a regular series, one row per bucket
+    as ``resample`` produces) the series is split into time chunks and each
+    chunk also receives the ``window - 1`` buckets before it, so window
+    partitions are (key, chunk) and no series goes through one task.
+    """
     min_periods = window if min_periods is None else min_periods
-    w = _key_window(keys).orderBy(ts).rowsBetween(-(window - 1), 0)
     x = col_of(col)
-    return df.withColumn(out or f"{col}_rolling",
-                         F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w)))
+    name = out or f"{col}_rolling"
+    if freq is None:
+        w = _key_window(keys).orderBy(ts).rowsBetween(-(window - 1), 0)
+        return df.withColumn(name, F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w)))
+    overlap = (window - 1) * _micros(freq)
+    size = _micros(chunk)
+    if overlap >= size:
+        raise ValueError("chunk must be longer than the window")
+    home = _chunk_of(ts, chunk)
+    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    copy_next = t_us >= (home + 1) * F.lit(size) - F.lit(overlap)
+    chunks = F.when(copy_next, F.array(home, home + 1)).otherwise(F.array(home))
+    cols = df.columns
+    spread = df.select(*[col_of(c) for c in cols], home.alias("_home"), F.explode(chunks).alias("_chunk"))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(-(window - 1), 0)
+    return (spread.withColumn(name, F.when(F.count(x).over(w) >= min_periods, F.avg(x).over(w)))
+                  .filter(F.col("_chunk") == F.col("_home")).select(*[col_of(c) for c in cols], name))
+
+
+def forward_fill_chunked(df: DataFrame, cols: Sequence[str], ts: str, keys: Sequence[str] = (),
+                         chunk: str = "30 days") -> DataFrame:
+    """M5 for long series: fill within (key, time chunk) windows, seeding each
+    chunk with the last non-NULL value of the chunks before it (one summary
+    row per chunk, carried forward over the small chunk table)."""
+    keys = list(keys)
+    data = df.withColumn("_chunk", _chunk_of(ts, chunk))
+    summary = data.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(col_of(c), F.when(col_of(c).isNotNull(), F.col(ts))).alias(f"_last{i}")
+          for i, c in enumerate(cols)])
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_chunk", *[F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_in{i}")
+                                              for i in range(len(cols))])
+    w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    filled = data.join(carry, [*keys, "_chunk"])
+    return filled.select(*[F.coalesce(F.last(col_of(c), ignorenulls=True).over(w), F.col(f"_in{cols.index(c)}"))
+                           .alias(c) if c in cols else col_of(c) for c in df.columns])
 
 
 def lead_target(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (), steps: int = 1,

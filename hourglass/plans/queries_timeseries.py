@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timeseries as tsop
-from ..operators.clean import forward_fill
 from ..sources.readers import read_table
 from .catalog import register
 from .fixtures import gap_events
@@ -35,8 +34,9 @@ def hourly_resample(spark, sf_dir):
 
 @register("ffill_hourly", _FFILL_SQL + "\nSELECT * FROM f", floats=["value"], times=["ts"])
 def ffill_hourly(spark, sf_dir):
-    """M5: forward fill of the gap-filled hourly series."""
-    return forward_fill(_hourly(spark, sf_dir), ["value"], "ts", ["event_type"])
+    """M5: forward fill of the gap-filled hourly series, windowed per (series,
+    week) with each week seeded from the weeks before it."""
+    return tsop.forward_fill_chunked(_hourly(spark, sf_dir), ["value"], "ts", ["event_type"], chunk="7 days")
 
 
 @register("rolling_7d", _FFILL_SQL + """
@@ -46,8 +46,10 @@ FROM f WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 167 PRECEDI
           floats=["value", "value_rolling"], times=["ts"])
 def rolling_7d(spark, sf_dir):
     """T4: 168-hour trailing mean after resample + forward fill; warm-up rows NULL."""
-    filled = forward_fill(_hourly(spark, sf_dir), ["value"], "ts", ["event_type"])
-    return tsop.rolling_mean(filled, "value", "ts", 168, ["event_type"], out="value_rolling")
+    filled = tsop.forward_fill_chunked(_hourly(spark, sf_dir), ["value"], "ts", ["event_type"], chunk="7 days")
+    # windows per (series, 30-day chunk); each chunk also gets the 167 hours before it
+    return tsop.rolling_mean(filled, "value", "ts", 168, ["event_type"], out="value_rolling",
+                             freq="1 hour", chunk="30 days")
 
 
 @register("next_hour_label", _HOURLY_SQL + """

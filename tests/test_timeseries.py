@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from hourglass.operators import timeseries as T
 from hourglass.operators.clean import forward_fill
@@ -129,3 +130,24 @@ def test_adf_per_key_equals_single(spark):
     for k in "ab":
         single = T.adf_test(df.filter(f"k = '{k}'").drop("k"), "x", "t").first().adf_stat
         assert keyed[k] == pytest.approx(single, rel=1e-9)
+
+
+def test_chunked_rolling_and_ffill_equal_unchunked(spark):
+    rng = np.random.default_rng(5)
+    t0 = dt.datetime(2024, 1, 1)
+    n = 24 * 40
+    vals = rng.normal(size=n)
+    vals[rng.random(n) < 0.3] = np.nan
+    vals[:30] = np.nan                       # leading gap: stays NULL after the fill
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], n // 2),
+                        "ts": [t0 + dt.timedelta(hours=i % (n // 2)) for i in range(n)], "v": vals})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    a = forward_fill(df, ["v"], "ts", ["k"])
+    b = T.forward_fill_chunked(df, ["v"], "ts", ["k"], chunk="2 days")
+    key = lambda d: d.orderBy("k", "ts").toPandas()
+    pd.testing.assert_frame_equal(key(a), key(b))
+    ra = T.rolling_mean(a, "v", "ts", 24, ["k"])
+    rb = T.rolling_mean(a, "v", "ts", 24, ["k"], freq="1 hour", chunk="3 days")
+    pd.testing.assert_frame_equal(key(ra), key(rb))
+    g = T.rolling_mean(a.filter("k = 'a'").drop("k"), "v", "ts", 24, freq="1 hour", chunk="2 days")
+    assert g.count() == n // 2
