@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of
@@ -256,16 +256,11 @@ def group_means(df: DataFrame, by: Sequence[str] | str, cols: Sequence[str],
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count and share (%) per value; the total is one scalar."""
     counts = df.groupBy(col_of(col).alias(col)).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    total = F.sum("count").over(_whole())
+    # the window runs over the aggregated frame: one row per distinct value
+    total = F.sum("count").over(Window.partitionBy())
     return counts.select(col, "count", (F.col("count") * 100.0 / total).alias("share_pct"))
 
 
-def _whole():
-    from pyspark.sql import Window
-    # applied to an already-aggregated frame (one row per distinct value)
-    return Window.partitionBy()
-
-
 def uplift(df: DataFrame, flag: str, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of ``col`` where flag=0 (A) and flag=1 (B), uplift % = (B-A)/A*100."""
     x = col_of(col)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.distributions import norm_ppf_sql
 from ..operators import hypothesis as hyp
 from ..sources.readers import read_table
