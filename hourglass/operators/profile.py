@@ -244,15 +244,29 @@ def boxplot_stats(df: DataFrame, col: str, keys: Sequence[str] = (), whis: float
 
 # ---------------------------------------------------------------- group means etc.
 def group_means(df: DataFrame, by: Sequence[str] | str, cols: Sequence[str],
-                count_as: str | None = "n") -> DataFrame:
-    """Mean of each column per group (hour, weekday, month, season...)."""
+                count_as: str | None = "n", rollup: bool = False) -> DataFrame:
+    """Mean of each column per group (hour, weekday, month, season...).
+
+    ``rollup=True`` adds the subtotal levels (grouping sets of the prefixes of
+    ``by`` and the grand total) in the same aggregation, with a ``level``
+    column counting the rolled-up keys."""
     by = [by] if isinstance(by, str) else list(by)
     aggs = [F.avg(col_of(c)).alias(f"mean_{c}") for c in cols]
     if count_as:
         aggs.append(F.count(F.lit(1)).cast("bigint").alias(count_as))
+    if rollup:
+        return df.rollup(*by).agg(*aggs, F.grouping_id().cast("bigint").alias("level"))
     return df.groupBy(*by).agg(*aggs)
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """Distinct values per column in one pass (``exact=False``: HyperLogLog++)."""
+    fn = (lambda c: F.count_distinct(col_of(c))) if exact else (lambda c: F.approx_count_distinct(col_of(c), rsd))
+    one = df.agg(*[fn(c).alias(f"c{i}__n_distinct") for i, c in enumerate(cols)])
+    long = _unpivot(one, list(cols), ["n_distinct"])
+    return long.select("column", F.col("n_distinct").cast("bigint").alias("n_distinct"))
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count and share (%) per value; the total is one scalar."""
     counts = df.groupBy(col_of(col).alias(col)).agg(F.count(F.lit(1)).cast("bigint").alias("count"))

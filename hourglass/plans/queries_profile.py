@@ -356,3 +356,28 @@ def findings_q(spark, sf_dir):
     """Every dashboard claim recomputed from the data, held or not."""
     from .report import findings
     return findings(clean_events(spark, sf_dir))
+
+
+@register("season_month_rollup", """
+SELECT season, month, avg(o_totalprice) AS mean_o_totalprice, count(*) AS n, grouping(season, month) AS level
+FROM (SELECT CASE WHEN month(o_orderdate) IN (3, 4, 5) THEN 'Spring'
+                  WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer'
+                  WHEN month(o_orderdate) IN (9, 10, 11) THEN 'Autumn' ELSE 'Winter' END AS season,
+             strftime(o_orderdate, '%b') AS month, o_totalprice FROM orders)
+GROUP BY ROLLUP (season, month)""",
+          floats=["mean_o_totalprice"], ints=["n", "level"])
+def season_month_rollup(spark, sf_dir):
+    """A11/A12 + P9 with subtotals: season x month means, season totals, grand total."""
+    from ..functions.scalar import month_name, season
+    o = read_table(spark, sf_dir, "orders").select(
+        season(F.month("o_orderdate")).alias("season"), month_name(F.month("o_orderdate")).alias("month"),
+        "o_totalprice")
+    return prof.group_means(o, ["season", "month"], ["o_totalprice"], rollup=True)
+
+
+@register("distinct_counts", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_distinct FROM events"
+    for c in ("user_id", "event_type", "event_id")), ints=["n_distinct"])
+def distinct_counts(spark, sf_dir):
+    """A1 group sizes: distinct series, users and events in one pass."""
+    return prof.distinct_counts(read_table(spark, sf_dir, "events"), ["user_id", "event_type", "event_id"])
