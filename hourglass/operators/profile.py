@@ -168,7 +168,10 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
     """
     x = col_of(col).cast("double")
     data = df.select(*keys, x.alias("x")).filter(F.col("x").isNotNull())
-    stats = data.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
+    # numpy's rule for a constant sample: the range becomes [v - 0.5, v + 0.5]
+    flat = F.min("x") == F.max("x")
+    stats = data.groupBy(*keys).agg(F.when(flat, F.min("x") - 0.5).otherwise(F.min("x")).alias("lo"),
+                                    F.when(flat, F.max("x") + 0.5).otherwise(F.max("x")).alias("hi"),
                                     F.count(F.lit(1)).alias("n"))
     if keys:
         binned = data.join(stats, list(keys))
@@ -314,7 +317,12 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50, keys: Sequence[s
                    F.max("y").alias("y1")).first()
     if lim["x0"] is None:
         return df.sparkSession.createDataFrame([], "bin_x int, bin_y int, count bigint")
-    lx, hx, ly, hy = (F.lit(float(lim[k])) for k in ("x0", "x1", "y0", "y1"))
+    x0, x1, y0, y1 = (float(lim[k]) for k in ("x0", "x1", "y0", "y1"))
+    if x0 == x1:
+        x0, x1 = x0 - 0.5, x1 + 0.5
+    if y0 == y1:
+        y0, y1 = y0 - 0.5, y1 + 0.5
+    lx, hx, ly, hy = (F.lit(v) for v in (x0, x1, y0, y1))
     return (data.select(*keys, _bin_index(F.col("x"), lx, hx, bins).alias("bin_x"),
                         _bin_index(F.col("y"), ly, hy, bins).alias("bin_y"))
                 .groupBy(*keys, "bin_x", "bin_y").agg(F.count(F.lit(1)).cast("bigint").alias("count")))

@@ -204,7 +204,9 @@ def _hist_sql(table, col, keys=(), bins=40, density=False):
     rk = (rk + ", ") if keys else ""
     return f"""
 WITH d AS (SELECT {kc}CAST({col} AS DOUBLE) AS x FROM {table} WHERE {col} IS NOT NULL),
-s AS (SELECT {kc}min(x) AS lo, max(x) AS hi, count(*) AS n FROM d {"GROUP BY " + k if keys else ""}),
+s AS (SELECT {kc}min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS lo,
+             max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS hi,
+             count(*) AS n FROM d {"GROUP BY " + k if keys else ""}),
 g AS (SELECT {", ".join("d." + x for x in keys) + ", " if keys else ""}x, lo, hi,
              least(greatest(CAST(floor((x - lo) * ({b} / (hi - lo))) AS INTEGER), 0), {bins - 1}) AS g
       FROM d JOIN s ON {on}),
