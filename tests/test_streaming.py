@@ -1,6 +1,7 @@
 """Streaming extension: windowed means and alerts equal the batch computation."""
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,23 @@ def test_threshold_and_run_length_alerts(spark, stream_dir):
     th = A.threshold_alerts(A.windowed_means(A.live_features(spark.read.parquet(path)), keys=["event_type"]),
                             40.0)
     assert th.filter(F.col("mean_value") <= 40.0).count() == 0
+
+
+def test_score_stream_with_saved_model(spark, stream_dir, tmp_path):
+    from pyspark.ml import PipelineModel
+    from hourglass.operators import ml
+    path, schema = stream_dir
+    batch = A.live_features(spark.read.parquet(path)).filter(F.col("value").isNotNull()) \
+        .withColumn("label", F.col("value"))
+    feats = ["hour", "weekday", "is_rush_hour"]
+    model = ml.fit_one("lr", ml.feature_stages(batch, feats) + [ml.LinearRegression(regParam=0.0)],
+                       batch, batch, "regression").model
+    ml.save_model(model, str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m"))
+    stream = A.live_features(A.read_stream(spark, path, schema)).filter(F.col("value").isNotNull())
+    q = A.start(A.score_stream(stream, loaded, keep=["event_id"]), "score_test", trigger_once=True)
+    q.awaitTermination(120)
+    got = spark.table("score_test").toPandas().sort_values("event_id")
+    want = loaded.transform(batch).select("event_id", "prediction").toPandas().sort_values("event_id")
+    assert len(got) == len(want)
+    assert np.allclose(got.prediction.to_numpy(), want.prediction.to_numpy())
