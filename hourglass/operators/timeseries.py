@@ -122,66 +122,116 @@ def lead_target(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (), step
     return df.withColumn(out or f"{col}_next", F.lead(col_of(col), steps).over(w))
 
 
+# ---------------------------------------------------------------- positions and blocks
+def positions(df: DataFrame, keys: Sequence[str], ts: str, chunk: str = "30 days",
+              mean_of: str | None = None) -> DataFrame:
+    """0-based position ``rn`` of each row in its key's time order and the
+    key's row count ``n`` (optionally the key's mean of ``mean_of`` as
+    ``_mean``), without a window over a whole series: rows are numbered
+    inside time chunks, and each chunk's offset comes from a running total
+    over the small table of per-(key, chunk) counts."""
+    keys = list(keys)
+    d = df.withColumn("_pc", _chunk_of(ts, chunk))
+    d = d.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_pc").orderBy(ts)) - 1)
+    aggs = [F.count(F.lit(1)).alias("_cnt")]
+    if mean_of:
+        aggs.append(F.sum(mean_of).alias("_sum"))
+    chunks = d.groupBy(*keys, "_pc").agg(*aggs)
+    # one row per (key, chunk): running totals over that small table
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pc") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    sel = [*keys, "_pc", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+           F.sum("_cnt").over(whole).alias("n")]
+    if mean_of:
+        sel.append((F.sum("_sum").over(whole) / F.sum("_cnt").over(whole)).alias("_mean"))
+    offs = chunks.select(*sel)
+    return (d.join(offs, [*keys, "_pc"]).withColumn("rn", F.col("_off") + F.col("_local"))
+             .drop("_pc", "_local", "_off"))
+
+
+def blocked(df: DataFrame, before: int, after: int, block: int) -> DataFrame:
+    """Give each row a home block ``floor(rn / block)`` and copy it into the
+    neighbouring block(s) that need it, so a frame of ``before`` rows back and
+    ``after`` rows ahead is complete within every row's home block.  Window
+    partitions are then (key, block); keep rows with ``_blk == _home``."""
+    if before >= block or after >= block:
+        raise ValueError("block must be longer than the frame")
+    home = F.floor(F.col("rn") / block).cast("long")
+    off = F.col("rn") - home * block
+    targets = F.array_compact(F.array(home, F.when(off >= block - before, home + 1),
+                                      F.when(off < after, home - 1)))
+    return df.withColumn("_home", home).withColumn("_blk", F.explode(targets))
+
+
+def _block_size(frame: int, block: int | None) -> int:
+    return block or max(4096, 2 * frame + 1)
+
+
 # ---------------------------------------------------------------- decomposition
-def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int | None = 7,
-                       keys: Sequence[str] = (), min_points: int = 14) -> DataFrame:
+def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys: Sequence[str] = (),
+                       min_points: int = 14, chunk: str = "30 days", block: int | None = None) -> DataFrame:
     """T5: additive decomposition observed = trend + seasonal + resid.
 
     Positions, not dates, define the cycle (after empty buckets are dropped).
     Trend: centred moving average (2 x m filter for even periods); the
     missing ends are extrapolated by a least-squares line through the nearest
     ``period`` defined trend values.  Seasonal: mean detrended value per
-    position mod period, re-centred to mean zero over the period.
-    ``period=None`` uses min(7, n // 2) per key.  Keys with fewer than
-    ``min_points`` observations are left out.
+    position mod period, re-centred to mean zero over the period.  Keys with
+    fewer than ``min_points`` observations are left out.
+
+    No window spans a whole series: positions come from chunk offsets, the
+    moving average runs per (key, position block) with the ``period // 2``
+    neighbours copied in, and the edge lines and seasonal means are per-key
+    aggregates joined back.
     """
+    keys = list(keys)
     y = col_of(col).cast("double")
-    kw = _key_window(keys)
-    ow = kw.orderBy(ts)
-    s = (df.select(*keys, col_of(ts).alias(ts), y.alias("observed")).filter(F.col("observed").isNotNull())
-           .withColumn("rn", F.row_number().over(ow) - 1)
-           .withColumn("n", F.count(F.lit(1)).over(kw)))
-    s = s.filter(F.col("n") >= min_points)
-    p = F.lit(period) if period else F.least(F.lit(7), F.floor(F.col("n") / 2).cast("int"))
-    s = s.withColumn("p", p)
-    if period:
-        h = period // 2
-        frame = ow.rowsBetween(-h, h)
-        total = F.sum("observed").over(frame)
-        if period % 2:
-            ma = total / period
-        else:
-            ma = (total - 0.5 * (F.lag("observed", h).over(ow) + F.lead("observed", h).over(ow))) / period
-        s = s.withColumn("h", F.lit(h))
-        s = s.withColumn("trend0", F.when((F.col("rn") >= h) & (F.col("rn") < F.col("n") - h), ma))
+    s = df.select(*keys, col_of(ts).alias(ts), y.alias("observed")).filter(F.col("observed").isNotNull())
+    s = positions(s, keys, ts, chunk).filter(F.col("n") >= min_points)
+    h = period // 2
+    blk = blocked(s, h, h, _block_size(2 * h, block))
+    w = Window.partitionBy(*keys, "_blk").orderBy("rn")
+    total = F.sum("observed").over(w.rowsBetween(-h, h))
+    if period % 2:
+        ma = total / period
     else:
-        raise NotImplementedError("per-key automatic period: pass an explicit period")
-    front, back = F.col("h"), F.col("n") - 1 - F.col("h")
-    front_last = F.least(front + F.col("p") - 1, back)
-    back_first = F.greatest(front, back - F.col("p") + 1)
+        ma = (total - 0.5 * (F.lag("observed", h).over(w) + F.lead("observed", h).over(w))) / period
+    s = (blk.withColumn("trend0", F.when((F.col("rn") >= h) & (F.col("rn") < F.col("n") - h), ma))
+            .filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home"))
+    front, back = F.lit(h), F.col("n") - 1 - h
+    front_last = F.least(front + period - 1, back)
+    back_first = F.greatest(front, back - period + 1)
     rn = F.col("rn").cast("double")
     in_front = (F.col("rn") >= front) & (F.col("rn") <= front_last)
     in_back = (F.col("rn") >= back_first) & (F.col("rn") <= back)
-    s = s.withColumns({
-        "kf": F.regr_slope(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).over(kw),
-        "cf": F.regr_intercept(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).over(kw),
-        "kb": F.regr_slope(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).over(kw),
-        "cb": F.regr_intercept(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).over(kw),
-    })
+    fit_aggs = [F.regr_slope(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).alias("kf"),
+                F.regr_intercept(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).alias("cf"),
+                F.regr_slope(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).alias("kb"),
+                F.regr_intercept(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).alias("cb")]
+    s = _attach(s, s.groupBy(*keys).agg(*fit_aggs), keys)
     trend = (F.when(F.col("rn") < front, F.col("kf") * rn + F.col("cf"))
              .when(F.col("rn") > back, F.col("kb") * rn + F.col("cb"))
              .otherwise(F.col("trend0")))
-    s = s.withColumn("trend", trend).withColumn("detrended", F.col("observed") - F.col("trend"))
-    s = s.withColumn("pos", F.pmod(F.col("rn"), F.col("p")))
-    pw = Window.partitionBy(*keys, "pos")
-    s = s.withColumn("seasonal0", F.avg("detrended").over(pw)) \
-         .withColumn("npos", F.count("detrended").over(pw))
-    center = F.sum(F.col("seasonal0") / F.col("npos")).over(kw) / F.col("p")
-    s = s.withColumn("seasonal", F.col("seasonal0") - center)
+    s = s.withColumn("trend", trend).withColumn("detrended", F.col("observed") - F.col("trend")) \
+         .withColumn("pos", F.pmod(F.col("rn"), F.lit(period)))
+    seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0"))
+    seas = _attach(seas, seas.groupBy(*keys).agg(F.avg("seasonal0").alias("center")), keys)
+    seas = seas.select(*keys, "pos", (F.col("seasonal0") - F.col("center")).alias("seasonal"))
+    s = s.join(seas, [*keys, "pos"])
     return s.select(*keys, ts, "observed", "trend", "seasonal",
                     (F.col("detrended") - F.col("seasonal")).alias("resid"))
 
 
+def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add per-key values: an equi-join on the keys (one row per key), or for
+    an unkeyed series the single row's values as literals."""
+    if keys:
+        return df.join(per_key, list(keys))
+    row = per_key.first()
+    return df.withColumns({c: F.lit(row[c]) for c in per_key.columns})
+
+
 def decomposition_stats(dec: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Trend range, seasonal amplitude, residual std (n-1)."""
     return dec.groupBy(*keys).agg(
@@ -197,7 +247,8 @@ def _default_maxlag(n):
 
 
 def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
-             maxlag: int | None = None, autolag: str | None = "AIC") -> DataFrame:
+             maxlag: int | None = None, autolag: str | None = "AIC", chunk: str = "30 days",
+             block: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test (constant, no trend) per key.
 
     Regresses dy_t on [1, y_{t-1}, dy_{t-1} .. dy_{t-p}] with positional lags
@@ -205,9 +256,10 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
     0..maxlag is fitted on the common sample t > maxlag and the smallest AIC
     wins; the chosen p is then refitted on its own full sample t > p.
 
-    One aggregation per key yields the Gram matrix of the common sample plus
-    the (at most maxlag) earlier rows; every candidate fit and the refit are
-    then tiny solves done per key in ``applyInPandas``.
+    Positions and lags are computed per (key, position block), never over a
+    whole series.  One aggregation per key yields the Gram matrix of the
+    common sample plus the (at most maxlag) earlier rows; every candidate fit
+    and the refit are then tiny solves done per key in ``applyInPandas``.
     """
     keys = list(keys)
     gkeys = keys or ["_series"]
@@ -215,27 +267,27 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
              .filter(F.col("y").isNotNull())
     if not keys:
         base = base.withColumn("_series", F.lit(0))
+    base = positions(base, gkeys, "_t", chunk, mean_of="y")
     # the bucketed series is read twice (size scan, Gram pass): materialise it
     # once in the shared checkpoint folder, which also cuts the lineage
     if df.sparkSession.sparkContext.getCheckpointDir() is not None:
         base = base.checkpoint(eager=True)
     # largest lag any key can use: one scalar from the largest series
-    n_max = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0]
+    n_max = base.agg(F.max("n")).first()[0]
     key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
     if n_max is None:
         return df.sparkSession.createDataFrame([], f"{key_schema}, {_ADF_SCHEMA}, stationary int") \
             .drop("_series")
     L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n_max / 100.0) ** 0.25)), n_max // 2 - 2)
     L = max(int(L), 0)
-    kw = Window.partitionBy(*gkeys)
-    ow = kw.orderBy("_t")
-    base = (base.withColumn("rn", F.row_number().over(ow) - 1)
-                .withColumn("n", F.count(F.lit(1)).over(kw))
-                .withColumn("ybar", F.avg("y").over(kw)))
-    klag = F.lit(maxlag) if maxlag is not None else _default_maxlag(F.col("n"))
+    # lags up to L + 1 rows back: windows per (key, position block) with those rows copied in
+    base = blocked(base, L + 1, 0, _block_size(L + 1, block))
+    ow = Window.partitionBy(*gkeys, "_blk").orderBy("rn")
     base = base.withColumn("dy", F.col("y") - F.lag("y", 1).over(ow)) \
-               .withColumn("ylag", F.lag("y", 1).over(ow) - F.col("ybar"))   # centred level: better conditioning
+               .withColumn("ylag", F.lag("y", 1).over(ow) - F.col("_mean"))   # centred level: better conditioning
     base = base.withColumns({f"d{i}": F.lag("dy", i).over(ow) for i in range(1, L + 1)})
+    base = base.filter(F.col("_blk") == F.col("_home"))
+    klag = F.lit(maxlag) if maxlag is not None else _default_maxlag(F.col("n"))
     base = base.withColumn("kmax", klag).withColumn("one", F.lit(1.0))
     names = ["one", "ylag"] + [f"d{i}" for i in range(1, L + 1)] + ["dy"]
     m = len(names)

@@ -52,14 +52,15 @@ def _decompose_ref(x, period):
     return trend, seasonal, det - seasonal
 
 
-@pytest.mark.parametrize("period", [7, 4])
-def test_decomposition_matches_reference(spark, period):
+@pytest.mark.parametrize("period,block,chunk", [(7, None, "30 days"), (4, None, "30 days"), (7, 9, "4 days"),
+                                                (4, 8, "3 days")])
+def test_decomposition_matches_reference(spark, period, block, chunk):
     rng = np.random.default_rng(11)
     n = 60
     x = 10 + 0.3 * np.arange(n) + np.tile([3, -1, 0, 2, -2, 1, -3], 9)[:n] + rng.normal(scale=0.2, size=n)
     days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(n)]
     df = spark.createDataFrame(pd.DataFrame({"day": days, "y": x}))
-    out = T.seasonal_decompose(df, "y", "day", period).orderBy("day").toPandas()
+    out = T.seasonal_decompose(df, "y", "day", period, block=block, chunk=chunk).orderBy("day").toPandas()
     trend, seasonal, resid = _decompose_ref(x, period)
     assert np.allclose(out.trend, trend, atol=1e-9)
     assert np.allclose(out.seasonal, seasonal, atol=1e-9)
@@ -95,8 +96,8 @@ def _adf_ref(x, maxlag):
     return beta[1] / math.sqrt(cov[1, 1]), p, len(y)
 
 
-@pytest.mark.parametrize("kind", ["walk", "noise", "ar"])
-def test_adf_matches_direct_ols(spark, kind):
+@pytest.mark.parametrize("kind,block", [("walk", None), ("noise", None), ("ar", None), ("ar", 23), ("walk", 40)])
+def test_adf_matches_direct_ols(spark, kind, block):
     rng = np.random.default_rng({"walk": 1, "noise": 2, "ar": 3}[kind])
     n = 300
     e = rng.normal(size=n)
@@ -110,7 +111,7 @@ def test_adf_matches_direct_ols(spark, kind):
             x[i] = 0.6 * x[i - 1] - 0.3 * x[i - 2] + e[i]
     t = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(n)]
     df = spark.createDataFrame(pd.DataFrame({"t": t, "x": x}))
-    r = T.adf_test(df, "x", "t").first()
+    r = T.adf_test(df, "x", "t", block=block, chunk="1 day").first()
     maxlag = min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
     stat, p, nobs = _adf_ref(x, maxlag)
     assert r.used_lag == p and r.nobs == nobs
