@@ -188,9 +188,18 @@ def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys:
     keys = list(keys)
     y = col_of(col).cast("double")
     s = df.select(*keys, col_of(ts).alias(ts), y.alias("observed")).filter(F.col("observed").isNotNull())
-    s = positions(s, keys, ts, chunk).filter(F.col("n") >= min_points)
     h = period // 2
-    blk = blocked(s, h, h, _block_size(2 * h, block))
+    bsize = _block_size(2 * h, block)
+    n_max = s.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if n_max <= bsize:
+        # every series fits in one block: one window per key (at most bsize rows)
+        kw = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        blk = (s.withColumn("rn", F.row_number().over(kw.orderBy(ts)) - 1)
+                .withColumn("n", F.count(F.lit(1)).over(kw))
+                .withColumns({"_blk": F.lit(0), "_home": F.lit(0)}))
+    else:
+        blk = blocked(positions(s, keys, ts, chunk), h, h, bsize)
+    blk = blk.filter(F.col("n") >= min_points)
     w = Window.partitionBy(*keys, "_blk").orderBy("rn")
     total = F.sum("observed").over(w.rowsBetween(-h, h))
     if period % 2:
@@ -205,20 +214,31 @@ def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys:
     rn = F.col("rn").cast("double")
     in_front = (F.col("rn") >= front) & (F.col("rn") <= front_last)
     in_back = (F.col("rn") >= back_first) & (F.col("rn") <= back)
-    fit_aggs = [F.regr_slope(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).alias("kf"),
-                F.regr_intercept(F.when(in_front, F.col("trend0")), F.when(in_front, rn)).alias("cf"),
-                F.regr_slope(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).alias("kb"),
-                F.regr_intercept(F.when(in_back, F.col("trend0")), F.when(in_back, rn)).alias("cb")]
-    s = _attach(s, s.groupBy(*keys).agg(*fit_aggs), keys)
+    fits = {"kf": F.regr_slope(F.when(in_front, F.col("trend0")), F.when(in_front, rn)),
+            "cf": F.regr_intercept(F.when(in_front, F.col("trend0")), F.when(in_front, rn)),
+            "kb": F.regr_slope(F.when(in_back, F.col("trend0")), F.when(in_back, rn)),
+            "cb": F.regr_intercept(F.when(in_back, F.col("trend0")), F.when(in_back, rn))}
+    one_block = n_max <= bsize
+    if one_block:
+        # a whole key is one bounded partition already: per-key values as window aggregates
+        s = s.withColumns({name: agg.over(kw) for name, agg in fits.items()})
+    else:
+        s = _attach(s, s.groupBy(*keys).agg(*[agg.alias(name) for name, agg in fits.items()]), keys)
     trend = (F.when(F.col("rn") < front, F.col("kf") * rn + F.col("cf"))
              .when(F.col("rn") > back, F.col("kb") * rn + F.col("cb"))
              .otherwise(F.col("trend0")))
     s = s.withColumn("trend", trend).withColumn("detrended", F.col("observed") - F.col("trend")) \
          .withColumn("pos", F.pmod(F.col("rn"), F.lit(period)))
-    seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0"))
-    seas = _attach(seas, seas.groupBy(*keys).agg(F.avg("seasonal0").alias("center")), keys)
-    seas = seas.select(*keys, "pos", (F.col("seasonal0") - F.col("center")).alias("seasonal"))
-    s = s.join(seas, [*keys, "pos"])
+    if one_block:
+        pw = Window.partitionBy(*keys, "pos")
+        s = s.withColumns({"seasonal0": F.avg("detrended").over(pw), "_npos": F.count("detrended").over(pw)})
+        center = F.sum(F.col("seasonal0") / F.col("_npos")).over(kw) / period
+        s = s.withColumn("seasonal", F.col("seasonal0") - center)
+    else:
+        seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0"))
+        seas = _attach(seas, seas.groupBy(*keys).agg(F.avg("seasonal0").alias("center")), keys)
+        seas = seas.select(*keys, "pos", (F.col("seasonal0") - F.col("center")).alias("seasonal"))
+        s = s.join(seas, [*keys, "pos"])
     return s.select(*keys, ts, "observed", "trend", "seasonal",
                     (F.col("detrended") - F.col("seasonal")).alias("resid"))
 
@@ -267,21 +287,28 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
              .filter(F.col("y").isNotNull())
     if not keys:
         base = base.withColumn("_series", F.lit(0))
-    base = positions(base, gkeys, "_t", chunk, mean_of="y")
     # the bucketed series is read twice (size scan, Gram pass): materialise it
     # once in the shared checkpoint folder, which also cuts the lineage
     if df.sparkSession.sparkContext.getCheckpointDir() is not None:
         base = base.checkpoint(eager=True)
     # largest lag any key can use: one scalar from the largest series
-    n_max = base.agg(F.max("n")).first()[0]
+    n_max = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0]
     key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
     if n_max is None:
         return df.sparkSession.createDataFrame([], f"{key_schema}, {_ADF_SCHEMA}, stationary int") \
             .drop("_series")
     L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n_max / 100.0) ** 0.25)), n_max // 2 - 2)
     L = max(int(L), 0)
-    # lags up to L + 1 rows back: windows per (key, position block) with those rows copied in
-    base = blocked(base, L + 1, 0, _block_size(L + 1, block))
+    bsize = _block_size(L + 1, block)
+    if n_max <= bsize:
+        # every series fits in one block: one window per key (at most bsize rows)
+        kw = Window.partitionBy(*gkeys)
+        base = (base.withColumn("rn", F.row_number().over(kw.orderBy("_t")) - 1)
+                    .withColumn("n", F.count(F.lit(1)).over(kw)).withColumn("_mean", F.avg("y").over(kw))
+                    .withColumns({"_blk": F.lit(0), "_home": F.lit(0)}))
+    else:
+        # lags up to L + 1 rows back: windows per (key, position block) with those rows copied in
+        base = blocked(positions(base, gkeys, "_t", chunk, mean_of="y"), L + 1, 0, bsize)
     ow = Window.partitionBy(*gkeys, "_blk").orderBy("rn")
     base = base.withColumn("dy", F.col("y") - F.lag("y", 1).over(ow)) \
                .withColumn("ylag", F.lag("y", 1).over(ow) - F.col("_mean"))   # centred level: better conditioning
