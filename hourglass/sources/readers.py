@@ -33,6 +33,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return reader.option("mode", "PERMISSIVE").csv(path)
 
 
+def read_csv_known(spark: SparkSession, path: str, known: T.StructType, sep: str = ",") -> DataFrame:
+    """S1 for files with extra, unnamed columns: the header names the columns;
+    known names get their declared types, any other column is read as text
+    (and can then be dropped by prefix, S3)."""
+    _require(path)
+    header = spark.read.option("header", True).option("sep", sep).csv(path).columns   # header line only
+    types = {f.name: f.dataType for f in known.fields}
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    return read_csv(spark, path, schema, sep=sep)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     _require(path)
     return spark.read.parquet(path)
