@@ -109,6 +109,16 @@ def best_model_roc(spark, sf_dir):
     return ev.roc_curve(ml.with_score(b.model.transform(test)), "label", "score")
 
 
+@register("classifier_rocs")
+def classifier_rocs(spark, sf_dir):
+    """E6 per model: ROC points of every classifier that outputs probabilities."""
+    from functools import reduce
+    results, _, test = trained(spark, sf_dir, "classification")
+    curves = [ev.roc_curve(ml.with_score(r.model.transform(test)), "label", "score")
+              .withColumn("model", F.lit(r.name)) for r in results]
+    return reduce(lambda a, b: a.unionByName(b), curves)
+
+
 @register("best_model_residuals")
 def best_model_residuals(spark, sf_dir):
     """Residual summary of the best regressor on the test rows."""
