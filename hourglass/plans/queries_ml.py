@@ -130,16 +130,27 @@ def best_model_residuals(spark, sf_dir):
 
 @register("learning_curve")
 def learning_curve(spark, sf_dir):
-    """3-fold learning curve over 8 training sizes (linear regression)."""
-    ensure_checkpoint_dir(spark)
-    df = ml_frame(spark, sf_dir)
-    train, _ = ml.hash_split(df, KEYS)
-    train = train.withColumn("label", F.col(REG_LABEL).cast("double"))
+    """3-fold learning curve over 8 training sizes of the best regressor
+    (its estimator settings rebuilt for every training subset)."""
+    results, train, _ = trained(spark, sf_dir, "regression")
+    best = ml.best(results, "regression").name
 
     def stages(tr):
-        return ml.feature_stages(tr, FEATURES) + [ml.LinearRegression(regParam=0.0, solver="normal")]
+        n = tr.count()
+        sd = tr.agg(F.stddev_pop("label")).first()[0]
+        return ml.feature_stages(tr, FEATURES) + ml.regressors(n, sd)[best]
+
+    return ml.learning_curve(train, stages, KEYS).withColumn("model", F.lit(best))
 
-    return ml.learning_curve(train, stages, KEYS)
+
+@register("regression_residuals")
+def regression_residuals(spark, sf_dir):
+    """E9 for every regressor: actual-vs-predicted ranges and residual mean/std."""
+    from functools import reduce
+    results, _, test = trained(spark, sf_dir, "regression")
+    parts = [ev.residual_summary(r.model.transform(test), "label", "prediction").withColumn("model", F.lit(r.name))
+             for r in results]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register("scenario_scores")
