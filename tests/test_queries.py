@@ -14,7 +14,8 @@ import __spark_entry__ as E  # noqa: E402
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 HEAVY = {"regression_leaderboard", "classification_leaderboard", "feature_importance", "best_model_report",
-         "best_model_roc", "best_model_residuals", "scenario_scores", "learning_curve"}
+         "best_model_roc", "best_model_residuals", "scenario_scores", "learning_curve", "classifier_rocs",
+         "regression_residuals"}
 
 
 @pytest.fixture(scope="module")
