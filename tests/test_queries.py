@@ -68,3 +68,14 @@ def test_partition_count_invariance(spark):
             pd.testing.assert_frame_equal(res["1"][n], res["7"][n])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_model_queries_run(spark):
+    """The registered training queries share one fit per session and input."""
+    qs = E.queries()
+    for name in sorted(HEAVY):
+        df = qs[name](spark, SF_SMALL)
+        assert df.count() >= 1, name
+    lb = qs["regression_leaderboard"](spark, SF_SMALL).collect()
+    assert sorted(r["rank"] for r in lb) == list(range(1, 7))
+    assert qs["classification_leaderboard"](spark, SF_SMALL).count() == 5
