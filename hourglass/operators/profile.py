@@ -106,11 +106,17 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "se
             aggs.append(F.percentile_approx(x, probs, 10_000).cast("array<double>").alias(f"c{i}__q"))
         elif method == "exact":
             aggs.append(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias(f"c{i}__q"))
-    one = df.agg(*aggs)
     if method == "select":
-        qs = quantiles(df, cols, probs, "select")
-        one = one.select("*", *[F.array(*[F.lit(v).cast("double") for v in qs[c]]).alias(f"c{i}__q")
-                                for i, c in enumerate(cols)])
+        # the moments ride along with the quantile sketch pass: two scans in all
+        got: dict = {}
+        qs = quantiles(df, cols, probs, "select", extra=aggs, extra_out=got)
+        spark = df.sparkSession
+        one = spark.range(1).select(
+            *[F.lit(got[a]).cast("double" if not a.endswith("__count") else "bigint").alias(a)
+              for a in [f"c{i}__{f}" for i in range(len(cols)) for f in ("count", "mean", "std", "min", "max")]],
+            *[F.array(*[F.lit(v).cast("double") for v in qs[c]]).alias(f"c{i}__q") for i, c in enumerate(cols)])
+    else:
+        one = df.agg(*aggs)
     long = _unpivot(one, cols, ["count", "mean", "std", "min", "q", "max"])
     return long.select("column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
                        F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),

@@ -28,11 +28,22 @@ ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-              method: str = "select", accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
-    """Global quantiles per column -> {column: [value per prob]} (driver gets k numbers)."""
+              method: str = "select", accuracy: int = ACCURACY, extra: Sequence = (),
+              extra_out: dict | None = None) -> dict[str, list[float | None]]:
+    """Global quantiles per column -> {column: [value per prob]} (driver gets k numbers).
+
+    ``extra`` aggregate columns ride along in the first pass over the data;
+    their values are stored in ``extra_out`` (saves a scan for callers such
+    as ``describe`` that also need moments)."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
+    if extra and method == "select":
+        return _select_quantiles(df, cols, probs, accuracy, extra, extra_out)
+    if extra:
+        row = df.agg(*extra).first()
+        if extra_out is not None:
+            extra_out.update(row.asDict())
     if method == "exact":
         row = df.agg(*[F.percentile(col_of(c), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
                        for i, c in enumerate(cols)]).first()
@@ -65,13 +76,16 @@ class _Target:
         self.p = rank / max(n - 1, 1)
 
 
-def _select_quantiles(df, cols, probs, accuracy):
+def _select_quantiles(df, cols, probs, accuracy, extra=(), extra_out=None):
     delta = 3.0 / accuracy
     probes = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1.0, 1.0)})
     xs = [col_of(c).cast("double") for c in cols]
     # pass 1: counts and a sketch around every requested probability
     row = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                 *[F.percentile_approx(x, probes, accuracy).alias(f"a{i}") for i, x in enumerate(xs)]).first()
+                 *[F.percentile_approx(x, probes, accuracy).alias(f"a{i}") for i, x in enumerate(xs)],
+                 *extra).first()
+    if extra_out is not None:
+        extra_out.update(row.asDict())
     targets: dict[tuple[int, int], _Target] = {}
     plans = {}
     for i in range(len(cols)):
