@@ -39,7 +39,7 @@ def _write_csv(path, days=40, seed=0):
 
 @pytest.fixture(scope="module")
 def aq(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("aq") / "AirQuality.csv")
+    path = str(tmp_path_factory.mktemp("aq") / "air_quality.csv")
     frame = _write_csv(path)
     return frame, AQ.load(spark, path).cache(), AQ.raw(spark, path)
 
