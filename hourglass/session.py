@@ -56,3 +56,30 @@ def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(total_bytes: float = 100e12, executors: int = 1000, cores_per_executor: int = 8,
+                     target_partition_bytes: float = 256e6) -> dict[str, str]:
+    """Suggested SQL settings for a large cluster (not applied automatically).
+
+    Scan splits and post-shuffle partitions are sized to ~256 MB so a task's
+    working set fits executor memory; the initial shuffle width is generous
+    (enough partitions for the whole input at that size) and AQE coalesces it
+    down per stage and splits skewed join partitions at runtime.
+    """
+    initial = max(int(total_bytes / target_partition_bytes), executors * cores_per_executor * 2)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.shuffle.partitions": str(min(initial, 200_000)),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(int(target_partition_bytes * 4)),
+        "spark.sql.files.maxPartitionBytes": str(int(target_partition_bytes)),
+        # broadcast only sides measured below 64 MB at runtime
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }
