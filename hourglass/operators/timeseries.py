@@ -315,27 +315,48 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
     base = base.withColumns({f"d{i}": F.lag("dy", i).over(ow) for i in range(1, L + 1)})
     base = base.filter(F.col("_blk") == F.col("_home"))
     klag = F.lit(maxlag) if maxlag is not None else _default_maxlag(F.col("n"))
-    base = base.withColumn("kmax", klag).withColumn("one", F.lit(1.0))
+    base = base.withColumn("kmax", klag)
     names = ["one", "ylag"] + [f"d{i}" for i in range(1, L + 1)] + ["dy"]
     m = len(names)
-    vals = [F.coalesce(F.col(c), F.lit(0.0)) for c in names]
-    common = F.col("rn") >= F.col("kmax") + 1
-    edge = (F.col("rn") >= 1) & (F.col("rn") <= F.col("kmax"))
-    aggs = [F.first("kmax").alias("kmax"), F.first("n").alias("n"),
-            F.count(F.when(common, 1)).alias("nobs")]
-    aggs += [F.sum(F.when(common, vals[i] * vals[j])).alias(f"g_{i}_{j}") for i in range(m) for j in range(i, m)]
-    # the rows before the common sample: at most maxlag per key
-    aggs.append(F.collect_list(F.when(edge, F.struct(F.col("rn"), F.array(*vals).alias("z")))).alias("edge"))
-    grams = base.groupBy(*gkeys).agg(*aggs)
+    tri = [(i, j) for i in range(m) for j in range(i, m)]
+    z = F.array(F.lit(1.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in names[1:]]).alias("_z")
+    rows = base.select(*gkeys, "rn", "kmax", "n", z)
+    iu = np.triu_indices(m)
+
+    def partial(batches):
+        """Per batch and key: Gram of the common-sample rows (numpy), plus the
+        few rows before the common sample (at most maxlag per key)."""
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            for key, g in pdf.groupby(gkeys, sort=False):
+                key = key if isinstance(key, tuple) else (key,)
+                zz = np.vstack(g["_z"].to_numpy())
+                common = (g["rn"] >= g["kmax"] + 1).to_numpy()
+                edge = ((g["rn"] >= 1) & (g["rn"] <= g["kmax"])).to_numpy()
+                zc = zz[common]
+                out = {k: [v] for k, v in zip(gkeys, key)}
+                out.update({"kmax": [int(g["kmax"].iloc[0])], "n": [int(g["n"].iloc[0])],
+                            "nobs": [int(common.sum())], "cells": [(zc.T @ zc)[iu].tolist()],
+                            "edge_rn": [g["rn"].to_numpy()[edge].tolist()], "edge_z": [zz[edge].tolist()]})
+                yield pd.DataFrame(out)
+
+    key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
+    part = rows.mapInPandas(partial, f"{key_schema}, kmax int, n long, nobs long, cells array<double>, "
+                                     "edge_rn array<long>, edge_z array<array<double>>")
+    # element-wise sum of the per-batch Grams: one small array per (batch, key)
+    zero = F.array_repeat(F.lit(0.0), len(tri))
+    grams = part.groupBy(*gkeys).agg(
+        F.first("kmax").alias("kmax"), F.first("n").alias("n"), F.sum("nobs").alias("nobs"),
+        F.aggregate(F.collect_list("cells"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("cells"),
+        F.flatten(F.collect_list("edge_rn")).alias("edge_rn"), F.flatten(F.collect_list("edge_z")).alias("edge_z"))
     use_aic = bool(autolag)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
         g = np.zeros((m, m))
-        for i in range(m):
-            for j in range(i, m):
-                v = row[f"g_{i}_{j}"]
-                g[i, j] = g[j, i] = 0.0 if v is None or pd.isna(v) else float(v)
+        g[iu] = np.asarray(row["cells"], dtype=float)
+        g = g + np.triu(g, 1).T
         nobs, kmax = int(row["nobs"]), int(row["kmax"])
         p, icbest = kmax, float("nan")
         if use_aic:
@@ -353,8 +374,10 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
         # refit on t > p: add the edge rows p+1..kmax to the common Gram
         g2 = g.copy()
         n2 = nobs
-        for item in (row["edge"] if row["edge"] is not None else []):
-            rn, z = int(item["rn"]), np.asarray(item["z"], dtype=float)
+        edges = zip(row["edge_rn"] if row["edge_rn"] is not None else [],
+                    row["edge_z"] if row["edge_z"] is not None else [])
+        for rn, z in edges:
+            rn, z = int(rn), np.asarray(z, dtype=float)
             if rn >= p + 1:
                 g2 += np.outer(z, z)
                 n2 += 1

@@ -14,11 +14,14 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, partitions: int | None = None,
-                  app: str = "hourglass") -> SparkSession:
+                  app: str = "hourglass", extra_conf: dict[str, str] | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     partitions = partitions or cpus
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
