@@ -17,7 +17,9 @@ from ..operators import ml
 from ..operators import profile as prof
 from ..operators import relate
 from ..operators import timeseries as tsop
-from ..operators.clean import CleanSpec, clean, drop_prefixed, nullify_sentinel
+from ..operators.clean import (CleanSpec, MedianImputer, add_threshold_target, clean, drop_prefixed,
+                               nullify_sentinel)
+from ..operators.quantiles import medians
 from ..operators.score import scenario_grid, score_scenarios
 from ..sources.readers import AIR_QUALITY_SCHEMA, read_csv_known
 from ..spec import AIR_QUALITY
@@ -46,11 +48,14 @@ def raw(spark: SparkSession, path: str) -> DataFrame:
     return nullify_sentinel(df, [c for c in df.columns if c not in ("Date", "Time")])
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The cleaned table (P1-P8, M1, A15) with ``Datetime`` as the time column."""
+def load(spark: SparkSession, path: str, impute: bool = True) -> DataFrame:
+    """The cleaned table (P1-P8, M1, A15) with ``Datetime`` as the time column.
+
+    ``impute=False`` stops before imputation and the target (the input that
+    ``models`` expects, so both are fitted on training rows only)."""
     spec = CleanSpec(ts="Datetime", date_col="Date", time_col="Time", drop=DROPPED,
                      sentinel_cols=[c.name for c in AIR_QUALITY_SCHEMA.fields if c.name not in ("Date", "Time")],
-                     impute_cols=NUMERIC, target=TARGET)
+                     impute_cols=NUMERIC if impute else [], target=TARGET if impute else None)
     return clean(read_csv_known(spark, path, AIR_QUALITY_SCHEMA), spec)
 
 
@@ -123,11 +128,21 @@ def analyses(df: DataFrame, raw_df: DataFrame) -> dict[str, DataFrame]:
 
 
 def models(df: DataFrame, key: str = "Datetime", parallel: bool = True) -> dict[str, object]:
-    """Train all regressors / classifiers on an 80/20 hash split of the rows
-    (scalers fitted on the training rows) and score a what-if grid."""
+    """Train all regressors / classifiers on an 80/20 hash split and score a
+    what-if grid.
+
+    ``df`` is ``load(..., impute=False)``: rows without a measured target are
+    left out (never trained or scored on imputed targets), feature medians,
+    the class threshold and the scalers are all fitted on the training rows.
+    """
     spark = df.sparkSession
-    train, test = ml.hash_split(df, [key])
-    out: dict[str, object] = {}
+    data = df.filter(F.col(f"`{TARGET}`").isNotNull())
+    train, test = ml.hash_split(data, [key])
+    imputer = MedianImputer([c for c in FEATURES if c in NUMERIC]).fit(train)
+    threshold = medians(train, [TARGET])[TARGET]
+    train, test = (add_threshold_target(imputer.transform(d), TARGET, threshold=threshold) for d in (train, test))
+    df = imputer.transform(data)
+    out: dict[str, object] = {"threshold": threshold}
     fitted = {}
     for kind, label in (("regression", TARGET), ("classification", "high_pollution")):
         tr = train.withColumn("label", F.col(f"`{label}`").cast("double"))

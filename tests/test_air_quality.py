@@ -71,9 +71,15 @@ def test_every_tab_runs_and_tells_the_expected_story(aq):
     assert hourly[8] > hourly[3]
 
 
-def test_models_learn_the_signal(aq):
+def test_models_learn_the_signal(spark, aq, tmp_path_factory):
     frame, df, raw = aq
-    out = AQ.models(df)
+    path = str(tmp_path_factory.mktemp("aq2") / "air_quality.csv")
+    _write_csv(path)
+    parsed = AQ.load(spark, path, impute=False)
+    assert parsed.filter("`CO(GT)` IS NULL").count() > 0           # targets are not imputed
+    out = AQ.models(parsed)
+    co = frame["CO(GT)"].replace(-200, np.nan)
+    assert abs(out["threshold"] - co.median()) < 0.3               # fitted on the training rows
     reg = out["regression.leaderboard"].orderBy("rank").first()
     cls = out["classification.leaderboard"].orderBy("rank").first()
     assert reg.r2 > 0.7 and cls.f1 > 0.7
