@@ -132,3 +132,27 @@ def start(df: DataFrame, name: str, sink: str = "memory", path: str | None = Non
     if sink == "memory":
         return writer.format("memory").start()
     return writer.format(sink).option("path", path).start()
+
+
+def alert_job(spark: SparkSession, source: str, schema: T.StructType | str, model: PipelineModel,
+              name: str = "alerts", ts: str = "ts", value: str = "value", keys: Sequence[str] = (),
+              window: str = "1 hour", watermark: str = "2 hours", high: float | None = None,
+              sink: str = "memory", path: str | None = None, trigger_once: bool = False,
+              max_files_per_trigger: int | None = None):
+    """The whole alert stream: files arriving in ``source`` -> live features ->
+    model score per reading -> windowed mean score per key (watermarked) ->
+    windows whose mean predicted value is above ``high`` (or whose share of
+    predicted class 1 is above one half when the model is a classifier)."""
+    stream = live_features(read_stream(spark, source, schema, max_files_per_trigger=max_files_per_trigger), ts, value)
+    scored = model.transform(stream)
+    is_class = "probability" in scored.columns
+    signal = F.col("prediction").cast("double")
+    win = (scored.withWatermark(ts, watermark)
+                 .groupBy(F.window(ts, window).alias("window"), *keys)
+                 .agg(F.avg(signal).alias("mean_score"), F.count(F.lit(1)).alias("n"),
+                      F.max("is_rush_hour").alias("any_rush")))
+    cut = 0.5 if is_class or high is None else high
+    alerts = (win.filter(F.col("mean_score") > F.lit(cut))
+                 .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                         *keys, "mean_score", "n", "any_rush"))
+    return start(alerts, name, sink=sink, path=path, mode="append", trigger_once=trigger_once)

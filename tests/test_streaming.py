@@ -82,3 +82,25 @@ def test_score_stream_with_saved_model(spark, stream_dir, tmp_path):
     want = loaded.transform(batch).select("event_id", "prediction").toPandas().sort_values("event_id")
     assert len(got) == len(want)
     assert np.allclose(got.prediction.to_numpy(), want.prediction.to_numpy())
+
+
+def test_alert_job_end_to_end(spark, stream_dir, tmp_path):
+    from hourglass.operators import ml
+    path, schema = stream_dir
+    batch = A.live_features(spark.read.parquet(path)).filter(F.col("value").isNotNull()) \
+        .withColumn("label", (F.col("value") > 40).cast("double"))
+    feats = ["hour", "weekday", "is_rush_hour"]
+    model = ml.fit_one("lg", ml.feature_stages(batch, feats) + [ml.LogisticRegression()],
+                       batch, batch, "classification").model
+    q = A.alert_job(spark, path, schema, model, name="alert_job_test", keys=["event_type"],
+                    watermark="0 seconds", trigger_once=True)
+    q.awaitTermination(180)
+    got = spark.table("alert_job_test").toPandas()
+    assert set(got.columns) == {"window_start", "window_end", "event_type", "mean_score", "n", "any_rush"}
+    assert (got.mean_score > 0.5).all()
+    # the same windows from a batch computation over the closed windows
+    scored = model.transform(A.live_features(spark.read.parquet(path)))
+    win = scored.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(
+        F.avg(F.col("prediction").cast("double")).alias("m")).filter("m > 0.5")
+    closed = win.filter(F.col("w.end") <= F.lit(got.window_end.max()) if len(got) else F.lit(False)).count()
+    assert closed == len(got)
