@@ -27,7 +27,11 @@ def test_hourly_profile_prunes_columns_and_pushes_filters(spark):
 
 
 def test_describe_reads_only_measures(spark):
-    plan = _plan(_raw("describe_lineitem")(spark, SF_SMALL))
+    from hourglass.operators.profile import describe
+    from hourglass.sources.readers import read_table
+    li = read_table(spark, SF_SMALL, "lineitem")
+    # the single-pass form; the exact form runs its passes eagerly over the same pruned scan
+    plan = _plan(describe(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], method="approx"))
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double>" in plan
 
 
