@@ -38,6 +38,13 @@ def col_of(c) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
+def ratio(a, b) -> Column:
+    """a / b, NULL when b is 0 (plain division raises under ANSI SQL)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return F.try_divide(a, b)
+
+
 def sentinel_to_null(c, sentinel: float = SENTINEL) -> Column:
     """The sentinel (as int or double) and NaN become SQL NULL."""
     x = col_of(c)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col_of
+from ..functions.scalar import col_of, ratio
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -23,7 +23,7 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
     err = y - p
     return pred.groupBy(*keys).agg(
         F.count(err).cast("bigint").alias("n"),
-        (1.0 - F.sum(err * err) / (F.count(err) * F.var_pop(F.when(err.isNotNull(), y)))).alias("r2"),
+        (1.0 - ratio(F.sum(err * err), F.count(err) * F.var_pop(F.when(err.isNotNull(), y)))).alias("r2"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"))
 
@@ -70,11 +70,11 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
         F.col("total"), F.col("correct"))
     summary = per_class.agg(
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
+        ratio(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+        ratio(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+        ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
         F.sum("support").alias("n"),
-        (F.first("correct") / F.first("total")).alias("acc"))
+        ratio(F.first("correct"), F.first("total")).alias("acc"))
     extra = summary.select(F.inline(F.array(
         F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"),
@@ -91,7 +91,7 @@ def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "pre
     """Accuracy and F1 of the positive class."""
     y, p = col_of(label).cast("int"), col_of(prediction).cast("int")
     tp, fp, fn = F.count_if((y == 1) & (p == 1)), F.count_if((y == 0) & (p == 1)), F.count_if((y == 1) & (p == 0))
-    return pred.agg((F.count_if(y == p) / F.count(F.lit(1))).alias("accuracy"),
+    return pred.agg(ratio(F.count_if(y == p), F.count(F.lit(1))).alias("accuracy"),
                     F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0)).alias("f1"))
 
 
@@ -132,7 +132,7 @@ def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
     t = _roc_table(pred, label, score, partitions)
     return t.select("threshold", F.col("tps").cast("bigint").alias("tps"),
                     F.col("fps").cast("bigint").alias("fps"),
-                    (F.col("tps") / F.col("P")).alias("tpr"), (F.col("fps") / F.col("N")).alias("fpr"))
+                    ratio("tps", "P").alias("tpr"), ratio("fps", "N").alias("fpr"))
 
 
 def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -140,5 +140,5 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     trapezoid area under ``roc_curve``."""
     t = _roc_table(pred, label, score)
     neg_below = F.col("N") - F.col("fps")
-    return t.agg((F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg")))
-                  / (F.first("P") * F.first("N"))).alias("auc"))
+    return t.agg(ratio(F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))),
+                       F.first("P") * F.first("N")).alias("auc"))

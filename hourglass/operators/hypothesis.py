@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import norm_ppf_col, shapiro_wilk, t_pvalue_udf
-from ..functions.scalar import EFFECT_BANDS, EFFECT_ELSE, bucket_label, col_of, skew_shape
+from ..functions.scalar import EFFECT_BANDS, EFFECT_ELSE, bucket_label, col_of, ratio, skew_shape
 
 
 def group_moments(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,14 +31,14 @@ def welch_effect(df: DataFrame, value: str, flag: str, keys: Sequence[str] = (),
     """H2-H4 without the p-value: Welch t (sign A-B), Welch-Satterthwaite df,
     Cohen's d (B-A over the root mean variance) and the CI of B-A."""
     m = group_moments(df, value, flag, keys)
-    va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
+    va, vb = ratio(F.col("var_a"), F.col("n_a")), ratio(F.col("var_b"), F.col("n_b"))
     se = F.sqrt(va + vb)
     diff = F.col("mean_b") - F.col("mean_a")
-    dof = (va + vb) ** 2 / (va ** 2 / (F.col("n_a") - 1) + vb ** 2 / (F.col("n_b") - 1))
+    dof = ratio((va + vb) ** 2, ratio(va ** 2, F.col("n_a") - 1) + ratio(vb ** 2, F.col("n_b") - 1))
     return m.select(
         *keys, F.col("n_a").cast("bigint").alias("n_a"), F.col("n_b").cast("bigint").alias("n_b"),
-        "mean_a", "mean_b", ((F.col("mean_a") - F.col("mean_b")) / se).alias("t_stat"), dof.alias("dof"),
-        (diff / F.sqrt((F.col("var_a") + F.col("var_b")) / 2)).alias("cohens_d"),
+        "mean_a", "mean_b", ratio(F.col("mean_a") - F.col("mean_b"), se).alias("t_stat"), dof.alias("dof"),
+        ratio(diff, F.sqrt((F.col("var_a") + F.col("var_b")) / 2)).alias("cohens_d"),
         diff.alias("diff"), (diff - z * se).alias("ci_lo"), (diff + z * se).alias("ci_hi"))
 
 
@@ -54,7 +54,7 @@ def welch_test(df: DataFrame, value: str, flag: str, keys: Sequence[str] = (),
     return eff.withColumn("p_value", p).withColumns({
         "significant": (F.col("p_value") < alpha).cast("int"),
         "effect_size": bucket_label("cohens_d", EFFECT_BANDS, EFFECT_ELSE, absolute=True),
-        "uplift_pct": (F.col("mean_b") - F.col("mean_a")) / F.col("mean_a") * 100.0,
+        "uplift_pct": ratio(F.col("mean_b") - F.col("mean_a"), F.col("mean_a")) * 100.0,
     })
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col_of
+from ..functions.scalar import col_of, ratio
 from .clean import numeric_columns
 from .quantiles import grouped_quantiles, quantiles
 
@@ -41,15 +41,16 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None,
                  *[F.count_if(col_of(c).isNull()).alias(f"c{i}__missing") for i, c in enumerate(cols)])
     long = _unpivot(one.select("*", *[F.col("n").alias(f"c{i}__n") for i in range(len(cols))]),
                     cols, ["missing", "n"])
-    pct = F.round(F.col("missing") * 100.0 / F.col("n"), 1)
+    share = ratio(F.col("missing") * 100.0, F.col("n"))
+    pct = F.round(share, 1)
     return long.select(
         "column",
         F.col("missing").cast("bigint").alias("missing"),
         pct.alias("missing_pct"),
-        F.when(F.col("missing") * 100.0 / F.col("n") > drop_above, F.lit("DROPPED"))
+        F.when(share > drop_above, F.lit("DROPPED"))
          .when(F.col("missing") > 0, F.lit("Median imputation"))
          .otherwise(F.lit("-")).alias("action"),
-        (F.col("missing") * 100.0 / F.col("n") > drop_above).cast("int").alias("over_threshold"),
+        F.coalesce((share > drop_above).cast("int"), F.lit(0)).alias("over_threshold"),
     )
 
 
@@ -199,7 +200,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
                    "n", width.alias("width")))
     if density:
         out = out.withColumn("density", F.when(F.col("width") > 0,
-                                               F.col("count") / (F.col("n") * F.col("width"))))
+                                               ratio(F.col("count"), F.col("n") * F.col("width"))))
     return out.drop("n", "width")
 
 
@@ -281,7 +282,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     counts = df.groupBy(col_of(col).alias(col)).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
     # the window runs over the aggregated frame: one row per distinct value
     total = F.sum("count").over(Window.partitionBy())
-    return counts.select(col, "count", (F.col("count") * 100.0 / total).alias("share_pct"))
+    return counts.select(col, "count", ratio(F.col("count") * 100.0, total).alias("share_pct"))
 
 
 def uplift(df: DataFrame, flag: str, col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -292,7 +293,7 @@ def uplift(df: DataFrame, flag: str, col: str, keys: Sequence[str] = ()) -> Data
         F.avg(F.when(f == 0, x)).alias("mean_a"), F.avg(F.when(f == 1, x)).alias("mean_b"),
         F.count_if((f == 0) & x.isNotNull()).cast("bigint").alias("n_a"),
         F.count_if((f == 1) & x.isNotNull()).cast("bigint").alias("n_b"))
-    return out.withColumn("uplift_pct", (F.col("mean_b") - F.col("mean_a")) / F.col("mean_a") * 100.0)
+    return out.withColumn("uplift_pct", ratio(F.col("mean_b") - F.col("mean_a"), F.col("mean_a")) * 100.0)
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

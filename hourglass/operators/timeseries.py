@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import mackinnon_crit, mackinnon_p
-from ..functions.scalar import col_of
+from ..functions.scalar import col_of, ratio
 
 
 def bucket(ts, freq: str = "1 hour") -> Column:
@@ -144,7 +144,7 @@ def positions(df: DataFrame, keys: Sequence[str], ts: str, chunk: str = "30 days
     sel = [*keys, "_pc", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
            F.sum("_cnt").over(whole).alias("n")]
     if mean_of:
-        sel.append((F.sum("_sum").over(whole) / F.sum("_cnt").over(whole)).alias("_mean"))
+        sel.append(ratio(F.sum("_sum").over(whole), F.sum("_cnt").over(whole)).alias("_mean"))
     offs = chunks.select(*sel)
     return (d.join(offs, [*keys, "_pc"]).withColumn("rn", F.col("_off") + F.col("_local"))
              .drop("_pc", "_local", "_off"))
@@ -232,7 +232,7 @@ def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys:
     if one_block:
         pw = Window.partitionBy(*keys, "pos")
         s = s.withColumns({"seasonal0": F.avg("detrended").over(pw), "_npos": F.count("detrended").over(pw)})
-        center = F.sum(F.col("seasonal0") / F.col("_npos")).over(kw) / period
+        center = F.sum(ratio("seasonal0", "_npos")).over(kw) / period
         s = s.withColumn("seasonal", F.col("seasonal0") - center)
     else:
         seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio
+
 # --- fixed values: the claims the dashboard states, as (low, high) ranges ---
 CLAIMS = {
     "rush_uplift_pct": (30.0, 40.0),
@@ -30,11 +32,11 @@ def findings(clean: DataFrame, value: str = "value") -> DataFrame:
     metrics = {
         "rows": F.col("rows").cast("double"),
         "columns": F.lit(float(len(clean.columns))),
-        "rush_uplift_pct": (F.col("on") - F.col("off")) / F.col("off") * 100.0,
-        "weekday_uplift_pct": (F.col("wd") - F.col("we")) / F.col("we") * 100.0,
+        "rush_uplift_pct": ratio(F.col("on") - F.col("off"), F.col("off")) * 100.0,
+        "weekday_uplift_pct": ratio(F.col("wd") - F.col("we"), F.col("we")) * 100.0,
         "rush_share_pct": F.col("rush_share") * 100.0,
         "high_class_pct": F.col("high_share") * 100.0,
-        "cohens_d_rush": (F.col("on") - F.col("off")) / F.sqrt((F.col("v_off") + F.col("v_on")) / 2),
+        "cohens_d_rush": ratio(F.col("on") - F.col("off"), F.sqrt((F.col("v_off") + F.col("v_on")) / 2)),
     }
     rows = []
     for name, expr in metrics.items():
