@@ -24,15 +24,17 @@ def stream_dir(spark, tmp_path_factory):
     return d, ev.schema
 
 
-def test_windowed_means_match_batch(spark, stream_dir):
+@pytest.mark.parametrize("window,slide", [("1 hour", None), ("2 hours", "1 hour")])
+def test_windowed_means_match_batch(spark, stream_dir, window, slide):
     path, schema = stream_dir
     stream = A.live_features(A.read_stream(spark, path, schema, max_files_per_trigger=1))
-    win = A.windowed_means(stream, keys=["event_type"], window="1 hour", watermark="0 seconds")
-    q = A.start(win, "win_test", mode="append", trigger_once=True)
+    win = A.windowed_means(stream, keys=["event_type"], window=window, slide=slide, watermark="0 seconds")
+    name = "win_test_" + window.replace(" ", "")
+    q = A.start(win, name, mode="append", trigger_once=True)
     q.awaitTermination(120)
-    got = spark.table("win_test").toPandas()
+    got = spark.table(name).toPandas()
     batch = A.windowed_means(A.live_features(spark.read.parquet(path)), keys=["event_type"],
-                             window="1 hour").toPandas()
+                             window=window, slide=slide).toPandas()
     # append mode only emits windows the watermark has closed
     closed = batch[batch.window_end <= got.window_end.max()]
     key = ["window_start", "event_type"]
