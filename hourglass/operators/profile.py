@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of, ratio
@@ -278,11 +278,16 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], exact: bool = True, rsd:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Count and share (%) per value; the total is one scalar."""
+    """Count and share (%) per value.
+
+    The per-value counts are materialised once (shared checkpoint folder) and
+    the total is one scalar from them, so no window gathers all distinct
+    values into one task, whatever the column's cardinality."""
     counts = df.groupBy(col_of(col).alias(col)).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    # the window runs over the aggregated frame: one row per distinct value
-    total = F.sum("count").over(Window.partitionBy())
-    return counts.select(col, "count", ratio(F.col("count") * 100.0, total).alias("share_pct"))
+    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
+        counts = counts.checkpoint(eager=True)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.select(col, "count", ratio(F.col("count") * 100.0, F.lit(total)).alias("share_pct"))
 
 
 def uplift(df: DataFrame, flag: str, col: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -116,10 +116,21 @@ def forward_fill_chunked(df: DataFrame, cols: Sequence[str], ts: str, keys: Sequ
 
 
 def lead_target(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (), steps: int = 1,
-                out: str | None = None) -> DataFrame:
-    """Next-period label (e.g. next-hour value) on a gap-filled series."""
-    w = _key_window(keys).orderBy(ts)
-    return df.withColumn(out or f"{col}_next", F.lead(col_of(col), steps).over(w))
+                out: str | None = None, freq: str | None = None) -> DataFrame:
+    """Next-period label (e.g. next-hour value).
+
+    With ``freq`` (the bucket width) the label is the value ``steps`` buckets
+    later, found by an equi-join of the series with itself shifted in time:
+    no window, so no series passes through one task.  Without ``freq`` it is
+    the next row per key (``lead``)."""
+    name = out or f"{col}_next"
+    if freq is None:
+        w = _key_window(keys).orderBy(ts)
+        return df.withColumn(name, F.lead(col_of(col), steps).over(w))
+    shifted = df.select(*keys, (F.col(ts) - F.expr(f"INTERVAL {steps * int(freq.split()[0])} "
+                                                   f"{freq.split()[1]}")).alias(ts),
+                        col_of(col).alias(name))
+    return df.join(shifted, [*keys, ts], "left")
 
 
 # ---------------------------------------------------------------- positions and blocks

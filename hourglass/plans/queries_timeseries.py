@@ -56,8 +56,9 @@ def rolling_7d(spark, sf_dir):
 SELECT event_type, ts, value, lead(value) OVER (PARTITION BY event_type ORDER BY ts) AS value_next FROM h""",
           floats=["value", "value_next"], times=["ts"])
 def next_hour_label(spark, sf_dir):
-    """Next-hour label on the gap-filled spine (forecasting target)."""
-    return tsop.lead_target(_hourly(spark, sf_dir), "value", "ts", ["event_type"])
+    """Next-hour label on the gap-filled spine (forecasting target), by a
+    one-hour-shifted self-join rather than a window."""
+    return tsop.lead_target(_hourly(spark, sf_dir), "value", "ts", ["event_type"], freq="1 hour")
 
 
 _DAILY_SQL = """
