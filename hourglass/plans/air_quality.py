@@ -174,3 +174,41 @@ def models(df: DataFrame, key: str = "Datetime", parallel: bool = True) -> dict[
                              "is_rush_hour": F.col("hour").isin(7, 8, 9, 17, 18, 19).cast("int")})
     out["whatif.scores"] = score_scenarios(grid, fitted["regression"], fitted["classification"])
     return out
+
+
+# --- fixed values: the claims of the dashboard's final report ---
+REPORT_CLAIMS = {
+    "rush_uplift_pct": "between 30 and 40",
+    "weekday_uplift_pct": "between 20 and 30",
+    "highest_season": "Winter",
+    "min_abs_sensor_r": "above 0.85",
+    "rush_test_p": "below 0.05",
+    "max_adf_p": "below 0.05 (all stationary)",
+    "r_temperature_co": "below 0",
+}
+# -----------------------------------------------------------------
+
+
+def report(tabs: dict[str, DataFrame]) -> DataFrame:
+    """The final report's claims recomputed from the tab results (each a
+    handful of rows) and marked held / not held."""
+    spark = next(iter(tabs.values())).sparkSession
+    f = {r.metric: r.value for r in tabs["insights.findings"].collect()}
+    season = tabs["features.season_mean"].orderBy(F.desc(f"`mean_{TARGET}`")).first()
+    red = [abs(r.r) for r in tabs["collinearity.redundancy"].collect() if r.r is not None]
+    ab = tabs["ab.test"].first()
+    adf = [r.p_value for r in tabs["tests.adf"].collect() if r.p_value is not None]
+    rt = [r.r for r in tabs["weather.corr"].collect() if r.row == "T" and r.col == TARGET]
+    rows = [
+        ("rush_uplift_pct", f.get("rush_uplift_pct"), lambda v: 30 <= v <= 40),
+        ("weekday_uplift_pct", f.get("weekday_uplift_pct"), lambda v: 20 <= v <= 30),
+        ("highest_season", season["season"] if season else None, lambda v: v == "Winter"),
+        ("min_abs_sensor_r", min(red) if red else None, lambda v: v > 0.85),
+        ("rush_test_p", ab.p_value if ab else None, lambda v: v < 0.05),
+        ("max_adf_p", max(adf) if adf else None, lambda v: v < 0.05),
+        ("r_temperature_co", rt[0] if rt else None, lambda v: v < 0),
+    ]
+    out = [(name, None if v is None else str(v if not isinstance(v, float) else round(v, 6)),
+            REPORT_CLAIMS[name], "n/a" if v is None else ("held" if test(v) else "not held"))
+           for name, v, test in rows]
+    return spark.createDataFrame(out, "metric string, value string, claim string, held string")

@@ -86,3 +86,12 @@ def test_models_learn_the_signal(spark, aq, tmp_path_factory):
     assert out["regression.importance"].count() >= 1
     scores = out["whatif.scores"].collect()
     assert len(scores) == 3 * 3 * 3 * 2 * 2 and all(0 <= r.p_high <= 1 for r in scores)
+
+
+def test_report_claims(aq):
+    frame, df, raw = aq
+    rep = {r.metric: r for r in AQ.report(AQ.analyses(df, raw)).collect()}
+    assert len(rep) == 7
+    assert rep["rush_test_p"].held == "held" and rep["min_abs_sensor_r"].held == "held"
+    assert rep["r_temperature_co"].held == "held"          # built in: CO falls as T rises
+    assert rep["rush_uplift_pct"].held in ("held", "not held")
