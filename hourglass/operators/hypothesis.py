@@ -191,3 +191,15 @@ def qq_fit(points: DataFrame) -> DataFrame:
     return points.agg(F.regr_slope("osr", "osm").alias("slope"),
                       F.regr_intercept("osr", "osm").alias("intercept"),
                       F.corr("osr", "osm").alias("r"))
+
+
+def qq_grid(df: DataFrame, col: str, points: int = 1000, accuracy: int = 10_000) -> DataFrame:
+    """H7 for very large n: ``points`` probability-plot points instead of n.
+
+    Theoretical quantiles at p_j = (j - 0.5) / points; sample quantiles from
+    one fixed-size sketch pass (rank error at most n / accuracy)."""
+    probs = [(j - 0.5) / points for j in range(1, points + 1)]
+    q = df.agg(F.percentile_approx(col_of(col).cast("double"), probs, accuracy).alias("q"))
+    pts = q.select(F.posexplode("q").alias("j", "osr"))
+    p = (F.col("j") + 0.5) / points
+    return pts.select((F.col("j") + 1).cast("bigint").alias("i"), p.alias("p"), "osr", norm_ppf_col(p).alias("osm"))

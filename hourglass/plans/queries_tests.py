@@ -92,3 +92,9 @@ SELECT regr_slope(osr, osm) AS slope, regr_intercept(osr, osm) AS intercept, cor
 def qq_fit(spark, sf_dir):
     """H7 line through the probability plot."""
     return hyp.qq_fit(hyp.qq_points(read_table(spark, sf_dir, "customer"), "c_acctbal"))
+
+
+@register("qq_grid")
+def qq_grid(spark, sf_dir):
+    """H7 at scale: 1000-point probability plot of the whole column from one sketch pass."""
+    return hyp.qq_grid(read_table(spark, sf_dir, "lineitem"), "l_extendedprice")

@@ -72,3 +72,13 @@ def test_qq_points_ranks(spark):
     fit = H.qq_fit(spark.createDataFrame(pts)).first()
     k, c = np.polyfit(norm_ppf(v), np.sort(x), 1)
     assert fit.slope == pytest.approx(k, rel=1e-6) and fit.intercept == pytest.approx(c, rel=1e-6)
+
+
+def test_qq_grid_close_to_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(10, 2, 20000)
+    pts = H.qq_grid(spark.createDataFrame(pd.DataFrame({"x": x})), "x", points=200).orderBy("i").toPandas()
+    assert len(pts) == 200
+    exact = np.quantile(x, pts.p, method="inverted_cdf")
+    assert np.max(np.abs(pts.osr - exact)) < 0.05          # sketch rank error <= n / accuracy
+    assert np.allclose(pts.osm, norm_ppf(pts.p.to_numpy()), atol=5e-9)
