@@ -46,6 +46,7 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None,
     return long.select(
         "column",
         F.col("missing").cast("bigint").alias("missing"),
+        F.col("n").cast("bigint").alias("rows"),
         pct.alias("missing_pct"),
         F.when(share > drop_above, F.lit("DROPPED"))
          .when(F.col("missing") > 0, F.lit("Median imputation"))
@@ -55,8 +56,9 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None,
 
 
 def overall_missing_pct(profile: DataFrame) -> DataFrame:
-    """M3: mean over columns of the missing share."""
-    return profile.agg(F.round(F.avg(F.col("missing_pct")), 1).alias("overall_missing_pct"))
+    """M3: mean over columns of the (unrounded) missing share, in % to 1 dp."""
+    return profile.agg(F.round(F.avg(ratio(F.col("missing") * 100.0, F.col("rows"))), 1)
+                       .alias("overall_missing_pct"))
 
 
 def sparse_columns(df: DataFrame, threshold: float = 50.0, cols: Sequence[str] | None = None) -> list[str]:

@@ -63,6 +63,9 @@ def analyses(df: DataFrame, raw_df: DataFrame) -> dict[str, DataFrame]:
     """The data behind every analysis tab, keyed '<tab>.<item>'."""
     out: dict[str, DataFrame] = {}
     ts = "Datetime"
+    # landing page: the raw file's shape, sensor count and overall missing share
+    out["home.kpis"] = prof.shape_kpis(raw_df)
+    out["home.missing_pct"] = prof.overall_missing_pct(prof.missing_profile(raw_df))
     # overview
     out["overview.kpis"] = prof.shape_kpis(df, ts=ts)
     out["overview.head"] = df.orderBy(ts).limit(10)

@@ -124,14 +124,14 @@ _MISSING_COLS = ("event_id", "ts", "user_id", "event_type", "value")
 _MISSING_SQL = "WITH " + RAW_EVENTS_SQL + ",\ncounts AS (\n" + "\nUNION ALL\n".join(
     f"  SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS n FROM nulled"
     for c in _MISSING_COLS) + """)
-SELECT "column", missing, round(missing * 100.0 / n, 1) AS missing_pct,
+SELECT "column", missing, n AS rows, round(missing * 100.0 / n, 1) AS missing_pct,
        CASE WHEN missing * 100.0 / n > 50 THEN 'DROPPED'
             WHEN missing > 0 THEN 'Median imputation' ELSE '-' END AS action,
        CASE WHEN missing * 100.0 / n > 50 THEN 1 ELSE 0 END AS over_threshold
 FROM counts"""
 
 
-@register("missing_profile", _MISSING_SQL, floats=["missing_pct"], ints=["missing", "over_threshold"])
+@register("missing_profile", _MISSING_SQL, floats=["missing_pct"], ints=["missing", "rows", "over_threshold"])
 def missing_profile(spark, sf_dir):
     """M2/M4 (+P1): per-column missing count, %, rule-based action, 50 % flag."""
     raw = nullify_sentinel(sensor_events(spark, sf_dir), ["value"])
@@ -141,7 +141,7 @@ def missing_profile(spark, sf_dir):
 @register("overall_missing", "WITH " + RAW_EVENTS_SQL + """
 SELECT round(avg(pct), 1) AS overall_missing_pct FROM (
 """ + "\nUNION ALL\n".join(
-    f"  SELECT round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 1) AS pct FROM nulled"
+    f"  SELECT count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS pct FROM nulled"
     for c in _MISSING_COLS) + "\n)", floats=["overall_missing_pct"])
 def overall_missing(spark, sf_dir):
     """M3: mean of the per-column missing percentages."""

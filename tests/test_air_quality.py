@@ -95,3 +95,15 @@ def test_report_claims(aq):
     assert rep["rush_test_p"].held == "held" and rep["min_abs_sensor_r"].held == "held"
     assert rep["r_temperature_co"].held == "held"          # built in: CO falls as T rises
     assert rep["rush_uplift_pct"].held in ("held", "not held")
+
+
+def test_home_kpis_match_pandas(aq):
+    frame, df, raw = aq
+    tabs = AQ.analyses(df, raw)
+    k = tabs["home.kpis"].first()
+    pdf = frame.replace(-200, np.nan).drop(columns=["Unnamed: 15", "Unnamed: 16"])
+    assert k.rows == len(pdf) + 3                      # the blank trailing rows are still rows here
+    assert k.sensor_columns == 5
+    padded = pd.concat([pdf, pd.DataFrame([[np.nan] * pdf.shape[1]] * 3, columns=pdf.columns)])
+    want = round(padded.isnull().mean().mean() * 100, 1)
+    assert tabs["home.missing_pct"].first().overall_missing_pct == pytest.approx(want)
