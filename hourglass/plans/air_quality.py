@@ -70,7 +70,8 @@ def analyses(df: DataFrame, raw_df: DataFrame) -> dict[str, DataFrame]:
     out["overview.kpis"] = prof.shape_kpis(df, ts=ts)
     out["overview.head"] = df.orderBy(ts).limit(10)
     out["overview.types"] = prof.type_profile(df)
-    out["overview.describe"] = prof.describe(df, NUMERIC)
+    out["overview.describe"] = prof.describe(df, TARGETS + WEATHER)
+    out["overview.dictionary"] = prof.data_dictionary(df, AIR_QUALITY.roles())
     # univariate
     out["univariate.skew"] = prof.skewness(df, NUMERIC)
     for c in NUMERIC:
