@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import norm_ppf_col, shapiro_wilk, t_pvalue_udf
 from ..functions.scalar import EFFECT_BANDS, EFFECT_ELSE, bucket_label, col_of, ratio, skew_shape
+from ..session import materialise
 
 
 def group_moments(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -122,7 +123,7 @@ def hash_sample(df: DataFrame, cols: Sequence[str], size: int = 500, seed: int =
             cond = term if cond is None else cond | term
         # about 4 x size rows per column survive: materialise them once
         kept = long.filter(cond)
-        kept = kept.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else kept.cache()
+        kept = materialise(kept)
         got = {r["column"]: r["n"] for r in kept.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         short = [c for c in cols if got.get(c, 0) < min(size, counts.get(c, 0)) and frac[c] < 1.0]
         if not short:

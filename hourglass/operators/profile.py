@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col_of, ratio
 from .clean import numeric_columns
 from .quantiles import grouped_quantiles, quantiles
+from ..session import materialise
 
 
 def _unpivot(one_row: DataFrame, labels: list[str], fields: list[str], key: str = "column") -> DataFrame:
@@ -286,8 +287,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     the total is one scalar from them, so no window gathers all distinct
     values into one task, whatever the column's cardinality."""
     counts = df.groupBy(col_of(col).alias(col)).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        counts = counts.checkpoint(eager=True)
+    counts = materialise(counts)
     total = counts.agg(F.sum("count")).first()[0] or 0
     return counts.select(col, "count", ratio(F.col("count") * 100.0, F.lit(total)).alias("share_pct"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of
+from ..session import materialise
 
 WINDOW_LIMIT = 100_000
 ACCURACY = 10_000
@@ -332,6 +333,4 @@ def _narrow(data: DataFrame, keys: list[str], pending: DataFrame, n_pending: int
 
 def _persist(spark, df: DataFrame) -> DataFrame:
     """Cut lineage between rounds (shared checkpoint folder)."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return df.checkpoint(eager=True)
-    return df.cache()
+    return materialise(df)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import mackinnon_crit, mackinnon_p
 from ..functions.scalar import col_of, ratio
+from ..session import materialise
 
 
 def bucket(ts, freq: str = "1 hour") -> Column:
@@ -300,8 +301,7 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
         base = base.withColumn("_series", F.lit(0))
     # the bucketed series is read twice (size scan, Gram pass): materialise it
     # once in the shared checkpoint folder, which also cuts the lineage
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        base = base.checkpoint(eager=True)
+    base = materialise(base)
     # largest lag any key can use: one scalar from the largest series
     n_max = base.groupBy(*gkeys).count().agg(F.max("count")).first()[0]
     key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)

@@ -55,6 +55,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def can_checkpoint(spark: SparkSession) -> bool:
+    """True when reliable checkpoints have a (shared) folder to go to."""
+    try:
+        return spark.sparkContext.getCheckpointDir() is not None
+    except Exception:  # noqa: BLE001  (no SparkContext on a Connect client)
+        return bool(spark.conf.get("spark.checkpoint.dir", None))
+
+
+def materialise(df):
+    """Compute ``df`` once for several later reads: a reliable checkpoint in
+    the shared folder when one is configured (survives executor loss and cuts
+    the lineage), else a cache."""
+    return df.checkpoint(eager=True) if can_checkpoint(df.sparkSession) else df.cache()
+
+
 def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
