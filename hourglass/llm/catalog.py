@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import quality_rules
+from hourglass.llm import bpe, chat, packing, quality_rules, token_files
 from hourglass.llm.common import table
 
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    """The place of an installed public vocabulary file (the same on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary(BYTE_BPE)
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(spark, table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_hostile(table(spark, sf_dir, "conversations"))
+    return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op6_token_files, op7_packing, op10_chat)}
+ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
