@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import bpe, chat, packing, quality_rules, token_files
+from hourglass.llm import bpe, chat, packing, quality_model, quality_rules, token_files
 from hourglass.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(spark, table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
@@ -39,5 +44,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op6_token_files, op7_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_quality_model, op6_token_files, op7_packing, op10_chat)}
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
