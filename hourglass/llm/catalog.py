@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import bpe, chat, packing, quality_model, quality_rules, token_files
+from hourglass.llm import bpe, chat, packing, quality_model, quality_rules, substring_dedup, token_files
 from hourglass.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_quality(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -44,5 +48,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_quality_model, op6_token_files, op7_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op5_quality_model, op6_token_files, op7_packing, op10_chat)}
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
