@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import bpe, chat, packing, quality_model, quality_rules, substring_dedup, token_files
+from hourglass.llm import bpe, chat, near_dedup, packing, quality_model, quality_rules, substring_dedup, token_files
 from hourglass.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"), words=2, per_cent=80)
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -48,5 +52,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op5_quality_model, op6_token_files, op7_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op4_near_dedup, op5_quality_model, op6_token_files, op7_packing, op10_chat)}
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
