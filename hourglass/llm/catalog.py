@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import bpe, chat, near_dedup, packing, quality_model, quality_rules, substring_dedup, token_files, vector_search
+from hourglass.llm import bpe, chat, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_files, vector_search
 from hourglass.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -51,10 +51,14 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_hostile(table(spark, sf_dir, "conversations"))
     return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op4_near_dedup, op5_quality_model, op6_token_files, op7_packing, op8_vector_search, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op4_near_dedup, op5_quality_model, op6_token_files, op7_packing, op8_vector_search, op9_suffix_dedup, op10_chat)}
 ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
