@@ -111,7 +111,10 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **params) -> DataFrame:
     """The kept documents with their columns; the text loses its failing lines and ``chars_col`` follows it."""
     q = "__hourglass_quality"
-    kept = with_quality(docs, text_col, q, **params).where(F.col(q)["kept"])
+    # The condition is always true.  It makes the verdict a column that the optimiser does not push down: it would
+    # copy the whole expression trees behind the verdict into a filter on the scan.
+    verdict = F.when(F.monotonically_increasing_id() >= 0, F.col(q)["kept"])
+    kept = with_quality(docs, text_col, q, **params).withColumn(q + "_kept", verdict).where(F.col(q + "_kept"))
     new = {text_col: F.col(q)["cleaned"], chars_col: F.char_length(F.col(q)["cleaned"]).cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
