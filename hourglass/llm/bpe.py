@@ -18,13 +18,13 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from hourglass.llm.chunks import WHITE, ChunkCoder, text_blocks, worker_coder
-from hourglass.llm.common import map_rows, text_rows
+from hourglass.llm.chunks import REMEMBERED, WHITE, ChunkCoder, text_blocks, worker_coder
+from hourglass.llm.common import text_rows
 
 #: The published pre-token pattern of this vocabulary, white space spelled out (fixed values).
 PRETOKEN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
             rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-BLOCK_BYTES = 1_000_000   # symbols indexed at a time
+BLOCK_BYTES = 500_000    # symbols indexed at a time
 
 
 def byte_letters() -> dict[str, int]:
@@ -140,20 +140,22 @@ def index_coder(path: str, words: bool) -> ChunkCoder:
                 ids.update(zip(new[i:j], merge_all(raw[i:j], v)))
         return [b"".join(ids[x] for x in c) for c in cut]
 
-    return ChunkCoder(encode_many, words)
+    return ChunkCoder(encode_many, words, REMEMBERED // 2)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids``: the ids of every whole text as little-endian unsigned 32-bit integers."""
-    def run(frames):
+    def run(batches):
+        import pyarrow as pa
+
         coder = worker_coder(path, False, index_coder)
-        for frame in frames:
-            for part in text_blocks(frame):
-                part = part[["doc_id"]].assign(ids=coder.encode(part["text"].tolist()))
-                part["n_tokens"] = part["ids"].map(len) // 4
-                yield part[["doc_id", "n_tokens", "ids"]]
+        for batch in batches:
+            for part in text_blocks(batch, size=4_000_000):
+                ids = coder.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                                  pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return map_rows(text_rows(docs, id_col, text_col), run, "n_tokens long, ids binary")
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 _VOCABULARY: dict[str, Vocabulary] = {}
@@ -161,15 +163,21 @@ _VOCABULARY: dict[str, Vocabulary] = {}
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, text`` from what :func:`encode` returns (special ids are kept as their strings)."""
-    def run(frames):
+    def run(batches):
+        import pyarrow as pa
+
         if path not in _VOCABULARY:
             _VOCABULARY[path] = Vocabulary(path)
         of = _VOCABULARY[path].bytes.__getitem__
-        for frame in frames:
-            yield frame.assign(text=[b"".join(map(of, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")
-                                     for x in frame["ids"]])
-
-    return map_rows(encoded.select("doc_id", "n_tokens", "ids"), run, "n_tokens long, ids binary, text string")
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")
+                         for x in part.column("ids").to_pylist()]
+                yield part.append_column("text", pa.array(texts, pa.string()))
+
+    rows = encoded.select("doc_id", "n_tokens", "ids")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

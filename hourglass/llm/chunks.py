@@ -10,13 +10,17 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode White_Space, as the tokenizers' own patterns read ``\s`` (fixed values).
 WHITE = "\t-\r \x85\xa0  -     　"
 _TWO_WHITE = re.compile(f"[{WHITE}][{WHITE}]")
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
-REMEMBERED = 300_000      # chunks kept between blocks
+_MARK = "\x1f"            # cuts chunks; a text that holds it is cut by pattern
+
+REMEMBERED = 600_000      # chunks kept between blocks
 LONGEST_KEPT = 48         # longer chunks are encoded again
 
 
@@ -28,29 +32,66 @@ class ChunkCoder:
     goes on from a non-space character to white space, so that cut is exact.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], words: bool):
-        self.encode_many, self.words, self.known = encode_many, words, {"": b""}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], words: bool, remembered: int = REMEMBERED):
+        self.encode_many, self.words, self.remembered, self.known = encode_many, words, remembered, {"": b""}
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: list[str]) -> pa.ListArray:
+        """The chunks of each text.  With one white-space character at most between runs, cutting before each space
+        and newline is enough; other texts are cut by pattern."""
         if self.words:
-            return text.replace("\n", " ").split(" ")
-        if _TWO_WHITE.search(text):
-            return _CHUNK.findall(text)
-        # one white-space character before each run at most: cut at spaces, keep each space with what follows
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
+            return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        odd = {i for i, x in enumerate(texts) if _MARK in x or _TWO_WHITE.search(x)}
+        plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)] if odd else texts, pa.string())
+        for white in " \n":
+            plain = pc.replace_substring(plain, white, _MARK + white)
+        cut = pc.split_pattern(plain, _MARK)
+        if not odd:
+            return cut
+        order = np.arange(len(texts))
+        found = sorted(odd)
+        order[found] = len(texts) + np.arange(len(found))
+        return pa.concat_arrays([cut, pa.array([_CHUNK.findall(texts[i]) for i in found], pa.list_(pa.string()))]).take(pa.array(order))
+
+    def _learn(self, new: list[str]) -> list[str]:
+        """Encode the distinct chunks of ``new``; returns all that the table got.
+
+        A letter and a full stop or comma after it are never in one pre-token: such a chunk is its stem and its tail.
+        """
+        known, parts = self.known, []
+        for w in new:
+            stem = w.rstrip(".,")
+            if stem != w and stem[-1:].lower().isalpha():     # some letters end in a mark when lowered
+                parts.append((w, stem, w[len(stem):]))
+        whole = {w for w, _, _ in parts}
+        plain = dict.fromkeys(w for w in new if w not in whole)
+        plain.update((x, None) for p in parts for x in p[1:] if x not in known)
+        plain = list(plain)
+        for i in range(0, len(plain), 50_000):
+            known.update(zip(plain[i:i + 50_000], self.encode_many(plain[i:i + 50_000])))
+        known.update((w, known[stem] + known[tail]) for w, stem, tail in parts)
+        return [*plain, *whole]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, get = self.known, self.known.get
-        cut = [self._cut(x) for x in texts]
-        new = [w for c in cut for w in c if w not in known]
-        if new:
-            new = list(dict.fromkeys(new))
-            known.update(zip(new, self.encode_many(new)))
-        out = [b"".join(map(get, c)) for c in cut]
-        over = len(known) - REMEMBERED
-        for i, w in enumerate(reversed(new)):
-            if i < over or len(w) > LONGEST_KEPT:
+        if not texts:
+            return []
+        known, cut = self.known, self._cut(texts)
+        coded = cut.flatten().dictionary_encode()
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        del cut
+        chunks = coded.dictionary.to_pylist()
+        new = [w for w in chunks if w not in known]
+        got = self._learn(new) if new else []
+        # the data of this array is the ids of all texts, one after another
+        ids = pa.array([known[w] for w in chunks], pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] is not None else memoryview(b"")
+        ends = ends[at].tolist()
+        out = [bytes(data[i:j]) for i, j in zip(ends, ends[1:])]
+        over = len(known) - self.remembered
+        for w in got[len(got) - over:] if over > 0 else ():
+            known.pop(w, None)
+        for w in got:
+            if len(w) > LONGEST_KEPT:
                 known.pop(w, None)
         return out
 
@@ -107,9 +148,10 @@ def worker_coder(path: str, words: bool, make=library_coder) -> ChunkCoder:
     return _CODERS[key]
 
 
-def text_blocks(frame, text_col: str = "text", chars: int = 8_000_000):
-    """Row slices of a pandas frame holding about ``chars`` characters each (one row at least)."""
-    size = frame[text_col].str.len().to_numpy()
-    block = (np.cumsum(size) - size) // chars
-    for b in np.unique(block):
-        yield frame[block == b]
+def text_blocks(batch: pa.RecordBatch, text_col: str = "text", size: int = 16_000_000):
+    """Row slices of an Arrow batch holding about ``size`` bytes of text each (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // size
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(i, j - i)

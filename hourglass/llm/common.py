@@ -34,9 +34,3 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Only the two columns an operator needs, under fixed names; a null text reads as empty."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-
-
-def map_rows(rows: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
-    """``mapInPandas`` with the long column ``key`` as text inside: pandas would make a float of one that holds nulls."""
-    out = rows.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
-    return out.withColumn(key, F.col(key).cast("long"))

@@ -97,16 +97,15 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean
         import pyarrow as pa
 
         for batch in frames:
-            frame = batch.to_pandas()
-            for block in text_blocks(frame, chars=4_000_000):
-                owner, start, length, digest = cut([x.encode() for x in block["text"]], mean)
+            for block in text_blocks(batch, size=4_000_000):
+                owner, start, length, digest = cut([x.encode() for x in block.column("text").to_pylist()], mean)
                 order = np.lexsort((start, digest, owner))
                 again = np.zeros(len(order), np.int64)
                 same = (digest[order][1:] == digest[order][:-1]) & (owner[order][1:] == owner[order][:-1])
                 again[order[1:][same]] = 1
-                tag = block["tag"].to_numpy(np.int64)[owner]
+                tag = block.column("tag").to_numpy()[owner]
                 place = tag << 42 | start << 9 | length << 1 | again
-                doc = block["doc"].to_numpy(np.int64)[owner]
+                doc = block.column("doc").to_numpy()[owner]
                 for i in range(0, len(digest), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in (digest, doc, place)], ["digest", "doc", "place"])
 

@@ -133,10 +133,10 @@ class TokenFile:
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write one file a partition under ``folder``; the manifest has a row for each file."""
-    def run(frames: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import uuid
 
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         from tokenizers import Tokenizer
@@ -145,29 +145,28 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "d
         fs, root = _file_system(folder)
         name = f"{root}/tokens-{part:08d}.zst"
         draft = f"{root}/_draft-{part:08d}-{uuid.uuid4().hex}"
-        for frame in frames:
+        for batch in batches:
             coder = worker_coder(path, False)
-            for block in text_blocks(frame):
+            for block in text_blocks(batch):
                 if writer is None:
                     size = max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), end_id + 1)
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(draft, compression=None)
                     writer = TokenWriter(out, 2 if size <= 1 << 16 else 4)
-                for doc_id, raw in zip(block["doc_id"], coder.encode(block["text"].tolist())):
+                for doc_id, raw in zip(block.column("doc_id").to_pylist(), coder.encode(block.column("text").to_pylist())):
                     ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                    writer.add(None if doc_id is None else int(doc_id), ids)
+                    writer.add(doc_id, ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
         if writer is not None:
             writer.close()
             out.close()
             fs.move(draft, name)
-            yield pd.DataFrame({"part": [part], "file": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{folder}/{name.rsplit('/', 1)[1]}", "n_docs": n_docs, "n_tokens": n_tokens}],
+                                             pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ordered = (text_rows(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
                .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie"))
-    # ids as text: pandas would make floats of a long column that holds nulls
-    return ordered.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        run, "part int, file string, n_docs long, n_tokens long")
+    return ordered.mapInArrow(run, "part int, file string, n_docs long, n_tokens long")
 
 
 def read(manifest: DataFrame) -> DataFrame:
