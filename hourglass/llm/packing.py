@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hourglass.llm.chunks import text_blocks, worker_coder
-from hourglass.llm.common import map_rows, stored, text_rows
+from hourglass.llm.common import stored, text_rows
 
 CAPACITY = 2048
 
@@ -33,20 +33,25 @@ CAPACITY = 2048
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, words: bool = True,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: ids of every whole text and the end id, cut at ``capacity``."""
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
         end = np.array([end_id], "<u4").tobytes()
-        for frame in frames:
+        for batch in batches:
             coder = worker_coder(path, words)
-            for block in text_blocks(frame):
-                rows = [(d, k, k * capacity, len(part) // 4, zlib.crc32(part), part)
-                        for d, raw in zip(block["doc_id"], coder.encode(block["text"].tolist()))
-                        for k, part in enumerate(_cut(raw + end, 4 * capacity))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            for block in text_blocks(batch):
+                cut = [_cut(raw + end, 4 * capacity) for raw in coder.encode(block.column("text").to_pylist())]
+                n = [len(c) for c in cut]
+                piece = np.concatenate([np.arange(k) for k in n]).astype(np.int32)
+                parts = [p for c in cut for p in c]
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(piece),
+                     pa.array(piece.astype(np.int64) * capacity), pa.array([len(p) // 4 for p in parts], pa.int64()),
+                     pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts, pa.binary())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return map_rows(text_rows(docs, id_col, text_col), run,
-                    "piece int, start long, length long, ids_crc32 long, ids binary")
+    return text_rows(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def _cut(raw: bytes, size: int) -> list[bytes]:
@@ -108,7 +113,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("d
     earlier = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
     ranked = salted.withColumn("__row", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*keys)))
-    ranked = (ranked.join(base, ["length", "__salt"])
+    ranked = (ranked.join(base.hint("merge"), ["length", "__salt"])        # both lie by that key; a broadcast would grow
               .withColumn("__rank", (F.col("__base") + F.col("__row") - 1).cast("long"))
               .select(*own, "__rank"))
     key = moves[:, 0] << 44 | moves[:, 1]
