@@ -34,8 +34,8 @@ from hourglass.llm.common import stored
 
 WIDTH = 400
 GRAM = 32                      # bytes of an anchor
-GROUP = 1024                   # distinct contexts of a fingerprint in one suffix array
-BATCH = 2_000_000              # bytes in one suffix array, or a group more
+GROUP = 8192                   # distinct contexts of a fingerprint in one suffix array: 6 MB, some 300 MB of ranks
+BATCH = 1_000_000              # bytes in one suffix array, or a group more
 SEGMENT = 4_000_000            # bytes of text handled at a time
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 24) - 1)
@@ -121,11 +121,33 @@ def _anchors(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "fp long, ctx binary, doc long, tag long, first long, last long")
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+    return out
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The rank of each row of ``parts`` (columns of ranks, most significant first)."""
+    key, bits = parts[0].astype(np.int64), int(parts[0].max(initial=0)).bit_length()
+    for p in parts[1:]:
+        more = int(p.max(initial=0)).bit_length()
+        if bits + more > 63:
+            key = _ranks(key).astype(np.int64)
+            bits = int(key.max(initial=0)).bit_length()
+        key, bits = key << more | p, bits + more
+    return _ranks(key)
+
+
 class SuffixArray:
     """The chosen starts of several contexts in order, with the common prefix of neighbours from ``width`` on.
 
-    Prefix doubling over the contexts laid end to end with a zero byte between; what a comparison sees behind a
-    context's end is cut off by the bytes that are left.
+    Prefix growth over the contexts laid end to end with a zero byte between: ranks of 8 bytes, then of three times as
+    many, as long as that fits in ``width``; only starts are then ranked by ``width`` bytes and by all that follows.  What a
+    comparison sees behind a context's end is cut off by the bytes that are left.
     """
 
     def __init__(self, contexts: list[bytes], width: int):
@@ -141,26 +163,38 @@ class SuffixArray:
         self.owner = np.repeat(np.arange(len(contexts)), starts)
         self.start = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
         at = begin[self.owner] + self.start
-        levels = [np.unique(words, return_inverse=True)[1].astype(np.int32)]
-        h, longest = 8, int(size.max())
-        while h < longest:
-            rank = levels[-1]
-            ahead = np.zeros(n, np.int64)
-            ahead[:n - h] = rank[h:] + 1 if n > h else 0
-            levels.append(np.unique(rank.astype(np.int64) << 32 | ahead, return_inverse=True)[1].astype(np.int32))
-            h *= 2
-        order = np.argsort(levels[-1][at], kind="stable")
-        self.owner, self.start, at = self.owner[order], self.start[order], at[order]
+
+        def ahead(rank: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros(n, np.int32)
+            out[:max(0, n - by)] = rank[by:] + 1                               # 0: behind the end of everything
+            return out
+
+        levels, h = [(min(8, width), _ranks(words if width >= 8 else words >> np.uint64(8 * (8 - width))))], min(8, width)
+        while 3 * h <= width:
+            rank = levels[-1][1]
+            levels.append((3 * h, _joined([rank + 1, ahead(rank, h), ahead(rank, 2 * h)])))
+            h *= 3
+        top, longest = levels[-1][1], int(size.max())
+        see = lambda by: np.where(at + by < n, top[np.minimum(at + by, n - 1)] + 1, 0)
+        wide = _joined([see(min(by, width - h)) for by in range(0, width, h)])  # ranks of ``width`` bytes
+        full = _joined([wide, *[see(by) for by in range(width, longest, h)]]) if longest > width else wide
+        order = np.argsort(full, kind="stable")
+        self.owner, self.start, at, wide = self.owner[order], self.start[order], at[order], wide[order]
         left = size[self.owner] - self.start                                   # bytes to the context's end
-        a, b = at[:-1], at[1:]
-        common, room = np.zeros(len(a), np.int64), np.minimum(left[:-1], left[1:])
-        for k in range(len(levels) - 1, -1, -1):
-            x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
-            common += np.where((common < room) & (levels[k][x] == levels[k][y]), 8 << k, 0)
+        self.common = np.zeros(max(0, len(at) - 1), np.int64)
+        same = np.flatnonzero(wide[1:] == wide[:-1])
+        a, b, room = at[same], at[same + 1], np.minimum(left[same], left[same + 1])
+        common = np.full(len(same), width, np.int64)
+        for step, rank in reversed(levels):
+            going = np.ones(len(same), bool)
+            while going.any():
+                x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+                going &= (common < room) & (rank[x] == rank[y])
+                common += np.where(going, step, 0)
         for _ in range(7):                                                     # the last bytes, one by one
             x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
             common += (common < room) & (code[x] == code[y])
-        self.common = np.minimum(common, room)
+        self.common[same] = np.minimum(common, room)
         # what stands before each start; a context's first start counts as different from all
         before = code[np.maximum(at - 1, 0)].astype(np.int64)
         self.before = np.where(self.start == 0, 256 + np.arange(len(at)), before)
