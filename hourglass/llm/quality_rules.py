@@ -89,13 +89,16 @@ def with_quality(docs: DataFrame, text_col: str = "text", out: str = "quality",
         p + "lost": chars(lambda x: x["code"] != PASS),
     })
     c = lambda x: F.col(p + x)
+    # The condition is always true.  A projection with it is one that filters are not pushed through: the optimiser
+    # would copy the whole expression trees behind a verdict, many times over, into a filter on the scan.
+    once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)
     base = (c("n") < min_words) | (c("r") * 100 > c("n") * repeat_share)
     lost = c("lost") * 100 > c("all") * lost_share
     return step.select(*[F.col(f"`{x}`") for x in own], F.struct(
         c("n").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(wl) - F.size(F.array_distinct(wl))).cast("long").alias("n_dup_lines"),
-        c("r").alias("n_repeat_words"), base.alias("base_failed"), (~base & ~lost).alias("kept"),
+        c("r").alias("n_repeat_words"), base.alias("base_failed"), once(~base & ~lost).alias("kept"),
         failed(BAD_PUNCTUATION).alias("n_bad_punctuation"), failed(NAVIGATION).alias("n_navigation"),
         failed(BOILER).alias("n_boilerplate"), c("all").alias("line_chars"), c("lost").alias("lost_chars"),
         F.array_join(F.transform(F.filter(lc, lambda x: x["code"] == PASS), lambda x: x["line"]), "\n").alias("cleaned"),
@@ -111,10 +114,7 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **params) -> DataFrame:
     """The kept documents with their columns; the text loses its failing lines and ``chars_col`` follows it."""
     q = "__hourglass_quality"
-    # The condition is always true.  It makes the verdict a column that the optimiser does not push down: it would
-    # copy the whole expression trees behind the verdict into a filter on the scan.
-    verdict = F.when(F.monotonically_increasing_id() >= 0, F.col(q)["kept"])
-    kept = with_quality(docs, text_col, q, **params).withColumn(q + "_kept", verdict).where(F.col(q + "_kept"))
+    kept = with_quality(docs, text_col, q, **params).where(F.col(q)["kept"])
     new = {text_col: F.col(q)["cleaned"], chars_col: F.char_length(F.col(q)["cleaned"]).cast("long")}
     return kept.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
