@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_ROWS = 20_000
-TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 60, 4, 0.2, 64, 20, 1.0
+TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 60, 4, 0.2, 64, 4, 1.0
 CUT = 0.3
 
 STATISTICS = [
