@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of, ratio
+from ..session import cut_lineage
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -106,6 +107,8 @@ def _roc_table(pred: DataFrame, label: str, score: str, partitions: int | None =
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sc = _score_counts(pred, label, score)
     ranged = sc.repartitionByRange(partitions, F.desc("threshold")).withColumn("pid", F.spark_partition_id())
+    # written once: the two branches below must see the same partitions, and range bounds are sampled per run
+    ranged = cut_lineage(ranged)
     w = Window.partitionBy("pid").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({"ltp": F.sum("pos").over(w), "lfp": F.sum("neg").over(w)})
     tot = ranged.groupBy("pid").agg(F.sum("pos").alias("ppos"), F.sum("neg").alias("pneg"))
@@ -140,5 +143,5 @@ def auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFram
     trapezoid area under ``roc_curve``."""
     t = _roc_table(pred, label, score)
     neg_below = F.col("N") - F.col("fps")
-    return t.agg(ratio(F.sum(F.col("pos") * (neg_below + 0.5 * F.col("neg"))),
-                       F.first("P") * F.first("N")).alias("auc"))
+    return t.agg(ratio(F.sum(F.col("pos").cast("double") * (neg_below + 0.5 * F.col("neg"))),
+                       F.first("P").cast("double") * F.first("N")).alias("auc"))

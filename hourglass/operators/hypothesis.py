@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import norm_ppf_col, shapiro_wilk, t_pvalue_udf
 from ..functions.scalar import EFFECT_BANDS, EFFECT_ELSE, bucket_label, col_of, ratio, skew_shape
-from ..session import materialise
+from ..session import cut_lineage, materialise
 
 
 def group_moments(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -157,8 +157,8 @@ def qq_points(df: DataFrame, col: str, partitions: int | None = None) -> DataFra
     """H7: normal probability plot data: (i, sample quantile, theoretical quantile).
 
     Ranks are computed without a single-task window: rows are range
-    partitioned on (x, row hash) -- the hash spreads a heavily repeated value
-    over several partitions -- and sorted within partitions; a row's rank is
+    partitioned on (x, row number) -- the number spreads a heavily repeated value
+    over several partitions, and no other column is read -- and sorted within partitions; a row's rank is
     its position in the partition plus the row count of all earlier
     partitions (one small count per partition).  Theoretical quantiles are
     Filliben's order-statistic medians through the inverse normal CDF.
@@ -166,12 +166,14 @@ def qq_points(df: DataFrame, col: str, partitions: int | None = None) -> DataFra
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = col_of(col).cast("double")
-    data = df.select(x.alias("x"), F.xxhash64(*[col_of(c) for c in df.columns]).alias("_h")) \
+    data = df.select(x.alias("x"), F.monotonically_increasing_id().alias("_h")) \
              .filter(F.col("x").isNotNull())
     ranged = (data.repartitionByRange(partitions, "x", "_h").sortWithinPartitions("x", "_h")
                   .withColumn("_id", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({"pid": F.shiftright("_id", 33),
                                  "local": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    # written once: ranks and counts must see the same partitions, and range bounds are sampled per run
+    ranged = cut_lineage(ranged)
     per_part = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
     offsets = per_part.select(
         "pid", (F.sum("cnt").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))).alias("off"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of, ratio
 from .clean import numeric_columns
+from .joins import key_join, measured
 from .quantiles import grouped_quantiles, quantiles
 from ..session import materialise
 
@@ -184,7 +185,8 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
                                     F.when(flat, F.max("x") + 0.5).otherwise(F.max("x")).alias("hi"),
                                     F.count(F.lit(1)).alias("n"))
     if keys:
-        binned = data.join(stats, list(keys))
+        stats = measured(stats)
+        binned = key_join(data, stats, keys)
     else:
         row = stats.first()
         if row is None:
@@ -194,7 +196,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40, keys: Sequence[str] = (),
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
     spine = stats.select(*keys, "lo", "hi", "n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
-    out = (spine.join(counts, [*keys, "bin"], "left")
+    out = (key_join(spine, counts, [*keys, "bin"], "left")
            .select(*keys, "bin",
                    (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
                    F.when(F.col("bin") == bins - 1, F.col("hi"))
@@ -246,7 +248,7 @@ def boxplot_stats(df: DataFrame, col: str, keys: Sequence[str] = (), whis: float
     q = q.withColumns({"fence_lo": F.col("q1") - whis * (F.col("q3") - F.col("q1")),
                        "fence_hi": F.col("q3") + whis * (F.col("q3") - F.col("q1"))})
     xc = F.col("x")
-    out = data.join(q, keys).groupBy(*keys, "n", "q1", "median", "q3", "fence_lo", "fence_hi").agg(
+    out = key_join(data, measured(q), keys).groupBy(*keys, "n", "q1", "median", "q3", "fence_lo", "fence_hi").agg(
         F.avg("x").alias("mean"),
         F.min(F.when(xc >= F.col("fence_lo"), xc)).alias("whisker_lo"),
         F.max(F.when(xc <= F.col("fence_hi"), xc)).alias("whisker_hi"),

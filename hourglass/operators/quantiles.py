@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of
 from ..session import materialise
+from .joins import key_join, measured
 
 WINDOW_LIMIT = 100_000
 ACCURACY = 10_000
@@ -238,7 +239,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Seque
                  F.count_if(x < lo).alias(f"_b{j}"), F.count_if(x == lo).alias(f"_e{j}"),
                  F.count_if(inside).alias(f"_m{j}"), F.count_if((x == hi) & (hi != lo)).alias(f"_t{j}"),
                  F.sort_array(F.collect_list(F.when(small & inside, x))).alias(f"_v{j}")]
-    counted = data.join(st, keys).groupBy(*keys).agg(*aggs)
+    counted = key_join(data, measured(st), keys).groupBy(*keys).agg(*aggs)
     rows = []
     for j in range(len(probs)):
         for w in (0, 1):
@@ -307,10 +308,10 @@ def _narrow(data: DataFrame, keys: list[str], pending: DataFrame, n_pending: int
     inb = ((F.col("_qbase_lo").isNull() | (x > F.col("_qbase_lo"))) &
            (F.col("_qbase_hi").isNull() | (x < F.col("_qbase_hi"))))
     grid = [i / GRID for i in range(GRID + 1)]
-    sk = (data.join(side, keys).filter(inb)
+    sk = (key_join(data, side, keys).filter(inb)
               .groupBy(*keys, "_qtid").agg(F.count(F.lit(1)).alias("_qnb"),
                                          F.percentile_approx(x, grid, acc).alias("_qg")))
-    tgt = tgt.join(sk, [*keys, "_qtid"])
+    tgt = key_join(tgt, sk, [*keys, "_qtid"])
     pos = F.col("_qrel") / F.greatest(F.col("_qnb") - 1, F.lit(1)) * GRID
     lo_i = F.greatest(F.floor(pos) - 1, F.lit(0)).cast("int")
     hi_i = F.least(F.ceil(pos) + 1, F.lit(GRID)).cast("int")
@@ -322,7 +323,7 @@ def _narrow(data: DataFrame, keys: list[str], pending: DataFrame, n_pending: int
     inside = inb & (x > lo) & (x < hi)
     # the grid bound: at most cells/GRID of the base plus the sketch error
     bound_ok = (F.col("_qnb") * (F.col("_qcells") / GRID + 2.0 / acc) + 8) <= WINDOW_LIMIT
-    cnt = (data.join(side, keys).filter(inb)
+    cnt = (key_join(data, side, keys).filter(inb)
                .groupBy(*keys, "_qtid").agg(
                    *[F.first(c).alias(c) for c in ("_n", "_qrank", "_qfrac", "_qbase_lo", "_qbase_hi", "_qrel", "_qlo", "_qhi")],
                    F.count_if(inb & (x < lo)).alias("_qb"), F.count_if(inb & (x == lo)).alias("_qe"),

@@ -8,6 +8,7 @@ the driver (k is the number of columns, not rows).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -118,19 +119,31 @@ def gram(df: DataFrame, cols: Sequence[str], centered: bool = False) -> tuple[np
     return g, int(row["n"])
 
 
+def _inflation(g: np.ndarray, i: int, tolerance: float = 1e-10) -> float | None:
+    """Total over residual sum of squares of column ``i`` regressed on the others."""
+    d = np.sqrt(np.diag(g))
+    if not d[i] > 0:
+        return None
+    others = [j for j in range(len(g)) if j != i and d[j] > 0]
+    if not others:
+        return 1.0
+    r = g / np.outer(np.where(d > 0, d, 1.0), np.where(d > 0, d, 1.0))      # unit diagonal: rank does not hang on units
+    beta = np.linalg.lstsq(r[np.ix_(others, others)], r[others, i], rcond=1e-12)[0]
+    rest = 1.0 - float(beta @ r[others, i])
+    return 1.0 / rest if rest > tolerance else math.inf
+
+
 def vif(df: DataFrame, cols: Sequence[str], centered: bool = False) -> DataFrame:
     """C11: variance inflation factor of each column on complete rows.
 
     ``centered=False`` (dashboard default): each column regressed on the
     others without an intercept, VIF_i = G_ii * (G^-1)_ii with G = X'X.
     ``centered=True``: classical VIF from the inverse correlation matrix.
+    A column that the others reproduce has an infinite VIF; one without any
+    variation (or, uncentred, all zero) has none (NULL).
     """
     cols = list(cols)
     g, n = gram(df, cols, centered)
-    if centered:
-        d = np.sqrt(np.diag(g))
-        g = g / np.outer(d, d)
-    inv = np.linalg.pinv(g)
-    values = [float(g[i, i] * inv[i, i]) for i in range(len(cols))]
+    values = [_inflation(g, i) for i in range(len(cols))]
     out = df.sparkSession.createDataFrame([(c, v) for c, v in zip(cols, values)], "feature string, vif double")
-    return out.select("feature", "vif", bucket_label("vif", VIF_BANDS, VIF_ELSE).alias("risk"))
+    return out.select("feature", "vif", F.when(F.col("vif").isNotNull(), bucket_label("vif", VIF_BANDS, VIF_ELSE)).alias("risk"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import mackinnon_crit, mackinnon_p
 from ..functions.scalar import col_of, ratio
 from ..session import materialise
+from .joins import key_join, measured
 
 
 def bucket(ts, freq: str = "1 hour") -> Column:
@@ -50,7 +51,7 @@ def resample(df: DataFrame, ts: str, cols: Sequence[str], freq: str = "1 hour",
         return agg
     span = agg.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
     spine = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {freq}"))).alias(ts))
-    return spine.join(agg, [*keys, ts], "left")
+    return key_join(spine, agg, [*keys, ts], "left")
 
 
 def _micros(duration: str) -> int:
@@ -60,8 +61,16 @@ def _micros(duration: str) -> int:
     return int(float(n) * per[unit.rstrip("s")])
 
 
+def _wall_micros(ts: str) -> Column:
+    """Microseconds since 1970 on the value's own clock, whatever the session time zone (no hour is lost or doubled)."""
+    t = F.col(ts)
+    day = F.unix_date(F.to_date(t)).cast("long")
+    second = F.date_part(F.lit("SECOND"), t).cast("decimal(8,6)")
+    return day * 86_400_000_000 + F.hour(t) * 3_600_000_000 + F.minute(t) * 60_000_000 + (second * 1_000_000).cast("long")
+
+
 def _chunk_of(ts: str, chunk: str) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(_micros(chunk))).cast("long")
+    return F.floor(_wall_micros(ts) / F.lit(_micros(chunk))).cast("long")
 
 
 def rolling_mean(df: DataFrame, col: str, ts: str, window: int = 168, keys: Sequence[str] = (),
@@ -86,7 +95,7 @@ def rolling_mean(df: DataFrame, col: str, ts: str, window: int = 168, keys: Sequ
     if overlap >= size:
         raise ValueError("chunk must be longer than the window")
     home = _chunk_of(ts, chunk)
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    t_us = _wall_micros(ts)
     copy_next = t_us >= (home + 1) * F.lit(size) - F.lit(overlap)
     chunks = F.when(copy_next, F.array(home, home + 1)).otherwise(F.array(home))
     cols = df.columns
@@ -111,7 +120,7 @@ def forward_fill_chunked(df: DataFrame, cols: Sequence[str], ts: str, keys: Sequ
     carry = summary.select(*keys, "_chunk", *[F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_in{i}")
                                               for i in range(len(cols))])
     w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    filled = data.join(carry, [*keys, "_chunk"])
+    filled = key_join(data, carry, [*keys, "_chunk"])
     return filled.select(*[F.coalesce(F.last(col_of(c), ignorenulls=True).over(w), F.col(f"_in{cols.index(c)}"))
                            .alias(c) if c in cols else col_of(c) for c in df.columns])
 
@@ -131,7 +140,7 @@ def lead_target(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (), step
     shifted = df.select(*keys, (F.col(ts) - F.expr(f"INTERVAL {steps * int(freq.split()[0])} "
                                                    f"{freq.split()[1]}")).alias(ts),
                         col_of(col).alias(name))
-    return df.join(shifted, [*keys, ts], "left")
+    return key_join(df, shifted, [*keys, ts], "left")
 
 
 # ---------------------------------------------------------------- positions and blocks
@@ -158,7 +167,7 @@ def positions(df: DataFrame, keys: Sequence[str], ts: str, chunk: str = "30 days
     if mean_of:
         sel.append(ratio(F.sum("_sum").over(whole), F.sum("_cnt").over(whole)).alias("_mean"))
     offs = chunks.select(*sel)
-    return (d.join(offs, [*keys, "_pc"]).withColumn("rn", F.col("_off") + F.col("_local"))
+    return (key_join(d, offs, [*keys, "_pc"]).withColumn("rn", F.col("_off") + F.col("_local"))
              .drop("_pc", "_local", "_off"))
 
 
@@ -202,16 +211,8 @@ def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys:
     s = df.select(*keys, col_of(ts).alias(ts), y.alias("observed")).filter(F.col("observed").isNotNull())
     h = period // 2
     bsize = _block_size(2 * h, block)
-    n_max = s.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if n_max <= bsize:
-        # every series fits in one block: one window per key (at most bsize rows)
-        kw = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        blk = (s.withColumn("rn", F.row_number().over(kw.orderBy(ts)) - 1)
-                .withColumn("n", F.count(F.lit(1)).over(kw))
-                .withColumns({"_blk": F.lit(0), "_home": F.lit(0)}))
-    else:
-        blk = blocked(positions(s, keys, ts, chunk), h, h, bsize)
-    blk = blk.filter(F.col("n") >= min_points)
+    blk = blocked(positions(s, keys, ts, chunk), h, h, bsize)
+    blk = blk.filter(F.col("n") >= max(min_points, 2 * period))
     w = Window.partitionBy(*keys, "_blk").orderBy("rn")
     total = F.sum("observed").over(w.rowsBetween(-h, h))
     if period % 2:
@@ -221,45 +222,39 @@ def seasonal_decompose(df: DataFrame, col: str, ts: str, period: int = 7, keys:
     s = (blk.withColumn("trend0", F.when((F.col("rn") >= h) & (F.col("rn") < F.col("n") - h), ma))
             .filter(F.col("_blk") == F.col("_home")).drop("_blk", "_home"))
     front, back = F.lit(h), F.col("n") - 1 - h
-    front_last = F.least(front + period - 1, back)
-    back_first = F.greatest(front, back - period + 1)
+    # the lines go through ``period`` values from the first defined one on, and ``period`` values before the last
+    front_last = F.least(front + period, back) - 1
+    back_first = F.greatest(front, back - period)
     rn = F.col("rn").cast("double")
     in_front = (F.col("rn") >= front) & (F.col("rn") <= front_last)
-    in_back = (F.col("rn") >= back_first) & (F.col("rn") <= back)
+    in_back = (F.col("rn") >= back_first) & (F.col("rn") < back)
     fits = {"kf": F.regr_slope(F.when(in_front, F.col("trend0")), F.when(in_front, rn)),
             "cf": F.regr_intercept(F.when(in_front, F.col("trend0")), F.when(in_front, rn)),
             "kb": F.regr_slope(F.when(in_back, F.col("trend0")), F.when(in_back, rn)),
             "cb": F.regr_intercept(F.when(in_back, F.col("trend0")), F.when(in_back, rn))}
-    one_block = n_max <= bsize
-    if one_block:
-        # a whole key is one bounded partition already: per-key values as window aggregates
-        s = s.withColumns({name: agg.over(kw) for name, agg in fits.items()})
-    else:
-        s = _attach(s, s.groupBy(*keys).agg(*[agg.alias(name) for name, agg in fits.items()]), keys)
+    s = materialise(s)                                      # read for the lines and again for the rest
+    s = _attach(s, s.groupBy(*keys).agg(*[agg.alias(name) for name, agg in fits.items()]), keys)
     trend = (F.when(F.col("rn") < front, F.col("kf") * rn + F.col("cf"))
              .when(F.col("rn") > back, F.col("kb") * rn + F.col("cb"))
              .otherwise(F.col("trend0")))
     s = s.withColumn("trend", trend).withColumn("detrended", F.col("observed") - F.col("trend")) \
          .withColumn("pos", F.pmod(F.col("rn"), F.lit(period)))
-    if one_block:
-        pw = Window.partitionBy(*keys, "pos")
-        s = s.withColumns({"seasonal0": F.avg("detrended").over(pw), "_npos": F.count("detrended").over(pw)})
-        center = F.sum(ratio("seasonal0", "_npos")).over(kw) / period
-        s = s.withColumn("seasonal", F.col("seasonal0") - center)
-    else:
-        seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0"))
-        seas = _attach(seas, seas.groupBy(*keys).agg(F.avg("seasonal0").alias("center")), keys)
-        seas = seas.select(*keys, "pos", (F.col("seasonal0") - F.col("center")).alias("seasonal"))
-        s = s.join(seas, [*keys, "pos"])
+    # ``period`` means a key, held as one map: no join of the series on its position
+    seas = s.groupBy(*keys, "pos").agg(F.avg("detrended").alias("seasonal0")).groupBy(*keys).agg(
+        F.avg("seasonal0").alias("_center"), F.map_from_entries(F.collect_list(F.struct("pos", "seasonal0"))).alias("_seasonal"))
+    s = _attach(s, seas, keys, literal=False).withColumn("seasonal", F.col("_seasonal")[F.col("pos")] - F.col("_center"))
     return s.select(*keys, ts, "observed", "trend", "seasonal",
                     (F.col("detrended") - F.col("seasonal")).alias("resid"))
 
 
-def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], literal: bool = True) -> DataFrame:
     """Add per-key values: an equi-join on the keys (one row per key), or for
-    an unkeyed series the single row's values as literals."""
+    an unkeyed series the single row's values as literals (or by its broadcast)."""
+    if not keys and not literal:
+        one = F.lit(0)
+        return df.withColumn("_one", one).join(F.broadcast(per_key.withColumn("_one", one)), "_one").drop("_one")
     if keys:
-        return df.join(per_key, list(keys))
+        return key_join(df, measured(per_key), keys)
     row = per_key.first()
     return df.withColumns({c: F.lit(row[c]) for c in per_key.columns})
 
@@ -275,7 +270,7 @@ def decomposition_stats(dec: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------- ADF
 def _default_maxlag(n):
     """ceil(12 (n/100)^(1/4)), capped at n // 2 - 2 (constant-only regression)."""
-    return F.least(F.ceil(F.lit(12.0) * F.pow(n / 100.0, 0.25)), F.floor(n / 2) - 2).cast("int")
+    return F.greatest(F.least(F.ceil(F.lit(12.0) * F.pow(n / 100.0, 0.25)), F.floor(n / 2) - 2), F.lit(0)).cast("int")
 
 
 def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
@@ -311,15 +306,8 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
     L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n_max / 100.0) ** 0.25)), n_max // 2 - 2)
     L = max(int(L), 0)
     bsize = _block_size(L + 1, block)
-    if n_max <= bsize:
-        # every series fits in one block: one window per key (at most bsize rows)
-        kw = Window.partitionBy(*gkeys)
-        base = (base.withColumn("rn", F.row_number().over(kw.orderBy("_t")) - 1)
-                    .withColumn("n", F.count(F.lit(1)).over(kw)).withColumn("_mean", F.avg("y").over(kw))
-                    .withColumns({"_blk": F.lit(0), "_home": F.lit(0)}))
-    else:
-        # lags up to L + 1 rows back: windows per (key, position block) with those rows copied in
-        base = blocked(positions(base, gkeys, "_t", chunk, mean_of="y"), L + 1, 0, bsize)
+    # lags up to L + 1 rows back: windows per (key, position block) with those rows copied in
+    base = blocked(positions(base, gkeys, "_t", chunk, mean_of="y"), L + 1, 0, bsize)
     ow = Window.partitionBy(*gkeys, "_blk").orderBy("rn")
     base = base.withColumn("dy", F.col("y") - F.lag("y", 1).over(ow)) \
                .withColumn("ylag", F.lag("y", 1).over(ow) - F.col("_mean"))   # centred level: better conditioning
@@ -400,9 +388,10 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
             beta = inv @ xty
             ssr = float(g2[m - 1, m - 1] - beta @ xty)
             dof = n2 - len(idx)
-            stat = float(beta[1] / math.sqrt(ssr / dof * inv[1, 1]))
+            if dof > 0:                      # else the series is too short: no statistic
+                stat = float(beta[1] / math.sqrt(ssr / dof * inv[1, 1]))
         except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
-            pass
+            pass                             # constant or degenerate series: no statistic
         crit = mackinnon_crit(n2) if n2 > 0 else {"1%": None, "5%": None, "10%": None}
         out = {k: [row[k]] for k in gkeys}
         out.update({"adf_stat": [stat], "p_value": [mackinnon_p(stat) if not math.isnan(stat) else float("nan")],
@@ -411,6 +400,7 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
         return pd.DataFrame(out)
 
     res = grams.groupBy(*gkeys).applyInPandas(solve, f"{key_schema}, {_ADF_SCHEMA}")
+    res = res.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("adf_stat", "p_value", "icbest")})
     res = res.withColumn("stationary", (F.col("p_value") < 0.05).cast("int"))
     return res.drop("_series") if not keys else res
 

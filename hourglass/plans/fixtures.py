@@ -2,8 +2,8 @@
 
 * ``sensor_events``: ``events`` with the sentinel code injected into ``value``
   for every row whose ``event_id`` is a multiple of 11 (no row is dropped).
-* ``gap_events``: events outside hour 3, to exercise resample gaps, forward fill
-  and the rolling warm-up.
+* ``series_events``: every event as a reading; many (type, hour) cells hold none,
+  which exercises resample gaps, forward fill and the rolling warm-up.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..operators.clean import CleanSpec, clean
 from ..sources.readers import read_table
 
-EVENT_VALUE_COLS = ("value",)
-
 
 def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
@@ -29,9 +27,8 @@ def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(sensor_events(spark, sf_dir), spec)
 
 
-def gap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
-    return ev.filter(F.hour("ts") != 3).select("ts", "event_type", "value")
+def series_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("ts", "event_type", "value")
 
 
 def lineitem_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:

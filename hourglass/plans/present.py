@@ -1,7 +1,7 @@
 """Result presentation for engine-independent comparison.
 
-Registered queries return doubles in single precision, integers as bigint and
-timestamps as ``yyyy-MM-dd HH:mm:ss`` text, so a result computed by Spark and
+Registered queries return doubles that are whole numbers exactly and other doubles in
+single precision, integers as bigint and timestamps as ``yyyy-MM-dd HH:mm:ss`` text, so a result computed by Spark and
 the same result computed by another SQL engine compare equal despite
 last-digit differences in floating-point summation order.  ``oracle`` wraps a
 SQL query the same way.
@@ -24,7 +24,9 @@ def present(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = c.cast("float")
+            # whole numbers exactly; others to single precision, where engines agree
+            d = c.cast("double")
+            c = F.when(F.rint(d) == d, d).otherwise(c.cast("float").cast("double"))
         elif isinstance(f.dataType, INTS):
             c = c.cast("bigint")
         elif isinstance(f.dataType, TIMES):
@@ -36,7 +38,8 @@ def present(df: DataFrame) -> DataFrame:
 def oracle(inner: str, floats: Sequence[str] = (), ints: Sequence[str] = (),
            times: Sequence[str] = ()) -> str:
     """Wrap DuckDB SQL so its output types match ``present``."""
-    repl = ([f"CAST({c} AS FLOAT) AS {c}" for c in floats]
+    repl = ([f"CASE WHEN round(CAST({c} AS DOUBLE)) = {c} THEN CAST({c} AS DOUBLE) "
+             f"ELSE CAST(CAST({c} AS FLOAT) AS DOUBLE) END AS {c}" for c in floats]
             + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
             + [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in times])
     if not repl:

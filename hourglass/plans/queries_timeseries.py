@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as tsop
 from ..sources.readers import read_table
 from .catalog import register
-from .fixtures import gap_events
+from .fixtures import series_events
 
 _HOURLY_SQL = """
-WITH g AS (SELECT ts, event_type, value FROM events WHERE hour(ts) <> 3),
+WITH g AS (SELECT ts, event_type, value FROM events),
 a AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS value FROM g GROUP BY 1, 2),
 s AS (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM a GROUP BY 1),
 sp AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM s),
@@ -23,7 +23,7 @@ f AS (SELECT event_type, ts, last_value(value IGNORE NULLS) OVER (
 
 
 def _hourly(spark, sf_dir):
-    return tsop.resample(gap_events(spark, sf_dir), "ts", ["value"], "1 hour", keys=["event_type"])
+    return tsop.resample(series_events(spark, sf_dir), "ts", ["value"], "1 hour", keys=["event_type"])
 
 
 @register("hourly_resample", _HOURLY_SQL + "\nSELECT * FROM h", floats=["value"], times=["ts"])
@@ -86,22 +86,22 @@ def _decompose_sql(src: str, keys: tuple[str, ...] = (), period: int = 7) -> str
     return f"""
 r AS (SELECT {kc}day, y AS observed, row_number() OVER ({pk} ORDER BY day) - 1 AS rn,
              count(*) OVER ({pk}) AS n FROM {src}),
-r2 AS (SELECT * FROM r WHERE n >= 14),
+r2 AS (SELECT * FROM r WHERE n >= {max(14, 2 * period)}),
 t AS (SELECT *, CASE WHEN rn >= {h} AND rn < n - {h} THEN
              sum(observed) OVER ({pk} ORDER BY rn ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) / {period}.0
              END AS trend0,
              {h} AS front, n - 1 - {h} AS back FROM r2),
-t2 AS (SELECT *, least(front + {period} - 1, back) AS front_last,
-              greatest(front, back - {period} + 1) AS back_first FROM t),
+t2 AS (SELECT *, least(front + {period}, back) - 1 AS front_last,
+              greatest(front, back - {period}) AS back_first FROM t),
 fit AS (SELECT *,
    regr_slope(CASE WHEN rn BETWEEN front AND front_last THEN trend0 END,
               CASE WHEN rn BETWEEN front AND front_last THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS kf,
    regr_intercept(CASE WHEN rn BETWEEN front AND front_last THEN trend0 END,
               CASE WHEN rn BETWEEN front AND front_last THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS cf,
-   regr_slope(CASE WHEN rn BETWEEN back_first AND back THEN trend0 END,
-              CASE WHEN rn BETWEEN back_first AND back THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS kb,
-   regr_intercept(CASE WHEN rn BETWEEN back_first AND back THEN trend0 END,
-              CASE WHEN rn BETWEEN back_first AND back THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS cb
+   regr_slope(CASE WHEN rn BETWEEN back_first AND back - 1 THEN trend0 END,
+              CASE WHEN rn BETWEEN back_first AND back - 1 THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS kb,
+   regr_intercept(CASE WHEN rn BETWEEN back_first AND back - 1 THEN trend0 END,
+              CASE WHEN rn BETWEEN back_first AND back - 1 THEN CAST(rn AS DOUBLE) END) OVER ({pk}) AS cb
    FROM t2),
 tr AS (SELECT *, CASE WHEN rn < front THEN kf * rn + cf WHEN rn > back THEN kb * rn + cb
                       ELSE trend0 END AS trend, rn % {period} AS pos FROM fit),

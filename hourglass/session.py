@@ -8,6 +8,7 @@ local session and sets a checkpoint folder only when the session has none.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,10 +43,13 @@ def local_session(cpus: int | None = None, partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) a scratch folder is made and set.
+    A cluster names a shared folder there; it is used as is.  Only a local
+    session (one JVM, one disk) without the setting gets a scratch folder;
+    on a cluster a missing setting is an error, as executors do not share disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="hourglass-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -55,27 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """True when reliable checkpoints have a (shared) folder to go to."""
-    try:
-        return spark.sparkContext.getCheckpointDir() is not None
-    except Exception:  # noqa: BLE001  (no SparkContext on a Connect client)
-        return bool(spark.conf.get("spark.checkpoint.dir", None))
-
-
 def materialise(df):
-    """Compute ``df`` once for several later reads: a reliable checkpoint in
-    the shared folder when one is configured (survives executor loss and cuts
-    the lineage), else a cache."""
-    return df.checkpoint(eager=True) if can_checkpoint(df.sparkSession) else df.cache()
-
-
-def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
+    """Compute ``df`` once for several later reads: a reliable checkpoint in the
+    shared folder, which survives executor loss and cuts the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+cut_lineage = materialise
+
+
 def cluster_settings(total_bytes: float = 100e12, executors: int = 1000, cores_per_executor: int = 8,
                      target_partition_bytes: float = 256e6) -> dict[str, str]:
     """Suggested SQL settings for a large cluster (not applied automatically).

@@ -78,9 +78,11 @@ def run_length_alerts(stream: DataFrame, key: str, threshold: float, run: int =
     """Custom stateful operator: per key, count consecutive readings above
     ``threshold`` in event-time order and alert once the run reaches ``run``.
 
-    State per key is two values (run length, last event time); readings
-    older than the key's last one are ignored, and keys idle past the
-    event-time timeout are dropped from the state store."""
+    State per key is two values (run length, last event time).  Every reading
+    comes out: those of one instant in the order of their values, and one that
+    arrives after a later reading of its key counts as a run of its own, as the
+    runs around it are out already.  Keys idle past the event-time timeout are
+    dropped from the state store."""
     flagged = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"),
                             F.col(value).cast("double").alias("value"))
 
@@ -89,12 +91,14 @@ def run_length_alerts(stream: DataFrame, key: str, threshold: float, run: int =
             state.remove()
             return
         cur, last = (state.get if state.exists else (0, None))
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ts", kind="stable")
+        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "value"], kind="stable")
         rows = []
         for t, v in zip(batch["ts"], batch["value"]):
-            if last is not None and t <= last:
+            above = v is not None and not pd.isna(v) and v > threshold
+            if last is not None and t < last:
+                rows.append((k[0], t, v, int(above), int(above and run <= 1)))
                 continue
-            cur = cur + 1 if (v is not None and not pd.isna(v) and v > threshold) else 0
+            cur = cur + 1 if above else 0
             last = t
             rows.append((k[0], t, v, cur, int(cur >= run)))
         if last is not None:

@@ -39,11 +39,12 @@ def _decompose_ref(x, period):
     for i in range(h, n - h):
         trend[i] = np.dot(filt, x[i - h:i + h + 1])
     front, back = h, n - 1 - h
-    fl = min(front + period - 1, back)
-    k, c = np.polyfit(np.arange(front, fl + 1), trend[front:fl + 1], 1)
+    # the published rule: half-open ranges, so the last defined value is in neither line
+    fl = min(front + period, back)
+    k, c = np.polyfit(np.arange(front, fl), trend[front:fl], 1)
     trend[:front] = k * np.arange(front) + c
-    bf = max(front, back - period + 1)
-    k, c = np.polyfit(np.arange(bf, back + 1), trend[bf:back + 1], 1)
+    bf = max(front, back - period)
+    k, c = np.polyfit(np.arange(bf, back), trend[bf:back], 1)
     trend[back + 1:] = k * np.arange(back + 1, n) + c
     det = x - trend
     avg = np.array([np.nanmean(det[i::period]) for i in range(period)])
