@@ -8,6 +8,7 @@ partition plus one small offset per partition, never in a single task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -110,29 +111,40 @@ def _roc_table(pred: DataFrame, label: str, score: str, partitions: int | None =
     # written once: the two branches below must see the same partitions, and range bounds are sampled per run
     ranged = cut_lineage(ranged)
     w = Window.partitionBy("pid").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({"ltp": F.sum("pos").over(w), "lfp": F.sum("neg").over(w)})
-    tot = ranged.groupBy("pid").agg(F.sum("pos").alias("ppos"), F.sum("neg").alias("pneg"))
+    after = Window.partitionBy("pid").orderBy(F.desc("threshold"))
+    local = ranged.withColumns({"ltp": F.sum("pos").over(w), "lfp": F.sum("neg").over(w),
+                                "later": F.lead(F.struct("pos", "neg")).over(after)})
+    tot = ranged.groupBy("pid").agg(F.sum("pos").alias("ppos"), F.sum("neg").alias("pneg"),
+                                    F.max_by(F.struct("pos", "neg"), "threshold").alias("head"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, not the data
     offsets = tot.select("pid",
                          F.coalesce(F.sum("ppos").over(before), F.lit(0)).alias("otp"),
                          F.coalesce(F.sum("pneg").over(before), F.lit(0)).alias("ofp"),
+                         F.lead("head").over(Window.orderBy("pid")).alias("next_head"),
                          F.sum("ppos").over(Window.partitionBy()).alias("P"),
                          F.sum("pneg").over(Window.partitionBy()).alias("N"))
     return local.join(F.broadcast(offsets), "pid").select(
         "threshold", "pos", "neg", (F.col("ltp") + F.col("otp")).alias("tps"),
-        (F.col("lfp") + F.col("ofp")).alias("fps"), "P", "N")
+        (F.col("lfp") + F.col("ofp")).alias("fps"), "P", "N", F.coalesce("later", "next_head").alias("later"))
 
 
 def roc_curve(pred: DataFrame, label: str = "label", score: str = "score",
               partitions: int | None = None) -> DataFrame:
-    """One ROC point per distinct score (threshold), highest first.
+    """The ROC curve from its (0, 0) start (threshold infinite) on, without
+    the points that lie on a straight line between their neighbours.
 
     tps/fps are the positives/negatives with score >= threshold.  Scores are
     first reduced to one row per distinct value; cumulative sums then run per
     range partition (descending score) with an offset per partition.
     """
     t = _roc_table(pred, label, score, partitions)
+    first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
+    turns = (F.col("later.pos") != F.col("pos")) | (F.col("later.neg") != F.col("neg"))
+    point = F.struct(F.col("threshold").alias("threshold"), F.col("tps").alias("tps"), F.col("fps").alias("fps"))
+    start = F.struct(F.lit(math.inf).alias("threshold"), F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"))
+    kept = t.where(first | F.col("later").isNull() | turns)
+    t = kept.select("P", "N", F.inline(F.when(first, F.array(start, point)).otherwise(F.array(point))))
     return t.select("threshold", F.col("tps").cast("bigint").alias("tps"),
                     F.col("fps").cast("bigint").alias("fps"),
                     ratio("tps", "P").alias("tpr"), ratio("fps", "N").alias("fpr"))

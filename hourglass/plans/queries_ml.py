@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import ml
+from ..operators.profile import histogram
 from ..operators.quantiles import medians
 from ..operators.score import scenario_grid, score_scenarios
 from ..session import ensure_checkpoint_dir
 from ..sources.readers import read_table
 from .catalog import register
+from .queries_profile import _hist_sql
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size", "l_linenumber",
             "ship_month", "ship_weekday", "ship_weekend"]
@@ -40,15 +42,24 @@ def ml_frame(spark, sf_dir):
 
 
 _CACHE: dict = {}
+_LOCKS: dict = {}
 _LOCK = threading.Lock()
 
 
 def trained(spark, sf_dir, kind: str):
     """Fit (once per session and input) every model of one kind."""
-    key = (id(spark), sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     with _LOCK:
-        if key in _CACHE:
-            return _CACHE[key]
+        mine = _LOCKS.setdefault(key, threading.Lock())
+    with mine:                                  # a second caller waits for the first one's fit
+        if key not in _CACHE:
+            for old in [k for k in _CACHE if k[0] != key[0]]:
+                del _CACHE[old]                 # of an application that has ended
+            _CACHE[key] = _train(spark, sf_dir, kind)
+        return _CACHE[key]
+
+
+def _train(spark, sf_dir, kind):
     ensure_checkpoint_dir(spark)
     df = ml_frame(spark, sf_dir)
     train, test = ml.hash_split(df, KEYS)
@@ -63,24 +74,26 @@ def trained(spark, sf_dir, kind: str):
     else:
         models = ml.classifiers(n, FEATURES)
     results = ml.fit_all(models, base, train, test, kind)
-    out = (results, train, test)
-    with _LOCK:
-        _CACHE[key] = out
-    return out
+    return results, train, test
+
+
+def _with_counts(board, train, test):
+    """The sizes behind a leaderboard."""
+    return board.withColumns({"n_train": F.lit(train.count()), "n_test": F.lit(test.count()), "n_features": F.lit(len(FEATURES))})
 
 
 @register("regression_leaderboard")
 def regression_leaderboard(spark, sf_dir):
     """Six regressors trained in parallel, ranked by R^2."""
-    results, _, _ = trained(spark, sf_dir, "regression")
-    return ml.leaderboard(spark, results, "regression").drop("train_seconds")
+    results, train, test = trained(spark, sf_dir, "regression")
+    return _with_counts(ml.leaderboard(spark, results, "regression").drop("train_seconds"), train, test)
 
 
 @register("classification_leaderboard")
 def classification_leaderboard(spark, sf_dir):
     """Classifiers ranked by F1 of the positive class."""
-    results, _, _ = trained(spark, sf_dir, "classification")
-    return ml.leaderboard(spark, results, "classification").drop("train_seconds")
+    results, train, test = trained(spark, sf_dir, "classification")
+    return _with_counts(ml.leaderboard(spark, results, "classification").drop("train_seconds"), train, test)
 
 
 @register("feature_importance")
@@ -92,6 +105,15 @@ def feature_importance(spark, sf_dir):
     return ml.feature_importance(spark, b.model, FEATURES).withColumn("model", F.lit(b.name))
 
 
+@register("classifier_importance")
+def classifier_importance(spark, sf_dir):
+    """Top-12 importances of the best tree classifier."""
+    results, _, _ = trained(spark, sf_dir, "classification")
+    trees = [r for r in results if r.name in ("Decision Tree", "Random Forest", "Gradient Boosting")]
+    b = ml.best(trees, "classification")
+    return ml.feature_importance(spark, b.model, FEATURES).withColumn("model", F.lit(b.name))
+
+
 @register("best_model_report")
 def best_model_report(spark, sf_dir):
     """E7/E8 on the best classifier's test predictions."""
@@ -192,9 +214,12 @@ def _scored(spark, sf_dir):
 c AS (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
              count(*) FILTER (WHERE label <> 1) AS neg FROM lab GROUP BY score),
 cum AS (SELECT threshold, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps,
-               sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM c
-        WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT threshold, tps, fps, tps / P AS tpr, fps / N AS fpr FROM cum""",
+               sum(pos) OVER () AS P, sum(neg) OVER () AS N, row_number() OVER o AS i, count(*) OVER () AS points,
+               pos <> lead(pos) OVER o OR neg <> lead(neg) OVER o AS turns FROM c
+        WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               o AS (ORDER BY threshold DESC))
+SELECT threshold, tps, fps, tps / P AS tpr, fps / N AS fpr FROM cum WHERE i = 1 OR i = points OR turns
+UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0, 0""",
           floats=["threshold", "tpr", "fpr"], ints=["tps", "fps"])
 def roc_rule(spark, sf_dir):
     """ROC points of a score column (distributed cumulative sums)."""
@@ -294,3 +319,24 @@ SELECT avg(label - prediction) AS resid_mean, stddev_pop(label - prediction) AS
 def trend_residuals(spark, sf_dir):
     """Residual summary of the same fit."""
     return ev.residual_summary(_trend_pred(spark, sf_dir))
+
+
+_RESID_SQL = _FIT_SQL.replace("WITH ", "", 1)
+
+
+@register("trend_residual_histogram", _hist_sql("resid", "r").replace("WITH d AS", "WITH " + _RESID_SQL.strip() + """,
+resid AS (SELECT label - prediction AS r FROM p),
+d AS""", 1), floats=["bin_lo", "bin_hi"], ints=["bin", "count"])
+def trend_residual_histogram(spark, sf_dir):
+    """40-bin histogram of the residuals of the same fit."""
+    return histogram(_trend_pred(spark, sf_dir).select((F.col("label") - F.col("prediction")).alias("r")), "r", 40)
+
+
+@register("trend_actual_vs_predicted", _FIT_SQL + """,
+b AS (SELECT CAST(floor(label / 5000) AS BIGINT) AS actual_bin, CAST(floor(prediction / 5000) AS BIGINT) AS predicted_bin FROM p)
+SELECT actual_bin, predicted_bin, count(*) AS count FROM b GROUP BY 1, 2""", ints=["actual_bin", "predicted_bin", "count"])
+def trend_actual_vs_predicted(spark, sf_dir):
+    """Actual against predicted values as counts of 5000-wide cells."""
+    cell = lambda c: F.floor(F.col(c) / 5000).cast("bigint")
+    return (_trend_pred(spark, sf_dir).groupBy(cell("label").alias("actual_bin"), cell("prediction").alias("predicted_bin"))
+            .agg(F.count(F.lit(1)).alias("count")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -16,37 +18,43 @@ class SourceMissing(FileNotFoundError):
     """The input file is not there."""
 
 
-def _require(path: str) -> None:
-    if "://" not in path and not os.path.exists(path):
-        raise SourceMissing(f"input not found: {path}")
+@contextmanager
+def _present(path: str):
+    """Spark's own file system decides whether a path is there: local, shared or remote."""
+    try:
+        yield
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            raise SourceMissing(f"input not found: {path}") from e
+        raise
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              sep: str = ",", header: bool = True, infer: bool = False) -> DataFrame:
     """CSV scan with an explicit schema (inference only when asked)."""
-    _require(path)
     reader = spark.read.option("header", header).option("sep", sep)
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
         reader = reader.option("inferSchema", True)
-    return reader.option("mode", "PERMISSIVE").csv(path)
+    with _present(path):
+        return reader.option("mode", "PERMISSIVE").csv(path)
 
 
 def read_csv_known(spark: SparkSession, path: str, known: T.StructType, sep: str = ",") -> DataFrame:
     """S1 for files with extra, unnamed columns: the header names the columns;
     known names get their declared types, any other column is read as text
     (and can then be dropped by prefix, S3)."""
-    _require(path)
-    header = spark.read.option("header", True).option("sep", sep).csv(path).columns   # header line only
+    with _present(path):
+        header = spark.read.option("header", True).option("sep", sep).csv(path).columns   # header line only
     types = {f.name: f.dataType for f in known.fields}
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
     return read_csv(spark, path, schema, sep=sep)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    _require(path)
-    return spark.read.parquet(path)
+    with _present(path):
+        return spark.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 HEAVY = {"regression_leaderboard", "classification_leaderboard", "feature_importance", "best_model_report",
          "best_model_roc", "best_model_residuals", "scenario_scores", "learning_curve", "classifier_rocs",
-         "regression_residuals"}
+         "regression_residuals", "classifier_importance"}
 
 
 @pytest.fixture(scope="module")
