@@ -147,8 +147,13 @@ def _resolve(df, xs, targets, accuracy, depth=0):
     if depth > 8:
         raise RuntimeError("quantile selection did not converge")
     combine = all(t.n_base * 8.0 / accuracy + 8 <= WINDOW_LIMIT for t in pending)
+    # neighbouring ranks share a bracket: its counts are taken once
+    at = {}
+    for t in pending:
+        at.setdefault((t.i, t.base_lo, t.base_hi, t.lo, t.hi), (len(at), t))
+    group = {id(t): at[(t.i, t.base_lo, t.base_hi, t.lo, t.hi)][0] for t in pending}
     aggs = []
-    for j, t in enumerate(pending):
+    for j, t in at.values():
         x = xs[t.i]
         base = _base(x, t)
         lo, hi = F.lit(t.lo), F.lit(t.hi)
@@ -158,9 +163,14 @@ def _resolve(df, xs, targets, accuracy, depth=0):
                  F.count_if(base & (x == hi) & (hi != lo)).alias(f"h{j}")]
         if combine:
             aggs.append(F.sort_array(F.collect_list(F.when(inside, x))).alias(f"v{j}"))
-    row = df.agg(*aggs).first()
+    counts = [F.col(f"{c}{j}") for j, _ in at.values() for c in "blmh"]
+    # the wanted element is picked where the values are: one number a target comes to the driver
+    picks = [F.get(F.col(f"v{group[id(t)]}"), (F.lit(t.rel) - F.col(f"b{group[id(t)]}") - F.col(f"l{group[id(t)]}")).cast("int")).alias(f"x{n}")
+             for n, t in enumerate(pending)] if combine else []
+    row = df.agg(*aggs).select(*counts, *picks).first()
     collect, deeper = [], []
-    for j, t in enumerate(pending):
+    for n, t in enumerate(pending):
+        j = group[id(t)]
         below, eq_lo, mid, eq_hi = row[f"b{j}"], row[f"l{j}"], row[f"m{j}"], row[f"h{j}"]
         r = t.rel
         if r < below or r >= below + eq_lo + mid + eq_hi:
@@ -170,7 +180,7 @@ def _resolve(df, xs, targets, accuracy, depth=0):
             t.value = float(t.lo)
         elif r < below + eq_lo + mid:
             if combine:
-                t.value = float(row[f"v{j}"][r - below - eq_lo])
+                t.value = float(row[f"x{n}"])
             elif mid <= WINDOW_LIMIT:
                 collect.append((t, r - below - eq_lo))
             else:
@@ -179,11 +189,11 @@ def _resolve(df, xs, targets, accuracy, depth=0):
         else:
             t.value = float(t.hi)
     if collect:
-        row = df.agg(*[F.sort_array(F.collect_list(F.when(_base(xs[t.i], t) & (xs[t.i] > F.lit(t.lo))
-                                                          & (xs[t.i] < F.lit(t.hi)), xs[t.i]))).alias(f"v{j}")
-                       for j, (t, _) in enumerate(collect)]).first()
-        for j, (t, k) in enumerate(collect):
-            t.value = float(row[f"v{j}"][k])
+        row = df.agg(*[F.get(F.sort_array(F.collect_list(F.when(_base(xs[t.i], t) & (xs[t.i] > F.lit(t.lo))
+                                                                & (xs[t.i] < F.lit(t.hi)), xs[t.i]))), F.lit(k)).alias(f"v{j}")
+                       for j, (t, k) in enumerate(collect)]).first()
+        for j, (t, _) in enumerate(collect):
+            t.value = float(row[f"v{j}"])
     if deeper:
         acc = accuracy * 4
         delta = 3.0 / acc

@@ -50,7 +50,11 @@ def resample(df: DataFrame, ts: str, cols: Sequence[str], freq: str = "1 hour",
     if not fill_gaps:
         return agg
     span = agg.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    spine = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {freq}"))).alias(ts))
+    # in stretches of 1000 buckets: no row holds the spine of a whole series
+    n, unit = freq.split()
+    stretch = span.select(*keys, "_hi", F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {1000 * int(n)} {unit}"))).alias("_from"))
+    last = F.least(F.col("_from") + F.expr(f"INTERVAL {999 * int(n)} {unit}"), F.col("_hi"))
+    spine = stretch.select(*keys, F.explode(F.sequence("_from", last, F.expr(f"INTERVAL {freq}"))).alias(ts))
     return key_join(spine, agg, [*keys, ts], "left")
 
 
