@@ -6,14 +6,16 @@
    is indexed under its first ``INDEXED`` values that are not common, whose lists give all their pairs (``LIST``
    squared at most).  A class with few such values (a large family of near copies, or a text of everyday shingles)
    is indexed under common values and under pairs of them as well: short lists give all pairs, long ones link every
-   member to a pivot picked by hash, a different one for each key, so a family's rows grow with its size, not its square.
+   member to a pivot picked by hash, a different one for each key, and the lists of single values then to their ``HUBS``
+   most central members, those most like the pivots they met on average: the text that a family was made from is one, and
+   its copies may be alike through it alone.  So a family's rows grow with its size, not its square.
 3. The union sketch of each pair (the smallest values of both) estimates the Jaccard similarity and drops clear misses.
 4. The exact Jaccard similarity of the full sets confirms each link.
 5. Components by neighbour minimum and pointer jumping, over classes, written to the shared folder each round.
 
 A link of similarity 0.8 is found unless the two share none of the values they are indexed under: about 0.2**12 for
 single values; small sets, whose sketch is the whole set, share four values at least.  Members of a long list meet
-through pivots, so of those links the ones that matter for components are kept, with about 19 pivots a member.
+through pivots and hubs, so of those links the ones that matter for components are kept, with about 30 a member.
 
 Defined results: a text without words (null, empty) has an empty set, is linked with nothing and is its own component;
 fewer words than a shingle make one shingle; repeated rows are one class; a null doc_id takes part, and the component
@@ -35,6 +37,7 @@ RETAINED = 20        # of them, the values whose lists are counted
 INDEXED = 12         # of those that are not common, the values a class is listed under
 LIST = 40            # longest list that gives all its pairs
 FEW = 8              # with fewer values that are not common, a class is listed under common ones too
+HUBS = 3             # central members of a long list that all others are compared with
 SURE = 0.5           # estimates below this are dropped: six standard errors under 0.8
 _MUL, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -100,7 +103,7 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _keys(marked: DataFrame) -> DataFrame:
-    """``key, common, cls, n``: what each class is listed under."""
+    """``key, kind, cls, n``: what each class is listed under (kind 0: a value, 1: a common value, 2: a pair)."""
     def run(batches):
         import pyarrow as pa
 
@@ -109,19 +112,19 @@ def _keys(marked: DataFrame) -> DataFrame:
             for cls, n, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "held"))):
                 held = sorted((x["value"] & 0xFFFFFFFFFFFFFFFF, x["common"]) for x in held)     # unsigned order
                 own = [v for v, common in held if not common][:INDEXED]
-                out += [(v, False, cls, n) for v in own]
+                out += [(v, 0, cls, n) for v in own]
                 if len(own) < FEW:
                     often = [v for v, common in held if common][:6]
-                    out += [(v, True, cls, n) for v in often[:4]]
+                    out += [(v, 1, cls, n) for v in often[:4]]
                     mixed = sorted([*often, *own])[:6]
-                    out += [((a * 0x9E3779B97F4A7C15 ^ b) & 0xFFFFFFFFFFFFFFFF, True, cls, n) for a, b in combinations(mixed, 2)]
+                    out += [((a * 0x9E3779B97F4A7C15 ^ b) & 0xFFFFFFFFFFFFFFFF, 2, cls, n) for a, b in combinations(mixed, 2)]
             keys = np.array([x[0] for x in out], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary()),
-                 pa.array([x[3] for x in out], pa.int32())], ["key", "common", "cls", "n"])
+                [pa.array(keys), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()),
+                 pa.array([x[3] for x in out], pa.int32())], ["key", "kind", "cls", "n"])
 
     held = marked.groupBy("cls", "n").agg(F.collect_list(F.struct("value", "common")).alias("held"))   # RETAINED at most
-    return held.mapInArrow(run, "key long, common boolean, cls binary, n int")
+    return held.mapInArrow(run, "key long, kind int, cls binary, n int")
 
 
 def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
@@ -144,21 +147,34 @@ def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, per_cent: int) -> DataFrame:
-    """``a, b``: distinct pairs of classes that some inverted list brings together."""
+    """``a, b``: the pairs of classes that some inverted list brings together and the estimate does not drop."""
     posted = stored(_postings(classes), "near-postings")
     often = stored(posted.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST)
                    .select("value", F.lit(True).alias("common")), "near-common")
     marked = posted.join(often, "value", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     keys = stored(_keys(marked), "near-keys")
-    single = _all_pairs(keys.where(~F.col("common")), per_cent)
-    extra = keys.where("common").select("key", "cls", "n")
+    single = _all_pairs(keys.where("kind = 0"), per_cent)
+    extra = keys.where("kind > 0").select("key", "cls", "n")
     pivot = F.min(F.struct(F.xxhash64("key", "cls").alias("h"), F.col("cls").alias("cls"), F.col("n").alias("n")))
     stat = stored(extra.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot.alias("pivot")).where("c > 1"), "near-lists")
     short = extra.join(stat.where(F.col("c") <= LIST).select("key"), "key").repartition("key")
     fits = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * per_cent
-    star = (extra.join(stat.where(F.col("c") > LIST), "key").where(fits & (F.col("cls") != F.col("pivot.cls")))
-            .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")))
-    return single.unionByName(_all_pairs(short, per_cent)).unionByName(star).distinct()
+
+    def star(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        return (members.join(pivots, "key").where(fits & (F.col("cls") != F.col("pivot.cls")))
+                .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")))
+
+    first = (single.unionByName(_all_pairs(short, per_cent)).unionByName(star(extra, stat.where(F.col("c") > LIST))).distinct())
+    first = stored(_estimated(_both(first, classes, "sketch")), "near-first")
+    # the most central member of each of HUBS random shares of a common value's list
+    met = first.select(F.explode(F.array("a", "b")).alias("cls"), "est").groupBy("cls").agg(F.avg("est").alias("like"))
+    common = keys.where("kind = 1").select("key", "cls", "n")
+    central = F.max(F.struct("like", F.xxhash64("cls").alias("h"), F.col("cls").alias("cls"), F.col("n").alias("n")))
+    hubs = stored(common.join(met, "cls").groupBy("key", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(HUBS)).alias("share"))
+                  .agg(central.alias("pivot")).select("key", "pivot"), "near-hubs")
+    known = first.select("a", "b")
+    second = _estimated(_both(star(common, hubs).distinct().join(known, ["a", "b"], "left_anti"), classes, "sketch"))
+    return first.unionByName(second).where(F.col("est") >= SURE).select("a", "b")
 
 
 def _both(pairs: DataFrame, by: DataFrame, *names: str) -> DataFrame:
@@ -178,6 +194,19 @@ def _estimate(a: bytes, b: bytes) -> float:
     return np.searchsorted(shared, both[-1], "right") / len(both)
 
 
+def _estimated(pairs: DataFrame) -> DataFrame:
+    """``a, b, est``; pairs far from any link are left out here already."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            est = [_estimate(x, y) for x, y in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist())]
+            out = batch.select(["a", "b"]).append_column("est", pa.array(est, pa.float64()))
+            yield out.filter(pa.array([e >= SURE / 2 for e in est], pa.bool_()))
+
+    return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a binary, b binary, est double")
+
+
 def _confirm(pairs: DataFrame, column: str, keep) -> DataFrame:
     def run(batches):
         import pyarrow as pa
@@ -192,8 +221,7 @@ def _confirm(pairs: DataFrame, column: str, keep) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, per_cent: int,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a, b``: the pairs of classes whose exact similarity is at least ``per_cent`` per cent."""
-    likely = stored(_confirm(_both(candidates(classes, per_cent), classes, "sketch"), "sketch",
-                             lambda x, y: _estimate(x, y) >= SURE), "near-likely")
+    likely = stored(candidates(classes, per_cent), "near-likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     # one document of each class gives its full set
     first = signed.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "tag")).alias("d"))
