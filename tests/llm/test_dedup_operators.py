@@ -122,6 +122,27 @@ def test_families_and_common_shingles(spark, monkeypatch):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((d, *w) for (d, _), w in zip(rows, want))
 
 
+def test_star_and_chain_families(spark):
+    """More copies than a list's pairs, alike only through their origin (or their neighbour in a chain)."""
+    r, rows = random.Random(3), []
+    for f in range(2):
+        base = fx.prose(30 + f, 120).split(" ")
+        rows.append((1000 * f + 500, " ".join(base)))
+        for i in range(90):
+            w = list(base)
+            for j in r.sample(range(120), 5):
+                w[j] = f"n{f}x{i}y{j}"
+            rows.append((1000 * f + i, " ".join(w)))
+    w = fx.prose(77, 120).split(" ")
+    for i in range(60):
+        for j in r.sample(range(120), 4):
+            w[j] = f"c{i}y{j}"
+        rows.append((5000 + i, " ".join(w)))
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(
+        (d, *c) for (d, _), c in zip(rows, fx.brute_components(rows, 2)))
+
+
 def test_keep_one(docs):
     out = near_dedup.keep_one(docs, words=5)
     assert out.columns == docs.columns
