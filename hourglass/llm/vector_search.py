@@ -94,37 +94,67 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+DENSE = 0.1                  # share of pairs still in the race above which a column block is taken for all of them
+
+
+def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best of each query: indices in order of query, score (largest first) and id, and their ranks from 0."""
+    order = np.lexsort((ids, -score, i))
+    of = i[order]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+    return order[rank < k], rank[rank < k]
+
+
 def scan(queries: np.ndarray, own: np.ndarray, bound: np.ndarray, rows: np.ndarray, ids: np.ndarray, lists: Lists, k: int):
-    """Adaptive dimension scan of one block: (query number, vec_id, score) of each query's k best here."""
+    """Adaptive dimension scan of one block: arrays query number, vec_id, score of each query's k best here."""
     q, x = query_lift(queries) @ lists.rotation, lists.lift(rows) @ lists.rotation
     d = q.shape[1]
     cuts = list(range(0, d, COLUMNS)) + [d]
     blocks = [(np.ascontiguousarray(q[:, a:b]), np.ascontiguousarray(x[:, a:b])) for a, b in zip(cuts, cuts[1:])]
     square = (queries ** 2).sum(axis=1)
-    best: list[list[tuple[float, int]]] = [[] for _ in queries]
+    top = np.full((len(queries), k), -np.inf)
     bound = bound.copy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(rows), 512):
         some = slice(at, at + 512)
-        qb, xb = blocks[0][0], blocks[0][1][some]
-        part = (qb ** 2).sum(1)[:, None] - 2 * qb @ xb.T + (xb ** 2).sum(1)
-        seen = cuts[1]
-        i, j = np.nonzero(part <= (bound * (seen / d) * (1 + STRICT / np.sqrt(seen)) ** 2)[:, None])
-        part = part[i, j]
-        for (qb, xb), seen in zip(blocks[1:], cuts[2:]):
-            part = part + ((qb[i] - xb[some][j]) ** 2).sum(axis=1)
+        part = np.zeros((len(queries), len(ids[some])))
+        alive = np.ones(part.shape, bool)
+        i = j = None
+        for (qb, xb), seen in zip(blocks, cuts[1:]):
+            # the hypothesis: scaled to all dimensions, the candidate is not beyond the bound
             loose = 1 if seen == d else (seen / d) * (1 + STRICT / np.sqrt(seen)) ** 2
-            stay = part <= bound[i] * loose + 1e-9
-            i, j, part = i[stay], j[stay], part[stay]
+            xb = xb[some]
+            if i is None:
+                part += (qb ** 2).sum(1)[:, None] - 2 * qb @ xb.T + (xb ** 2).sum(1)
+                alive &= part <= (bound * loose + 1e-9)[:, None]
+                if np.count_nonzero(alive) < DENSE * alive.size:
+                    i, j = np.nonzero(alive)
+                    part = part[i, j]
+            else:
+                part = part + ((qb[i] - xb[j]) ** 2).sum(axis=1)
+                stay = part <= bound[i] * loose + 1e-9
+                i, j, part = i[stay], j[stay], part[stay]
+        if i is None:
+            i, j = np.nonzero(alive)
         other = ids[some][j] != own[i]
         i, j = i[other], j[other] + at
         score = inner(queries[i], rows[j])
-        for a in np.unique(i):
-            mine = i == a
-            best[a] = sorted([*best[a], *zip((-score[mine]).tolist(), ids[j[mine]].tolist())])[:k]
-            if len(best[a]) == k:
-                far = square[a] + lists.top_square + 2 * best[a][-1][0]
-                bound[a] = min(bound[a], far * (1 + 1e-9) + 1e-9)
-    return [(a, v, -s) for a, found in enumerate(best) for s, v in found]
+        pick, rank = _best(i, ids[j], score, k)
+        i, j, score = i[pick], j[pick], score[pick]
+        found.append((i, ids[j], score))
+        new = np.full(top.shape, -np.inf)
+        new[i, rank] = score
+        top = -np.partition(-np.concatenate([top, new], axis=1), k - 1, axis=1)[:, :k]
+        worst = top.min(axis=1)
+        full = np.isfinite(worst)
+        far = square + lists.top_square - 2 * np.where(full, worst, 0.0)
+        bound = np.where(full, np.minimum(bound, far * (1 + 1e-9) + 1e-9), bound)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, v, s = (np.concatenate(c) for c in zip(*found))
+    pick, _ = _best(i, v, s, k)
+    return i[pick], v[pick], s[pick]
 
 
 def _search(rows: DataFrame, d: int, k: int, every: int, probe_share: float, sample_values: int) -> DataFrame:
@@ -181,8 +211,8 @@ def _search(rows: DataFrame, d: int, k: int, every: int, probe_share: float, sam
             return pd.DataFrame({c: [] for c in names})
         x, q = (np.frombuffer(b"".join(f["x"]), float).reshape(-1, d) for f in (a, b))
         own = b["vec_id"].to_numpy()
-        found = scan(q, own, b["bound"].to_numpy(), x, a["vec_id"].to_numpy(), lists, k)
-        return pd.DataFrame([(own[i], b["x"].iloc[i], v, s) for i, v, s in found], columns=names)
+        i, v, s = scan(q, own, b["bound"].to_numpy(), x, a["vec_id"].to_numpy(), lists, k)
+        return pd.DataFrame(dict(zip(names, (own[i], b["x"].to_numpy()[i], v, s))))
 
     key = ["list", "row_block", "ask_block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(match, "query_id long, query_key binary, vec_id long, score double")
