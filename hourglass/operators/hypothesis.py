@@ -63,19 +63,16 @@ def decision_table(test: DataFrame, label_a: str = "Off-peak", label_b: str = "R
     """H5: the test result as (metric, result) text rows."""
     fmt = lambda spec, c: F.format_string(spec, F.col(c))
     rows = [
-        ("Test Used", F.lit("Welch T-Test (unequal variance)")),
-        ("H0 (Null Hypothesis)", F.lit(f"{label_b} mean = {label_a} mean")),
-        ("H1 (Alternative)", F.lit(f"{label_b} mean != {label_a} mean")),
-        ("t-statistic", fmt("%.4f", "t_stat")),
-        ("p-value", fmt("%.6f", "p_value")),
-        ("Significance (alpha=0.05)", F.when(F.col("significant") == 1, F.lit("SIGNIFICANT"))
-         .otherwise(F.lit("NOT significant"))),
-        ("Cohen's d", fmt("%.4f", "cohens_d")),
-        ("Effect Size Label", F.col("effect_size")),
-        ("95% CI (difference)", F.format_string("[%.4f, %.4f]", F.col("ci_lo"), F.col("ci_hi"))),
-        ("Decision", F.when(F.col("significant") == 1,
-                            F.lit(f"REJECT H0: {label_b} differs significantly from {label_a}"))
-         .otherwise(F.lit("FAIL to reject H0"))),
+        ("method", F.lit("welch_t")),
+        ("null_hypothesis", F.lit(f"mean({label_b}) = mean({label_a})")),
+        ("alternative", F.lit(f"mean({label_b}) <> mean({label_a})")),
+        ("t_stat", fmt("%.4f", "t_stat")),
+        ("p_value", fmt("%.6f", "p_value")),
+        ("significant_at_5_pct", F.when(F.col("significant") == 1, F.lit("yes")).otherwise(F.lit("no"))),
+        ("cohens_d", fmt("%.4f", "cohens_d")),
+        ("effect_size", F.col("effect_size")),
+        ("difference_ci_95", F.format_string("[%.4f, %.4f]", F.col("ci_lo"), F.col("ci_hi"))),
+        ("decision", F.when(F.col("significant") == 1, F.lit("null_rejected")).otherwise(F.lit("null_kept"))),
     ]
     return test.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(k).alias("metric"), v.alias("result"))

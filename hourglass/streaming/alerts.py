@@ -155,7 +155,9 @@ def alert_job(spark: SparkSession, source: str, schema: T.StructType | str, mode
                  .groupBy(F.window(ts, window).alias("window"), *keys)
                  .agg(F.avg(signal).alias("mean_score"), F.count(F.lit(1)).alias("n"),
                       F.max("is_rush_hour").alias("any_rush")))
-    cut = 0.5 if is_class or high is None else high
+    if not is_class and high is None:
+        raise ValueError("a regressor's alerts need `high`, the value above which a window counts")
+    cut = 0.5 if is_class else high
     alerts = (win.filter(F.col("mean_score") > F.lit(cut))
                  .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                          *keys, "mean_score", "n", "any_rush"))

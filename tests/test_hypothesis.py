@@ -23,7 +23,7 @@ def test_welch_against_formulas(spark):
     assert r.cohens_d == pytest.approx(d, rel=1e-10)
     assert r.ci_lo == pytest.approx(b.mean() - a.mean() - 1.96 * math.sqrt(va + vb), rel=1e-10)
     table = H.decision_table(H.welch_test(spark.createDataFrame(pdf), "v", "flag")).collect()
-    assert len(table) == 10 and table[0].metric == "Test Used"
+    assert len(table) == 10 and table[0].metric == "method"
 
 
 def test_jarque_bera(spark):
