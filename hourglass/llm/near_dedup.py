@@ -12,10 +12,14 @@
 3. The union sketch of each pair (the smallest values of both) estimates the Jaccard similarity and drops clear misses.
 4. The exact Jaccard similarity of the full sets confirms each link.
 5. Components by neighbour minimum and pointer jumping, over classes, written to the shared folder each round.
+6. A long list whose members lie in more than one component is compared in full: blocks by size and component, each with
+   each, without pairs that are connected already or differ too much in size; sketches first, then full sets.  Found
+   links join the others, and the components are taken again.  That work grows with the square of what stays unconnected
+   in one list.
 
 A link of similarity 0.8 is found unless the two share none of the values they are indexed under: about 0.2**12 for
 single values; small sets, whose sketch is the whole set, share four values at least.  Members of a long list meet
-through pivots and hubs, so of those links the ones that matter for components are kept, with about 30 a member.
+through pivots and hubs, or in step 6.
 
 Defined results: a text without words (null, empty) has an empty set, is linked with nothing and is its own component;
 fewer words than a shingle make one shingle; repeated rows are one class; a null doc_id takes part, and the component
@@ -37,7 +41,9 @@ RETAINED = 20        # of them, the values whose lists are counted
 INDEXED = 12         # of those that are not common, the values a class is listed under
 LIST = 40            # longest list that gives all its pairs
 FEW = 8              # with fewer values that are not common, a class is listed under common ones too
-HUBS = 3             # central members of a long list that all others are compared with
+HUBS = 3             # central members of a long list that all others are compared with first
+BLOCK = 1024         # members of a long list compared with as many others in one task,
+BLOCK_VALUES = 1 << 21   # fewer if their sets hold more values than this
 SURE = 0.5           # estimates below this are dropped: six standard errors under 0.8
 _MUL, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -146,13 +152,17 @@ def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
     return held.select("held").mapInArrow(run, "a binary, b binary")
 
 
-def candidates(classes: DataFrame, per_cent: int) -> DataFrame:
-    """``a, b``: the pairs of classes that some inverted list brings together and the estimate does not drop."""
+def listing(classes: DataFrame) -> DataFrame:
+    """``key, kind, cls, n``: the inverted lists."""
     posted = stored(_postings(classes), "near-postings")
     often = stored(posted.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST)
                    .select("value", F.lit(True).alias("common")), "near-common")
     marked = posted.join(often, "value", "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    keys = stored(_keys(marked), "near-keys")
+    return stored(_keys(marked), "near-keys")
+
+
+def candidates(classes: DataFrame, keys: DataFrame, per_cent: int) -> DataFrame:
+    """``a, b``: the pairs of classes that short lists, pivots and hubs bring together and the estimate does not drop."""
     single = _all_pairs(keys.where("kind = 0"), per_cent)
     extra = keys.where("kind > 0").select("key", "cls", "n")
     pivot = F.min(F.struct(F.xxhash64("key", "cls").alias("h"), F.col("cls").alias("cls"), F.col("n").alias("n")))
@@ -218,11 +228,8 @@ def _confirm(pairs: DataFrame, column: str, keep) -> DataFrame:
     return pairs.select("a", "b", f"a_{column}", f"b_{column}").mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, per_cent: int,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: the pairs of classes whose exact similarity is at least ``per_cent`` per cent."""
-    likely = stored(candidates(classes, per_cent), "near-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _full_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``cls, full``: the whole sets of the classes ``wanted`` (``cls``, one row each)."""
     # one document of each class gives its full set
     first = signed.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc", "tag")).alias("d"))
     from_docs = first.join(wanted, "cls", "left_semi").select("cls", "d.doc", "d.tag")
@@ -238,9 +245,17 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, pe
 
     rows = _rows(docs, id_col, text_col)
     match = rows["doc"].eqNullSafe(from_docs["doc"]) & (rows["tag"] == from_docs["tag"])
-    sets = (rows.join(from_docs, match).select("cls", "text").dropDuplicates(["cls"])
+    return (rows.join(from_docs, match).select("cls", "text").dropDuplicates(["cls"])
             .mapInArrow(full, "cls binary, full binary"))
 
+
+def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: DataFrame, words: int, per_cent: int,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: the candidate pairs of classes whose exact similarity is at least ``per_cent`` per cent."""
+    likely = stored(candidates(classes, keys, per_cent), "near-likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _full_sets(docs, signed, wanted, words, id_col, text_col)
+
     def exact(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -249,6 +264,144 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, words: int, pe
     return _confirm(_both(likely, stored(sets, "near-sets"), "full"), "full", exact)
 
 
+def _shared(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each set of ``a`` shares with each of ``b``: products of 0-1 matrices, exact below 2**24."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not a or not b:
+        return out
+    at = [(np.repeat(np.arange(len(s)), [len(v) for v in s]), np.concatenate(s)) for s in (a, b)]
+    both = np.intersect1d(np.unique(at[0][1]), np.unique(at[1][1]), assume_unique=True)
+    if not len(both):
+        return out
+    sides = []
+    for row, value in at:
+        col = np.minimum(np.searchsorted(both, value), len(both) - 1)
+        held = both[col] == value
+        row, col = row[held], col[held]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
+    for c in range(0, len(both), columns):
+        width, parts = min(columns, len(both) - c), []
+        for (row, col), n in zip(sides, out.shape):
+            some = slice(*np.searchsorted(col, [c, c + width]))
+            m = np.zeros((n, width), np.float32)
+            m[row[some], col[some] - c] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the square matrix ``linked`` connects, one fewer than members in each component."""
+    seen, edges = np.zeros(len(linked), bool), []
+    for start in np.flatnonzero(linked.any(axis=1)):
+        todo = [] if seen[start] else [start]
+        seen[start] = True
+        while todo:
+            u = todo.pop()
+            new = np.flatnonzero(linked[u] & ~seen)
+            seen[new] = True
+            edges += [(u, v) for v in new]
+            todo += list(new)
+    return edges
+
+
+def _apart(f, column: str):
+    """The members of one pair of blocks: frames of both sides (one frame twice for a block with itself), their values in
+    ``column``, and which pairs lie in different components and fit in size."""
+    x = f[f["side"] == 0]
+    y = f[f["side"] == 1] if (f["side"] == 1).any() else x
+    values = [[np.frombuffer(v, np.uint64) for v in s[column]] for s in (x, y)]
+    roots, code = np.unique(np.array([*x["root"], *y["root"]], object), return_inverse=True)
+    a, b = code[:len(x)], code[len(x):]
+    return x, y, values, a[:, None] != b[None, :]
+
+
+def remaining(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: DataFrame, roots: DataFrame, words: int,
+              per_cent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """``a, b``: links that connect the components ``roots`` further, None if no long list holds more than one component.
+
+    Every two members of a long list that lie in different components and fit in size are compared, block with block:
+    by their sketches in the first of the lists that they share, then by their full sets.  A pair of blocks returns a
+    forest of its links, so the rows grow with the members, not with the links."""
+    listed = keys.where("kind = 1").select("key", "cls", "n")
+    base = max(100 / per_cent, 1.01)
+    step = F.floor(F.log(F.col("n")) / float(np.log(base)) * 0.999).cast("int")      # sizes that fit are a step apart at most
+    long = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST).select("key")
+    held = listed.join(long, "key").join(roots, "cls", "left")
+    held = stored(held.select("key", "cls", "n", F.coalesce("root", "cls").alias("root"), step.alias("step")), "near-held")
+    open_ = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    open_ = stored(open_, "near-open")
+    if open_.isEmpty():
+        return None
+    held = stored(held.join(open_, "key"), "near-open-held")
+    # blocks: of one component if it fills some, else of several small ones
+    count = stored(held.groupBy("key", "step", "root").agg(F.count(F.lit(1)).alias("c")), "near-held-counts")
+    most = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.pow(F.lit(float(base)), F.col("step") + 1))))
+    count = count.withColumn("most", most).withColumn("big", F.col("c") > F.col("most"))
+    pool = count.groupBy("key", "step").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("c"))).alias("small"))
+    count = count.join(pool, ["key", "step"]).select(
+        "key", "step", "root", F.when(F.col("big"), F.col("root")).otherwise(F.lit(b"")).alias("own"),
+        F.greatest(F.lit(1), F.ceil(F.when(F.col("big"), F.col("c")).otherwise(F.col("small")) / F.col("most"))).alias("parts"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own") == F.lit(b""), F.col("root")).otherwise(F.col("cls")), F.lit(2)), F.col("parts"))
+    lists = held.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
+    placed = stored(held.join(stored(count, "near-parts"), ["key", "step", "root"])
+                    .select("key", F.concat_ws("/", "step", F.hex("own"), part).alias("block"), "cls", "n", "root", "step", "own"), "near-placed")
+    blocks = stored(placed.select("key", "block", "step", "own").distinct(), "near-blocks")
+    one, two = (blocks.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "step", "own")]) for side in "xy")
+    meet = one.join(two, "key").where((F.col("x_block") <= F.col("y_block")) & (F.abs(F.col("x_step") - F.col("y_step")) <= 1)
+                                      & ((F.col("x_own") != F.col("y_own")) | (F.col("x_own") == F.lit(b""))))
+    meet = stored(meet.select("key", "x_block", "y_block"), "near-meet")
+    rows = placed.select("key", "block", "cls", "n", "root").join(classes.select("cls", "sketch"), "cls").join(lists, "cls")
+    rows = stored(rows, "near-block-rows")
+    pair = ["key", "x_block", "y_block"]
+
+    def dealt(members: DataFrame, *names: str) -> DataFrame:
+        left = meet.withColumn("block", F.col("x_block")).withColumn("side", F.lit(0))
+        right = meet.where("x_block <> y_block").withColumn("block", F.col("y_block")).withColumn("side", F.lit(1))
+        return left.unionByName(right).join(members, ["key", "block"]).select(*pair, "side", *names)
+
+    def by_sketch(f):
+        import pandas as pd
+
+        x, y, (a, b), like = _apart(f, "sketch")
+        shared = _shared(a, b)
+        size = [np.array([len(v) for v in s]) for s in (a, b)]
+        n, m = x["n"].to_numpy(np.int64), y["n"].to_numpy(np.int64)
+        like &= shared >= SURE * np.maximum(size[0][:, None], size[1][None, :])
+        like &= 100 * np.minimum(n[:, None], m[None, :]) >= per_cent * np.maximum(n[:, None], m[None, :])
+        if like.any():
+            key = f["key"].iloc[0]
+            earlier = [[np.array([v for v in held if v < key], np.int64).view(np.uint64) for held in s["lists"]] for s in (x, y)]
+            like &= _shared(*earlier) == 0
+        stay = [s[like.any(axis=i)] for s, i in ((x, 1), (y, 0))]
+        stay = pd.concat(stay).drop_duplicates(["side", "cls"])
+        return stay[[*pair, "side", "cls", "root"]]
+
+    def by_set(f):
+        import pandas as pd
+
+        x, y, (a, b), like = _apart(f, "full")
+        shared = _shared(a, b).astype(np.int64)
+        size = [np.array([len(v) for v in s], np.int64) for s in (a, b)]
+        like &= 100 * shared >= per_cent * (size[0][:, None] + size[1][None, :] - shared)
+        if x is y:
+            names = list(x["cls"])
+        else:
+            names, k = [*x["cls"], *y["cls"]], len(x)
+            square = np.zeros((len(names), len(names)), bool)
+            square[:k, k:], square[k:, :k] = like, like.T
+            like = square
+        edges = _forest(like)
+        return pd.DataFrame({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]})
+
+    form = "key long, x_block string, y_block string, side int, cls binary, root binary"
+    alike = dealt(rows, "cls", "n", "root", "sketch", "lists").groupBy(*pair).applyInPandas(by_sketch, form)
+    alike = stored(alike, "near-alike")
+    sets = stored(_full_sets(docs, signed, alike.select("cls").distinct(), words, id_col, text_col), "near-sets")
+    return stored(alike.join(sets, "cls").groupBy(*pair).applyInPandas(by_set, "a binary, b binary"), "near-more")
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """``cls, root`` of every linked class: the smallest class that it reaches."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-edges")
@@ -269,7 +422,12 @@ def _signed_components(docs: DataFrame, words: int, per_cent: int, id_col: str,
     some = signed.where("n > 0")
     key = F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("tag")))
     classes = stored(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), key.alias("first")), "near-classes")
-    roots = connect(links(docs, signed, classes, words, per_cent, id_col, text_col))
+    keys = listing(classes)
+    found = stored(links(docs, signed, classes, keys, words, per_cent, id_col, text_col), "near-links")
+    roots = connect(found)
+    more = remaining(docs, signed, classes, keys, roots, words, per_cent, id_col, text_col)
+    if more is not None and not more.isEmpty():
+        roots = connect(found.unionByName(more))
     named = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = stored(named, "near-named")
     best = stored(named.groupBy("root").agg(F.min("first").alias("best")), "near-best")

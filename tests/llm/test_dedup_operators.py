@@ -143,6 +143,35 @@ def test_star_and_chain_families(spark):
         (d, *c) for (d, _), c in zip(rows, fx.brute_components(rows, 2)))
 
 
+def _with_new_words(words, start, n, name):
+    return [*words[:start], *(f"{name}w{i}" for i in range(n)), *words[start + n:]]
+
+
+def test_second_generation_copies(spark):
+    """Revisions of one origin (0.72 to it) and copies of each revision (0.83 to it, 0.7 to one another)."""
+    r, base, rows = random.Random(5), fx.prose(41, 304).split(" "), []
+    for v in range(8):
+        own = _with_new_words(base, 5 + 35 * v, 45, f"r{v}")
+        rows.append((1000 * v + 500, " ".join(own)))
+        rows += [(1000 * v + i, " ".join(_with_new_words(own, r.randrange(4, 275), 24, f"r{v}c{i}"))) for i in range(50)]
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(
+        (d, *c) for (d, _), c in zip(rows, fx.brute_components(rows, 5)))
+
+
+def test_texts_of_frequent_passages(spark):
+    """Texts put together from 20 passages that all hold more texts than a list's pairs; a few are alike."""
+    r, rows = random.Random(6), []
+    passages = [fx.prose(50 + i, 30) for i in range(20)]
+    for i in range(300):
+        rows.append((i, " ".join(r.sample(passages, 6))))
+    for i in range(0, 60, 2):
+        rows.append((1000 + i, " ".join(_with_new_words(rows[i][1].split(" "), r.randrange(4, 160), 8, f"p{i}"))))
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(
+        (d, *c) for (d, _), c in zip(rows, fx.brute_components(rows, 5)))
+
+
 def test_keep_one(docs):
     out = near_dedup.keep_one(docs, words=5)
     assert out.columns == docs.columns
