@@ -3,10 +3,11 @@
 1. Every text becomes its set of distinct word shingles, held as sorted 64-bit hashes; the first ``SKETCH`` values are its
    sketch.  Texts with the same set (128-bit digest) form a class; only one row per class goes on.
 2. Inverted lists of retained values generate overlaps.  A value held by more than ``LIST`` classes is common: a class
-   is indexed under its first ``INDEXED`` values that are not common, whose lists give all their pairs (``LIST``
-   squared at most).  A class with few such values (a large family of near copies, or a text of everyday shingles)
-   is indexed under common values and under pairs of them as well: short lists give all pairs, long ones link every
-   member to a pivot picked by hash, a different one for each key, and the lists of single values then to their ``HUBS``
+   is indexed under the first ``INDEXED`` of its ``RETAINED`` values, those that are not common first, then common ones,
+   the rarest first.  Lists of values that are not common give all their pairs (``LIST`` squared at most).  A class with
+   few such values (a large family of near copies, or a text of everyday shingles) is indexed under pairs of
+   values as well.  Of these lists and those of common values short ones give all pairs, long ones link every
+   member to a pivot picked by hash, a different one for each key, and the lists of the rarest four common values then to their ``HUBS``
    most central members, those most like the pivots they met on average: the text that a family was made from is one, and
    its copies may be alike through it alone.  So a family's rows grow with its size, not its square.
 3. The union sketch of each pair (the smallest values of both) estimates the Jaccard similarity and drops clear misses.
@@ -17,8 +18,10 @@
    links join the others, and the components are taken again.  That work grows with the square of what stays unconnected
    in one list.
 
-A link of similarity 0.8 is found unless the two share none of the values they are indexed under: about 0.2**12 for
-single values; small sets, whose sketch is the whole set, share four values at least.  Members of a long list meet
+A link of similarity 0.8 is found unless the two share none of the values they are indexed under.  The worst case is a text
+whose private values are just those that are not common: with a fifth of them private, 15 or more of the 20 retained
+ones are with a chance of 1.8e-7 (binomial), else a common value is indexed too.  Sets of at most ``RETAINED`` values share
+one of their first ``INDEXED`` for certain.  Members of a long list meet
 through pivots and hubs, or in step 6.
 
 Defined results: a text without words (null, empty) has an empty set, is linked with nothing and is its own component;
@@ -38,9 +41,9 @@ from hourglass.llm.common import stored
 
 SKETCH = 64          # values kept of each set
 RETAINED = 20        # of them, the values whose lists are counted
-INDEXED = 12         # of those that are not common, the values a class is listed under
+INDEXED = 15         # of those, the values a class is listed under: those that are not common first
 LIST = 40            # longest list that gives all its pairs
-FEW = 8              # with fewer values that are not common, a class is listed under common ones too
+FEW = 8              # with fewer values that are not common, a class is listed under pairs of values too
 HUBS = 3             # central members of a long list that all others are compared with first
 BLOCK = 1024         # members of a long list compared with as many others in one task,
 BLOCK_VALUES = 1 << 21   # fewer if their sets hold more values than this
@@ -109,27 +112,28 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _keys(marked: DataFrame) -> DataFrame:
-    """``key, kind, cls, n``: what each class is listed under (kind 0: a value, 1: a common value, 2: a pair)."""
+    """``key, kind, cls, n``: what each class is listed under (kind 0: a value, 1: a common value that gets hubs, 2: a pair,
+    3: a further common value)."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for cls, n, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "held"))):
-                held = sorted((x["value"] & 0xFFFFFFFFFFFFFFFF, x["common"]) for x in held)     # unsigned order
-                own = [v for v, common in held if not common][:INDEXED]
+                # one order for all classes: values that are not common, then common ones, the rarest first
+                held = sorted((x["c"], x["value"] & 0xFFFFFFFFFFFFFFFF) for x in held)[:INDEXED]
+                own, often = [v for c, v in held if not c], [v for c, v in held if c]
                 out += [(v, 0, cls, n) for v in own]
+                out += [(v, 1 if i < 4 else 3, cls, n) for i, v in enumerate(often)]
                 if len(own) < FEW:
-                    often = [v for v, common in held if common][:6]
-                    out += [(v, 1, cls, n) for v in often[:4]]
-                    mixed = sorted([*often, *own])[:6]
+                    mixed = sorted([*sorted(often)[:6], *own])[:6]
                     out += [((a * 0x9E3779B97F4A7C15 ^ b) & 0xFFFFFFFFFFFFFFFF, 2, cls, n) for a, b in combinations(mixed, 2)]
             keys = np.array([x[0] for x in out], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()),
                  pa.array([x[3] for x in out], pa.int32())], ["key", "kind", "cls", "n"])
 
-    held = marked.groupBy("cls", "n").agg(F.collect_list(F.struct("value", "common")).alias("held"))   # RETAINED at most
+    held = marked.groupBy("cls", "n").agg(F.collect_list(F.struct("value", "c")).alias("held"))   # RETAINED at most
     return held.mapInArrow(run, "key long, kind int, cls binary, n int")
 
 
@@ -155,9 +159,9 @@ def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
 def listing(classes: DataFrame) -> DataFrame:
     """``key, kind, cls, n``: the inverted lists."""
     posted = stored(_postings(classes), "near-postings")
-    often = stored(posted.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST)
-                   .select("value", F.lit(True).alias("common")), "near-common")
-    marked = posted.join(often, "value", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    often = stored(posted.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST),
+                   "near-common")
+    marked = posted.join(often, "value", "left").withColumn("c", F.coalesce("c", F.lit(0)))     # 0: not common
     return stored(_keys(marked), "near-keys")
 
 
@@ -324,7 +328,7 @@ def remaining(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: Data
     Every two members of a long list that lie in different components and fit in size are compared, block with block:
     by their sketches in the first of the lists that they share, then by their full sets.  A pair of blocks returns a
     forest of its links, so the rows grow with the members, not with the links."""
-    listed = keys.where("kind = 1").select("key", "cls", "n")
+    listed = keys.where("kind IN (1, 3)").select("key", "cls", "n")
     base = max(100 / per_cent, 1.01)
     step = F.floor(F.log(F.col("n")) / float(np.log(base)) * 0.999).cast("int")      # sizes that fit are a step apart at most
     long = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST).select("key")

@@ -172,6 +172,24 @@ def test_texts_of_frequent_passages(spark):
         (d, *c) for (d, _), c in zip(rows, fx.brute_components(rows, 5)))
 
 
+def test_family_member_with_own_additions(spark):
+    """Half of the retained values are private, the shared ones are common in a family of over 40 variants."""
+    base = fx.prose(42, 240)
+    rows = [(i, " ".join(_with_new_words(base.split(" "), 4 + 2 * i, 1, f"v{i}"))) for i in range(100)] + [(100, base)]
+    known = near_dedup.shingle_set(base, 5)
+    for seed in range(1000):
+        more = base + " " + fx.prose(1000 + seed, 52)
+        low = near_dedup.shingle_set(more, 5)[:near_dedup.RETAINED]
+        if 8 <= sum(v not in known for v in low) <= 12:
+            rows.append((200 + seed, more))
+    rows = rows[:104]
+    assert len(rows) == 104
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+    want = fx.brute_components(rows, 5)
+    assert {c for _, c in want} == {0}
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((d, *c) for (d, _), c in zip(rows, want))
+
+
 def test_keep_one(docs):
     out = near_dedup.keep_one(docs, words=5)
     assert out.columns == docs.columns
