@@ -45,8 +45,8 @@ INDEXED = 15         # of those, the values a class is listed under: those that
 LIST = 40            # longest list that gives all its pairs
 FEW = 8              # with fewer values that are not common, a class is listed under pairs of values too
 HUBS = 3             # central members of a long list that all others are compared with first
-BLOCK = 1024         # members of a long list compared with as many others in one task,
-BLOCK_VALUES = 1 << 21   # fewer if their sets hold more values than this
+BLOCK = 512          # members of a long list compared with as many others in one task,
+BLOCK_VALUES = 1 << 18   # fewer if their sets hold more values than this
 SURE = 0.5           # estimates below this are dropped: six standard errors under 0.8
 _MUL, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -268,7 +268,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: DataFram
     return _confirm(_both(likely, stored(sets, "near-sets"), "full"), "full", exact)
 
 
-def _shared(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def _shared(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """How many values each set of ``a`` shares with each of ``b``: products of 0-1 matrices, exact below 2**24."""
     out = np.zeros((len(a), len(b)), np.float32)
     if not a or not b:
@@ -328,42 +328,40 @@ def remaining(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: Data
     Every two members of a long list that lie in different components and fit in size are compared, block with block:
     by their sketches in the first of the lists that they share, then by their full sets.  A pair of blocks returns a
     forest of its links, so the rows grow with the members, not with the links."""
-    listed = keys.where("kind IN (1, 3)").select("key", "cls", "n")
     base = max(100 / per_cent, 1.01)
     step = F.floor(F.log(F.col("n")) / float(np.log(base)) * 0.999).cast("int")      # sizes that fit are a step apart at most
-    long = listed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST).select("key")
-    held = listed.join(long, "key").join(roots, "cls", "left")
+    held = keys.where("kind IN (1, 3)").join(roots, "cls", "left")
     held = stored(held.select("key", "cls", "n", F.coalesce("root", "cls").alias("root"), step.alias("step")), "near-held")
-    open_ = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    open_ = stored(open_, "near-open")
+    count = stored(held.groupBy("key", "step", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")), "near-held-counts")
+    open_ = count.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most_"), F.sum("c").alias("all"), F.sum("n").alias("values"))
+    open_ = open_.where((F.col("least") != F.col("most_")) & (F.col("all") > LIST))
+    one_block = (F.col("all") <= BLOCK) & (F.col("values") <= BLOCK_VALUES)
+    open_ = stored(open_.select("key", one_block.alias("whole")), "near-open")
     if open_.isEmpty():
         return None
-    held = stored(held.join(open_, "key"), "near-open-held")
-    # blocks: of one component if it fills some, else of several small ones
-    count = stored(held.groupBy("key", "step", "root").agg(F.count(F.lit(1)).alias("c")), "near-held-counts")
+    # blocks: a list that is no longer than one is one; else of one component if it fills some, or of several small ones
     most = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.pow(F.lit(float(base)), F.col("step") + 1))))
-    count = count.withColumn("most", most).withColumn("big", F.col("c") > F.col("most"))
+    count = count.join(open_, "key").withColumn("most", most).withColumn("big", ~F.col("whole") & (F.col("c") > F.col("most")))
     pool = count.groupBy("key", "step").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("c"))).alias("small"))
+    parts = F.ceil(F.when(F.col("big"), F.col("c")).otherwise(F.col("small")) / F.col("most"))
     count = count.join(pool, ["key", "step"]).select(
-        "key", "step", "root", F.when(F.col("big"), F.col("root")).otherwise(F.lit(b"")).alias("own"),
-        F.greatest(F.lit(1), F.ceil(F.when(F.col("big"), F.col("c")).otherwise(F.col("small")) / F.col("most"))).alias("parts"))
+        "key", "step", "root", "whole", F.when(F.col("big"), F.col("root")).otherwise(F.lit(b"")).alias("own"),
+        F.when(F.col("whole"), 1).otherwise(F.greatest(F.lit(1), parts)).alias("parts"))
     part = F.pmod(F.xxhash64(F.when(F.col("own") == F.lit(b""), F.col("root")).otherwise(F.col("cls")), F.lit(2)), F.col("parts"))
-    lists = held.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
-    placed = stored(held.join(stored(count, "near-parts"), ["key", "step", "root"])
-                    .select("key", F.concat_ws("/", "step", F.hex("own"), part).alias("block"), "cls", "n", "root", "step", "own"), "near-placed")
+    level = F.when(F.col("whole"), 0).otherwise(F.col("step"))
+    placed = held.join(stored(count, "near-parts"), ["key", "step", "root"]).withColumn("step", level)
+    placed = stored(placed.select("key", F.concat_ws("/", "step", F.hex("own"), part).alias("block"), "cls", "n", "root", "step", "own"), "near-placed")
+    lists = placed.groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("lists"))
     blocks = stored(placed.select("key", "block", "step", "own").distinct(), "near-blocks")
     one, two = (blocks.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "step", "own")]) for side in "xy")
     meet = one.join(two, "key").where((F.col("x_block") <= F.col("y_block")) & (F.abs(F.col("x_step") - F.col("y_step")) <= 1)
                                       & ((F.col("x_own") != F.col("y_own")) | (F.col("x_own") == F.lit(b""))))
     meet = stored(meet.select("key", "x_block", "y_block"), "near-meet")
-    rows = placed.select("key", "block", "cls", "n", "root").join(classes.select("cls", "sketch"), "cls").join(lists, "cls")
-    rows = stored(rows, "near-block-rows")
     pair = ["key", "x_block", "y_block"]
-
-    def dealt(members: DataFrame, *names: str) -> DataFrame:
-        left = meet.withColumn("block", F.col("x_block")).withColumn("side", F.lit(0))
-        right = meet.where("x_block <> y_block").withColumn("block", F.col("y_block")).withColumn("side", F.lit(1))
-        return left.unionByName(right).join(members, ["key", "block"]).select(*pair, "side", *names)
+    left = meet.withColumn("block", F.col("x_block")).withColumn("side", F.lit(0))
+    right = meet.where("x_block <> y_block").withColumn("block", F.col("y_block")).withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).join(placed, ["key", "block"]).select(*pair, "side", "cls", "n", "root")
+    rows = dealt.join(classes.select("cls", "sketch").join(lists, "cls"), "cls")
 
     def by_sketch(f):
         import pandas as pd
@@ -400,7 +398,7 @@ def remaining(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: Data
         return pd.DataFrame({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]})
 
     form = "key long, x_block string, y_block string, side int, cls binary, root binary"
-    alike = dealt(rows, "cls", "n", "root", "sketch", "lists").groupBy(*pair).applyInPandas(by_sketch, form)
+    alike = rows.groupBy(*pair).applyInPandas(by_sketch, form)
     alike = stored(alike, "near-alike")
     sets = stored(_full_sets(docs, signed, alike.select("cls").distinct(), words, id_col, text_col), "near-sets")
     return stored(alike.join(sets, "cls").groupBy(*pair).applyInPandas(by_set, "a binary, b binary"), "near-more")
