@@ -2,7 +2,7 @@
 
 Largest inner product becomes smallest Euclidean distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest
 norm.  A k-means on a bounded sample (``SAMPLE_VALUES`` numbers) gives the lists; every vector is indexed in the list of its
-nearest centre.  A query probes a share of the lists.  Within a probed list the vectors are rotated at random and
+nearest centre.  A query probes a share of the lists, more if they hold fewer than 2k other vectors.  Within a probed list the vectors are rotated at random and
 lie in column blocks: after each block a hypothesis test compares the partial distance, scaled to all
 dimensions, with the query's k-th best distance so far and abandons the candidate if it is unlikely to be nearer.
 The first bound comes from the sample.  What survives all blocks is scored exactly, in double precision, on the original vectors.
@@ -70,11 +70,9 @@ class Lists:
         near = -2 * lifted @ self.centres.T + (self.centres ** 2).sum(axis=1)
         return np.argsort(near, axis=1, kind="stable")[:, :n]
 
-    def first_bound(self, queries: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
-        """Squared distance to the 2k-th nearest sampled vector of the probed lists: at least k others are nearer,
-        whatever the tests drop."""
-        reach = np.zeros((len(queries), len(self.centres)), bool)
-        np.put_along_axis(reach, probed, True, axis=1)
+    def first_bound(self, queries: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance to the 2k-th nearest sampled vector of the probed lists (``reach``: query by list): at least k
+        others are nearer, whatever the tests drop."""
         if len(self.sample) < 2 * k:
             return np.full(len(queries), np.inf)
         far = (queries ** 2).sum(1)[:, None] - 2 * queries @ self.sample.T + (self.sample ** 2).sum(1)
@@ -180,18 +178,24 @@ def _search(rows: DataFrame, d: int, k: int, every: int, probe_share: float, sam
             x = np.array(f["x"].tolist(), float).reshape(-1, d)
             for at in range(0, len(x), 256):
                 part = x[at:at + 256]
-                near = lists.order(query_lift(part), n_probe)
-                own = np.repeat(np.arange(len(part)), near.shape[1])
-                bound = lists.first_bound(query_lift(part), near, k)
+                near = lists.order(query_lift(part), n_lists)
+                # the nearest n_probe, and further ones until they hold 2k vectors besides the query's own rows
+                before = np.cumsum(held[near], axis=1) - held[near]
+                want = (np.arange(n_lists) < n_probe) | (before < 2 * k + 1)
+                own, at_list = np.nonzero(want)
+                bound = lists.first_bound(query_lift(part), want[np.arange(len(part))[:, None], np.argsort(near, axis=1)], k)
                 raw = [v.tobytes() for v in part]
-                yield pd.DataFrame({"list": near.ravel(), "vec_id": f["vec_id"].to_numpy()[at:at + 256][own], "bound": bound[own],
+                yield pd.DataFrame({"list": near[own, at_list], "vec_id": f["vec_id"].to_numpy()[at:at + 256][own], "bound": bound[own],
                                     "x": [raw[o] for o in own]})
 
     indexed = stored(rows.mapInPandas(index, "list int, vec_id long, x binary"), "vector-index")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    probes = stored(queries.mapInPandas(probe, "list int, vec_id long, bound double, x binary"), "vector-probes")
     # one number a list: at most a quarter of the sample's rows
     n_rows = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # rows that share an id are one candidate less each: ids count
+    n_ids = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.countDistinct("vec_id").alias("n")).collect()}
+    held = np.array([n_ids.get(i, 0) for i in range(n_lists)], np.int64)
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
+    probes = stored(queries.mapInPandas(probe, "list int, vec_id long, bound double, x binary"), "vector-probes")
     n_ask = {r["list"]: r["n"] for r in probes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = rows.sparkSession
     cut = pd.DataFrame([(i, -(-n_rows.get(i, 0) // BLOCK_ROWS), -(-n_ask.get(i, 0) // BLOCK_QUERIES)) for i in range(n_lists)],

@@ -157,3 +157,15 @@ def test_near_dedup_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.components(table(spark, SMALL, "documents"), 2).collect())
     assert got == sorted((d, *w) for (d, _), w in zip(rows, fx.brute_components(rows, 2)))
+
+
+def test_few_vectors_give_all_candidates(spark):
+    """Four lists of which three were probed: whole results were missing."""
+    import numpy as np
+
+    x = np.random.default_rng(8).standard_normal((22, 64))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = vector_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=2).collect()
+    for q in range(0, 22, 2):
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        assert mine == sorted((i for i in range(22) if i != q), key=lambda i: -x[q] @ x[i])[:20]
