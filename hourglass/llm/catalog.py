@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.llm import bpe, chat, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, token_files, vector_search
+from hourglass.llm import (bpe, chat, hard_negatives, lexical_search, near_dedup, packing, quality_model, quality_rules, secret_scan,
+                           substring_dedup, suffix_dedup, token_files, vector_search)
 from hourglass.llm.common import table
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def vocabulary(name: str) -> str:
@@ -60,5 +61,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(spark, rows, vocabulary(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op4_near_dedup, op5_quality_model, op6_token_files, op7_packing, op8_vector_search, op9_suffix_dedup, op10_chat)}
-ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.mislabelled(hard_negatives.scaled(table(spark, sf_dir, "embeddings"))))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_bpe, op4_near_dedup, op5_quality_model, op6_token_files,
+                                   op7_packing, op8_vector_search, op9_suffix_dedup, op10_chat, op11_lexical_search, op12_hard_negatives,
+                                   op13_secret_scan)}
+ORACLE = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op10_chat": chat.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL,
+          "op12_hard_negatives": hard_negatives.ORACLE_SQL}
