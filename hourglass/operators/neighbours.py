@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col_of
 from ..session import materialise
+from .saved import TableModel
 
 PIVOTS = 1024                # first pivots at most
 INNER = 64                   # pivots inside a large cell at most
@@ -348,11 +349,27 @@ class NearestNeighbours(Estimator, _KnnParams):
         return NearestNeighboursModel(self.inputs, PivotIndex(rows.where(_whole() & F.col("label").isNotNull()), self.getOrDefault("k")))
 
 
-class NearestNeighboursModel(Model):
+class NearestNeighboursModel(Model, TableModel):
     def __init__(self, inputs: Sequence[str], index: PivotIndex):
         super().__init__()
         self.inputs, self.index = list(inputs), index
 
+    def saved_state(self):
+        i = self.index
+        if i.empty:
+            raise ValueError("a model that learned from no rows cannot be saved")
+        figures = {c: getattr(i.pivots, c).tolist() for c in ("x", "low", "high", "rows")}
+        return {"inputs": self.inputs, "k": i.k, "cell_rows": i.cell_rows, "pivots": figures}, {"rows": i.rows, "inner": i.inner}
+
+    @classmethod
+    def restored(cls, state, read) -> "NearestNeighboursModel":
+        index = PivotIndex.__new__(PivotIndex)
+        index.k, index.cell_rows, index.empty = state["k"], state["cell_rows"], False
+        index.pivots = Pivots(**{c: np.array(v) for c, v in state["pivots"].items()})
+        index.rows, index.inner = read("rows"), read("inner")
+        index.spark, index.d = index.rows.sparkSession, index.pivots.x.shape[1]
+        return cls(state["inputs"], index)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         asked = dataset.withColumn("__x", _vector(self.inputs))
         alone = materialise(asked.select(F.col("__x").alias("x")).where(_whole()).distinct().withColumn("ask", F.monotonically_increasing_id()))

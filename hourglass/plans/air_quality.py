@@ -154,7 +154,7 @@ def models(df: DataFrame, key: str = "Datetime", parallel: bool = True) -> dict[
         n = tr.count()
         base = ml.feature_stages(tr, FEATURES)
         if kind == "regression":
-            est = ml.regressors(n, tr.agg(F.stddev_pop("label")).first()[0])
+            est = ml.regressors(n, tr.agg(F.stddev_pop("label")).first()[0], FEATURES)
         else:
             est = ml.classifiers(n, FEATURES)
         res = ml.fit_all(est, base, tr, te, kind, parallel=parallel)

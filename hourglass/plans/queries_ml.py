@@ -70,9 +70,9 @@ def _train(spark, sf_dir, kind):
     base = ml.feature_stages(train, FEATURES)
     if kind == "regression":
         sd = train.agg(F.stddev_pop("label")).first()[0]
-        models = ml.regressors(n, sd)
+        models = ml.regressors(n, sd, FEATURES, keys=KEYS)
     else:
-        models = ml.classifiers(n, FEATURES)
+        models = ml.classifiers(n, FEATURES, keys=KEYS)
     results = ml.fit_all(models, base, train, test, kind)
     return results, train, test
 
@@ -160,7 +160,7 @@ def learning_curve(spark, sf_dir):
     def stages(tr):
         n = tr.count()
         sd = tr.agg(F.stddev_pop("label")).first()[0]
-        return ml.feature_stages(tr, FEATURES) + ml.regressors(n, sd)[best]
+        return ml.feature_stages(tr, FEATURES) + ml.regressors(n, sd, FEATURES, keys=KEYS)[best]
 
     return ml.learning_curve(train, stages, KEYS).withColumn("model", F.lit(best))
 
