@@ -36,4 +36,5 @@ def load_all() -> None:
     from . import queries_ml  # noqa: F401
     from . import queries_neighbours  # noqa: F401
     from . import queries_trees  # noqa: F401
+    from . import queries_svm  # noqa: F401
     from . import queries_sources  # noqa: F401
