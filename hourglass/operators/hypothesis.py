@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import norm_ppf_col, shapiro_wilk, t_pvalue_udf
+from ..functions.distributions import lilliefors_p_col, norm_cdf_col, norm_ppf_col, shapiro_wilk, t_pvalue_col
 from ..functions.scalar import EFFECT_BANDS, EFFECT_ELSE, bucket_label, col_of, ratio, skew_shape
 from ..session import cut_lineage, materialise
+from .linear import row_ranks
 
 
 def group_moments(df: DataFrame, value: str, flag: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -51,7 +52,7 @@ def welch_test(df: DataFrame, value: str, flag: str, keys: Sequence[str] = (),
     or "greater".
     """
     eff = welch_effect(df, value, flag, keys)
-    p = t_pvalue_udf(F.col("t_stat"), F.col("dof"), F.lit(alternative))
+    p = t_pvalue_col(F.col("t_stat"), F.col("dof"), alternative)
     return eff.withColumn("p_value", p).withColumns({
         "significant": (F.col("p_value") < alpha).cast("int"),
         "effect_size": bucket_label("cohens_d", EFFECT_BANDS, EFFECT_ELSE, absolute=True),
@@ -96,6 +97,27 @@ def jarque_bera(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        (F.exp(-jb / 2.0) > 0.05).cast("int").alias("normal"))
 
 
+def lilliefors_test(df: DataFrame, cols: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """H6 on whole columns: the largest distance between a column's distribution and the normal of its own mean and deviation, with
+    its p-value: ``column, n, mean, std, d, p_value, normal``.
+
+    All columns are ranked together over sorted ranges (``row_ranks``); each row then knows both sides of its step, and the distance
+    is a maximum, so no column is gathered anywhere.  NULL and NaN do not count; a constant column has no distance."""
+    x = lambda c: F.nanvl(col_of(c).cast("double"), F.lit(None))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), x(c).alias("x")) for i, c in enumerate(cols)]))).where(F.col("x").isNotNull())
+    ranked = row_ranks(long, ["c", "x"], "i")
+    moments = long.groupBy("c").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))      # a row a column
+    one = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    moments = materialise(moments.withColumn("start", F.coalesce(F.sum("n").over(one), F.lit(0))))
+    cdf = norm_cdf_col((F.col("x") - F.col("mean")) / F.col("std"))
+    at = F.col("i") - F.col("start")
+    step = F.when(F.col("std") > 0, F.greatest((at + 1) / F.col("n") - F.col("cdf"), F.col("cdf") - at / F.col("n")))
+    far = ranked.join(F.broadcast(moments), "c").withColumn("cdf", cdf).groupBy("c").agg(F.max(step).alias("d"))
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1)
+    out = moments.join(far, "c").withColumn("p_value", lilliefors_p_col(F.col("d"), F.col("n")))
+    return out.select(names.alias("column"), "n", "mean", "std", "d", "p_value", (F.col("p_value") > alpha).cast("int").alias("normal"))
+
+
 def hash_sample(df: DataFrame, cols: Sequence[str], size: int = 500, seed: int = 42) -> DataFrame:
     """Deterministic sample of ``size`` non-NULL values per column: the rows
     with the smallest seeded hash.  A hash-threshold filter first keeps about

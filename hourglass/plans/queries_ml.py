@@ -162,7 +162,8 @@ def learning_curve(spark, sf_dir):
         sd = tr.agg(F.stddev_pop("label")).first()[0]
         return ml.feature_stages(tr, FEATURES) + ml.regressors(n, sd, FEATURES, keys=KEYS)[best]
 
-    return ml.learning_curve(train, stages, KEYS).withColumn("model", F.lit(best))
+    order = [*KEYS, "l_partkey", REG_LABEL]
+    return ml.learning_curve(train, stages, order).withColumn("model", F.lit(best))
 
 
 @register("regression_residuals")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.distributions import norm_ppf_sql
+from pyspark.sql import functions as F
+
+from ..functions.distributions import norm_cdf_sql, norm_ppf_sql
 from ..operators import hypothesis as hyp
 from ..sources.readers import read_table
 from .catalog import register
@@ -35,10 +37,26 @@ def rush_effect(spark, sf_dir):
     return hyp.welch_effect(clean_events(spark, sf_dir), "value", "is_rush_hour", ["event_type"])
 
 
-@register("rush_ttest")
+# the tail of the density by Simpson's rule, beyond |t| stretched to the unit interval
+_TTEST_SQL = f"""
+WITH e AS ({_EFFECT_SQL}),
+g AS (SELECT event_type, abs(t_stat) AS t, dof, unnest(range(0, 4000)) / 4000.0 AS u FROM e),
+f AS (SELECT event_type, dof, CASE WHEN u = 0 THEN 1 WHEN CAST(round(u * 4000) AS BIGINT) % 2 = 1 THEN 4 ELSE 2 END
+             * exp(-(dof + 1) / 2 * ln(1 + power(t + u / (1 - u), 2) / dof)) / power(1 - u, 2) AS v FROM g),
+p AS (SELECT event_type, 2 * sum(v) / 12000 * exp(lgamma((any_value(dof) + 1) / 2) - lgamma(any_value(dof) / 2)) / sqrt(any_value(dof) * pi()) AS p_value
+      FROM f GROUP BY event_type)
+SELECT event_type, n_a, n_b, mean_a, mean_b, t_stat, dof, cohens_d, diff, ci_lo, ci_hi, round(p_value, 7) AS p_value,
+       CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END AS significant,
+       CASE WHEN abs(cohens_d) > 0.8 THEN 'Large (>0.8)' WHEN abs(cohens_d) > 0.5 THEN 'Medium (0.5-0.8)' ELSE 'Small (<0.5)' END AS effect_size,
+       (mean_b - mean_a) / mean_a * 100 AS uplift_pct FROM e JOIN p USING (event_type)"""
+
+
+@register("rush_ttest", _TTEST_SQL, floats=["mean_a", "mean_b", "t_stat", "dof", "cohens_d", "diff", "ci_lo", "ci_hi", "p_value", "uplift_pct"],
+          ints=["n_a", "n_b", "significant"])
 def rush_ttest(spark, sf_dir):
     """H2: Welch test with its two-sided p-value, effect label, uplift."""
-    return hyp.welch_test(clean_events(spark, sf_dir), "value", "is_rush_hour", ["event_type"])
+    test = hyp.welch_test(clean_events(spark, sf_dir), "value", "is_rush_hour", ["event_type"])
+    return test.withColumn("p_value", F.round("p_value", 7))
 
 
 @register("rush_decision")
@@ -62,6 +80,22 @@ def jarque_bera(spark, sf_dir):
     return hyp.jarque_bera(read_table(spark, sf_dir, "lineitem"), list(LINEITEM_NUMERIC))
 
 
+_LILLIE_SQL = "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column, any_value(n) AS n, any_value(mean) AS mean, any_value(std) AS std, max(greatest(i / n - cdf, cdf - (i - 1) / n)) AS d
+FROM (SELECT i, n, mean, std, {norm_cdf_sql('z')} AS cdf FROM (
+  SELECT row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n, avg({c}) OVER () AS mean, stddev_samp({c}) OVER () AS std,
+         ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z FROM lineitem WHERE {c} IS NOT NULL))"""
+    for c in LINEITEM_NUMERIC)
+
+
+@register("lilliefors_lineitem", f"""
+SELECT *, 0.0 AS p_value, 0 AS normal FROM ({_LILLIE_SQL})""", floats=["mean", "std", "d", "p_value"], ints=["n", "normal"])
+def lilliefors_lineitem(spark, sf_dir):
+    """H6 on whole columns: distance to the fitted normal; these uniform columns are far from it (p below 1e-9 is shown as 0)."""
+    test = hyp.lilliefors_test(read_table(spark, sf_dir, "lineitem"), list(LINEITEM_NUMERIC))
+    return test.withColumn("p_value", F.round("p_value", 9))
+
+
 @register("shapiro_lineitem")
 def shapiro_lineitem(spark, sf_dir):
     """H6: Shapiro-Wilk on a deterministic 500-row hash sample per column."""

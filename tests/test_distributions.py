@@ -52,10 +52,43 @@ def test_shapiro_behaviour():
     assert D.shapiro_wilk(x)[0] == pytest.approx(D.shapiro_wilk(3 * x + 7)[0], abs=1e-12)
 
 
-def test_pvalue_udf(spark):
-    df = spark.createDataFrame([(2.0, 10.0, "two-sided"), (2.0, 10.0, "greater"), (2.0, 10.0, "less")],
-                               "t double, d double, a string")
-    out = [r[0] for r in df.select(D.t_pvalue_udf(F.col("t"), F.col("d"), F.col("a"))).collect()]
+def test_pvalue_columns(spark):
+    df = spark.createDataFrame([(2.0, 10.0)], "t double, d double")
+    out = [df.select(D.t_pvalue_col(F.col("t"), F.col("d"), a)).first()[0] for a in ("two-sided", "greater", "less")]
     assert out[0] == pytest.approx(0.07338803, abs=1e-6)
     assert out[1] == pytest.approx(out[0] / 2, abs=1e-9) and out[2] == pytest.approx(1 - out[1], abs=1e-9)
     assert math.isclose(out[1] + out[2], 1.0)
+
+
+def test_t_tail_in_the_jvm_equals_the_incomplete_beta(spark):
+    rows = [(t, d) for t in (0.0, 0.3, -1.7, 4.0, -25.0, 300.0) for d in (0.5, 1.0, 2.0, 7.3, 60.0, 5e3, 1e6)]
+    got = spark.createDataFrame(rows, "t double, d double").select("t", "d", D.t_pvalue_col(F.col("t"), F.col("d")).alias("p")).collect()
+    for r in got:
+        want = D.t_two_sided_p(r.t, r.d)
+        assert r.p == pytest.approx(want, rel=2e-9 if r.d < 1e5 else 1e-6, abs=1e-300)
+    # many degrees of freedom: the normal tail
+    p = spark.range(1).select(D.t_pvalue_col(F.lit(1.96), F.lit(1e12)), D.t_pvalue_col(F.lit(None).cast("double"), F.lit(3.0)),
+                              D.t_pvalue_col(F.lit(1.0), F.lit(0.0)), D.t_pvalue_col(F.lit(1e-6), F.lit(5e3))).first()
+    density = math.exp(math.lgamma(2500.5) - math.lgamma(2500)) / math.sqrt(5e3 * math.pi)
+    assert p[3] == pytest.approx(1 - 2e-6 * density, abs=1e-12)
+    assert p[0] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), rel=1e-9) and p[1] is None and p[2] is None
+
+
+def test_normal_distribution_function(spark):
+    x = [-40.0, -9.0, -7.2, -7.0, -3.0, -0.5, 0.0, 1e-9, 0.7, 2.5, 6.9, 7.5, 50.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(D.norm_cdf_col(F.col("x"))).collect()]
+    for v, p in zip(x, got):
+        assert p == pytest.approx(0.5 * math.erfc(-v / math.sqrt(2)), rel=1e-7 if v < -7.07 else 1e-13)
+
+
+def test_lilliefors_p_is_uniform_for_normal_samples(spark):
+    r, rows = np.random.default_rng(8), []
+    for n in (20, 80, 400):
+        for _ in range(2000):
+            x = np.sort(r.normal(size=n))
+            f = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in (x - x.mean()) / x.std(ddof=1)])
+            rows.append((n, float(max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max()))))
+    p = spark.createDataFrame(rows, "n long, d double").select("n", D.lilliefors_p_col(F.col("d"), F.col("n")).alias("p")).toPandas()
+    for n, of in p.groupby("n"):
+        for cut in (0.01, 0.05, 0.1, 0.3, 0.5):
+            assert (of["p"] < cut).mean() == pytest.approx(cut, abs=4 * math.sqrt(cut * (1 - cut) / 2000) + 0.012)
