@@ -10,7 +10,9 @@ twice are joined back with the chunks.  Both sides of that join are plain shuffl
 all documents share is split by Spark's skew join; nothing is collected by digest.  A document's duplicate chunks meet
 in one row, which is bounded by its own text.
 
-Digests have 64 bits; a run needs several equal ones in a row, so a chance collision removes nothing.
+Digests have 86 bits: among 3e12 chunks (100 TB) a chance match is expected 0.06 times, and it removes text only where it makes a run
+long enough.  A row is known by its doc_id and 64 bits of its text's hash, so rows of one id, or of none, are told apart.
+A passage loses its whole chunks; up to a chunk at either end stays.
 
 Defined results: a null or empty text stays empty; a null doc_id orders after all others; rows that repeat a doc_id count
 as the same document (equal rows keep equal texts), rows with one id and different texts are cut each on its own;
@@ -29,6 +31,7 @@ from hourglass.llm.common import stored
 MEAN_CHUNK, MIN_GAP, MAX_CHUNK, MIN_RUN = 24, 8, 255, 100
 WINDOW = 32                       # bytes summed; the bits compared depend on the last 20
 _SHIFT, _BITS = 8, 12
+_MORE = 22                        # bits of a digest beside the first 64
 _LAST = (1 << 63) - 1             # orders null ids last
 
 
@@ -44,12 +47,12 @@ GEAR = gear_table()
 
 
 def cut(texts: list[bytes], mean: int = MEAN_CHUNK, min_gap: int = MIN_GAP, max_chunk: int = MAX_CHUNK):
-    """Chunks of several texts: arrays ``text number, start, length`` in order, and the chunks' 64-bit digests.
+    """Chunks of several texts: arrays ``text number, start, length`` in order, and the chunks' digests (two columns of 64 and 22 bits).
 
     A position is a cut where the rolling hash is small and no such position lies within the ``min_gap`` bytes before it;
     longer gaps are cut every ``max_chunk`` bytes.
     """
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_128_digest
 
     pad = b"\0" * WINDOW
     raw = pad + b"".join(x + pad for x in texts)
@@ -79,53 +82,53 @@ def cut(texts: list[bytes], mean: int = MEAN_CHUNK, min_gap: int = MIN_GAP, max_
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     begin, end = np.repeat(begin, parts) + k * max_chunk, np.repeat(end, parts)
     end = np.minimum(begin + max_chunk, end)
-    digest = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+    digest = np.frombuffer(b"".join(xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist())), "<i8").reshape(-1, 2).copy()
+    digest[:, 1] &= (1 << _MORE) - 1
     owner = np.searchsorted(first, begin, "right") - 1
-    return owner, begin - first[owner], end - begin, digest.view(np.int64)
+    return owner, begin - first[owner], end - begin, digest
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str):
     """Columns doc (null ids last), tag (tells apart texts that share an id) and text (null: empty)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), F.pmod(F.xxhash64(text), F.lit(1 << 20)), text
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)), F.xxhash64(text), text
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_CHUNK) -> DataFrame:
-    """``digest, doc, place``: a row a chunk.  ``place`` packs tag (20 bits), start (33), length (8) and a bit that
-    tells that the same text has the chunk earlier."""
+    """``digest, doc, tag, place``: a row a chunk.  ``place`` packs the rest of the digest (22 bits), start (33), length (8) and a bit
+    that tells that the same text has the chunk earlier."""
     def run(frames):
         import pyarrow as pa
 
         for batch in frames:
             for block in text_blocks(batch, size=4_000_000):
                 owner, start, length, digest = cut([x.encode() for x in block.column("text").to_pylist()], mean)
-                order = np.lexsort((start, digest, owner))
+                order = np.lexsort((start, digest[:, 1], digest[:, 0], owner))
                 again = np.zeros(len(order), np.int64)
-                same = (digest[order][1:] == digest[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+                same = (digest[order][1:] == digest[order][:-1]).all(axis=1) & (owner[order][1:] == owner[order][:-1])
                 again[order[1:][same]] = 1
-                tag = block.column("tag").to_numpy()[owner]
-                place = tag << 42 | start << 9 | length << 1 | again
-                doc = block.column("doc").to_numpy()[owner]
+                place = digest[:, 1] << 42 | start << 9 | length << 1 | again
+                doc, tag = (block.column(c).to_numpy()[owner] for c in ("doc", "tag"))
                 for i in range(0, len(digest), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in (digest, doc, place)], ["digest", "doc", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 200_000]) for x in (digest[:, 0], doc, tag, place)],
+                                                     ["digest", "doc", "tag", "place"])
 
     doc, tag, text = _keys(docs, id_col, text_col)
     rows = docs.select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
-    return rows.mapInArrow(run, "digest long, doc long, place long")
+    return rows.mapInArrow(run, "digest long, doc long, tag long, place long")
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN_CHUNK) -> DataFrame:
     """``doc, tag, start, length, first_doc``: the chunks that an earlier document, or the text itself, has before."""
-    found = chunks(docs, id_col, text_col, mean)
-    twice = (found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    found, place = chunks(docs, id_col, text_col, mean), F.col("place")
+    more = F.shiftrightunsigned(place, 42)
+    twice = (found.groupBy("digest", more.alias("more")).agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").drop("n"))
     # written first, so that both sides of the join are shuffled for it alone and a hot digest can be split
     twice = stored(twice, "chunk-digests")
-    place = F.col("place")
-    return (found.join(twice, "digest")
+    return (found.join(twice, "digest").where(more == F.col("more"))
             .where((F.col("doc") > F.col("first_doc")) | (place.bitwiseAND(F.lit(1)) == 1))
-            .select("doc", F.shiftright(place, 42).alias("tag"),
-                    F.shiftright(place, 9).bitwiseAND(F.lit((1 << 33) - 1)).alias("start"),
+            .select("doc", "tag", F.shiftright(place, 9).bitwiseAND(F.lit((1 << 33) - 1)).alias("start"),
                     F.shiftright(place, 1).bitwiseAND(F.lit(255)).alias("length"), "first_doc"))
 
 

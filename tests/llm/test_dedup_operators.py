@@ -81,6 +81,15 @@ def test_substring_dedup_equals_brute_force(docs):
     assert fx.by_id(got) == fx.by_id(_brute_substring(PLAIN))
 
 
+def test_many_rows_without_an_id_keep_their_own_text(spark):
+    """Rows of one id (here: none) are told apart by their texts: each loses the shared passage at most, at its own place."""
+    passage = fx.prose(70, 40)
+    rows = [(None, fx.prose(1000 + i, 3 + i % 17) + " " + passage + " " + fx.prose(50_000 + i, 4)) for i in range(4000)]
+    rows += [(7, fx.prose(90_000 + i, 5 + i % 9) + " " + passage) for i in range(500)] + [(3, passage)]
+    got = [(r.doc_id, r.text) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert fx.by_id(got) == fx.by_id(_brute_substring(rows))
+
+
 def test_passage_stays_in_one_document(docs):
     passage = fx.prose(2, 120)
     rows = {r.doc_id: r for r in substring_dedup.dedup(docs).collect() if r.doc_id in (4, 5, 6)}
