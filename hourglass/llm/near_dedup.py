@@ -10,9 +10,12 @@
    member to a pivot picked by hash, a different one for each key, and the lists of the rarest four common values then to their ``HUBS``
    most central members, those most like the pivots they met on average: the text that a family was made from is one, and
    its copies may be alike through it alone.  So a family's rows grow with its size, not its square.
-3. The union sketch of each pair (the smallest values of both) estimates the Jaccard similarity and drops clear misses.
+3. Lists carry 16 bits of each of their members' retained values: pairs that overlap in too few of them end where they are
+   made.  The union sketch of each other pair (the smallest values of both) estimates the Jaccard similarity and drops clear misses.
 4. The exact Jaccard similarity of the full sets confirms each link.
-5. Components by neighbour minimum and pointer jumping, over classes, written to the shared folder each round.
+5. Components by neighbour minimum and pointer jumping, over classes, written to the shared folder each round.  The lists of
+   the rarest common values come first; pivots of other lists and hubs only meet members that lie in another component by then
+   (a link within a component connects nothing).
 6. A long list whose members lie in more than one component is compared in full: blocks by size and component, each with
    each, without pairs that are connected already or differ too much in size; sketches first, then full sets.  Found
    links join the others, and the components are taken again.  That work grows with the square of what stays unconnected
@@ -21,7 +24,8 @@
 A link of similarity 0.8 is found unless the two share none of the values they are indexed under.  The worst case is a text
 whose private values are just those that are not common: with a fifth of them private, 15 or more of the 20 retained
 ones are with a chance of 1.8e-7 (binomial), else a common value is indexed too.  Sets of at most ``RETAINED`` values share
-one of their first ``INDEXED`` for certain.  Members of a long list meet
+one of their first ``INDEXED`` for certain.  The retained values of a linked pair overlap in 3 or fewer of 20 with a chance of 8e-10
+(binomial; sets of up to ``RETAINED`` values are judged exactly), the sketch test loses 2e-8.  Members of a long list meet
 through pivots and hubs, or in step 6.
 
 Defined results: a text without words (null, empty) has an empty set, is linked with nothing and is its own component;
@@ -47,6 +51,7 @@ FEW = 8              # with fewer values that are not common, a class is listed
 HUBS = 3             # central members of a long list that all others are compared with first
 BLOCK = 512          # members of a long list compared with as many others in one task,
 BLOCK_VALUES = 1 << 18   # fewer if their sets hold more values than this
+OVERLAP = 4          # retained values (of 20) that a pair must share, at a similarity of 0.8
 SURE = 0.5           # estimates below this are dropped: six standard errors under 0.8
 _MUL, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -112,52 +117,99 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _keys(marked: DataFrame) -> DataFrame:
-    """``key, kind, cls, n``: what each class is listed under (kind 0: a value, 1: a common value that gets hubs, 2: a pair,
-    3: a further common value)."""
+    """``key, kind, cls, n, mini``: what each class is listed under (kind 0: a value, 1: a common value that gets hubs, 2: a pair,
+    3: a further common value); ``mini`` holds 16 bits of each retained value."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for cls, n, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "held"))):
+                mini = np.zeros(RETAINED, "<u2")
+                mini[:len(held)] = [x["value"] & 0xFFFF for x in held]
+                mini = mini.tobytes()
                 # one order for all classes: values that are not common, then common ones, the rarest first
                 held = sorted((x["c"], x["value"] & 0xFFFFFFFFFFFFFFFF) for x in held)[:INDEXED]
                 own, often = [v for c, v in held if not c], [v for c, v in held if c]
-                out += [(v, 0, cls, n) for v in own]
-                out += [(v, 1 if i < 4 else 3, cls, n) for i, v in enumerate(often)]
+                out += [(v, 0, cls, n, mini) for v in own]
+                out += [(v, 1 if i < 4 else 3, cls, n, mini) for i, v in enumerate(often)]
                 if len(own) < FEW:
                     mixed = sorted([*sorted(often)[:6], *own])[:6]
-                    out += [((a * 0x9E3779B97F4A7C15 ^ b) & 0xFFFFFFFFFFFFFFFF, 2, cls, n) for a, b in combinations(mixed, 2)]
+                    out += [((a * 0x9E3779B97F4A7C15 ^ b) & 0xFFFFFFFFFFFFFFFF, 2, cls, n, mini) for a, b in combinations(mixed, 2)]
             keys = np.array([x[0] for x in out], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()),
-                 pa.array([x[3] for x in out], pa.int32())], ["key", "kind", "cls", "n"])
+                 pa.array([x[3] for x in out], pa.int32()), pa.array([x[4] for x in out], pa.binary())], ["key", "kind", "cls", "n", "mini"])
 
     held = marked.groupBy("cls", "n").agg(F.collect_list(F.struct("value", "c")).alias("held"))   # RETAINED at most
-    return held.mapInArrow(run, "key long, kind int, cls binary, n int")
+    return held.mapInArrow(run, "key long, kind int, cls binary, n int, mini binary")
+
+
+def _overlapping(n: list[np.ndarray], mini: list[np.ndarray], per_cent: int) -> np.ndarray:
+    """Which pairs (two arrays of sizes, two of minis, a row a pair) may reach the similarity."""
+    small, large = np.minimum(*n), np.maximum(*n)
+    out = 100 * small.astype(np.int64) >= per_cent * large.astype(np.int64)
+    at = np.flatnonzero(out)
+    need = np.minimum(max(1, OVERLAP + (per_cent - 80) // 5), -(-per_cent * large[at].astype(np.int64) // 100))
+    for i in range(0, len(at), 20_000):
+        part = at[i:i + 20_000]
+        held = [np.arange(RETAINED) < x[part, None] for x in n]
+        same = (mini[0][part][:, :, None] == mini[1][part][:, None, :]) & held[0][:, :, None] & held[1][:, None, :]
+        out[part] = same.any(axis=2).sum(axis=1) >= need[i:i + 20_000]
+    return out
+
+
+def _minis(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, RETAINED)
 
 
 def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs within lists of at most ``LIST`` members, whose sizes allow the similarity."""
+    """Pairs within lists of at most ``LIST`` members, whose sizes and retained values allow the similarity."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = [], []
-            for held in batch.column("held").to_pylist():
-                for x, y in combinations(held, 2):
-                    if 100 * min(x["n"], y["n"]) >= per_cent * max(x["n"], y["n"]):
-                        x, y = sorted((x["cls"], y["cls"]))
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    held = lists.groupBy("key").agg(F.collect_list(F.struct("cls", "n")).alias("held")).where(F.size("held") > 1)
+            held = batch.column("held")
+            ends, members = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
+            cls, n, mini = (members.field(c) for c in ("cls", "n", "mini"))
+            n, mini, size = n.to_numpy(), _minis(mini), np.diff(ends)
+            for m in np.unique(size).tolist():
+                starts, (i, j) = ends[:-1][size == m], np.triu_indices(m, 1)
+                step = max(1, 200_000 // len(i))
+                for k in range(0, len(starts), step):
+                    base = starts[k:k + step, None]
+                    x, y = (base + i).ravel(), (base + j).ravel()
+                    may = _overlapping([n[x], n[y]], [mini[x], mini[y]], per_cent)
+                    x, y = (cls.take(pa.array(v[may])).to_pylist() for v in (x, y))
+                    x, y = map(min, x, y), map(max, x, y)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()), pa.array(list(y), pa.binary())], ["a", "b"])
+
+    held = lists.groupBy("key").agg(F.collect_list(F.struct("cls", "n", "mini")).alias("held")).where(F.size("held") > 1)
     return held.select("held").mapInArrow(run, "a binary, b binary")
 
 
+def _star(members: DataFrame, pivots: DataFrame, per_cent: int) -> DataFrame:
+    return _starred(members.join(pivots, "key"), per_cent)
+
+
+def _starred(met: DataFrame, per_cent: int) -> DataFrame:
+    """``a, b``: the members of each key with its pivot, where sizes and retained values allow the similarity."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [batch.column(c).to_numpy() for c in ("n", "pivot_n")]
+            may = _overlapping(n, [_minis(batch.column(c)) for c in ("mini", "pivot_mini")], per_cent) if batch.num_rows else []
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+    fits = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * per_cent
+    return (met.where(fits & (F.col("cls") != F.col("pivot.cls")))
+            .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b"), "n", F.col("pivot.n").alias("pivot_n"),
+                    "mini", F.col("pivot.mini").alias("pivot_mini")).mapInArrow(run, "a binary, b binary"))
+
+
 def listing(classes: DataFrame) -> DataFrame:
-    """``key, kind, cls, n``: the inverted lists."""
+    """``key, kind, cls, n, mini``: the inverted lists."""
     posted = stored(_postings(classes), "near-postings")
     often = stored(posted.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LIST),
                    "near-common")
@@ -165,30 +217,44 @@ def listing(classes: DataFrame) -> DataFrame:
     return stored(_keys(marked), "near-keys")
 
 
-def candidates(classes: DataFrame, keys: DataFrame, per_cent: int) -> DataFrame:
-    """``a, b``: the pairs of classes that short lists, pivots and hubs bring together and the estimate does not drop."""
-    single = _all_pairs(keys.where("kind = 0"), per_cent)
-    extra = keys.where("kind > 0").select("key", "cls", "n")
-    pivot = F.min(F.struct(F.xxhash64("key", "cls").alias("h"), F.col("cls").alias("cls"), F.col("n").alias("n")))
-    stat = stored(extra.groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot.alias("pivot")).where("c > 1"), "near-lists")
+def lists_of(keys: DataFrame) -> DataFrame:
+    """``key, c, pivot``: size and pivot of each list of common values and pairs."""
+    pivot = F.min(F.struct(F.xxhash64("key", "cls").alias("h"), "cls", "n", "mini"))
+    return stored(keys.where("kind > 0").groupBy("key").agg(F.count(F.lit(1)).alias("c"), pivot.alias("pivot")).where("c > 1"), "near-lists")
+
+
+def first_candidates(classes: DataFrame, keys: DataFrame, stat: DataFrame, per_cent: int) -> DataFrame:
+    """``a, b, est``: pairs of classes that short lists, and the pivots of the rarest common values, bring together."""
+    extra = keys.where("kind > 0").select("key", "cls", "n", "mini")
     short = extra.join(stat.where(F.col("c") <= LIST).select("key"), "key").repartition("key")
-    fits = F.least("n", "pivot.n") * 100 >= F.greatest("n", "pivot.n") * per_cent
+    pivots = stat.where(F.col("c") > LIST).select("key", "pivot")
+    pairs = (_all_pairs(keys.where("kind = 0"), per_cent).unionByName(_all_pairs(short, per_cent))
+             .unionByName(_star(keys.where("kind = 1").select("key", "cls", "n", "mini"), pivots, per_cent)).distinct())
+    return stored(_estimated(_both(pairs, classes, "sketch")), "near-first")
 
-    def star(members: DataFrame, pivots: DataFrame) -> DataFrame:
-        return (members.join(pivots, "key").where(fits & (F.col("cls") != F.col("pivot.cls")))
-                .select(F.least("cls", "pivot.cls").alias("a"), F.greatest("cls", "pivot.cls").alias("b")))
 
-    first = (single.unionByName(_all_pairs(short, per_cent)).unionByName(star(extra, stat.where(F.col("c") > LIST))).distinct())
-    first = stored(_estimated(_both(first, classes, "sketch")), "near-first")
+def further_candidates(classes: DataFrame, keys: DataFrame, stat: DataFrame, first: DataFrame, roots: DataFrame, per_cent: int) -> DataFrame:
+    """``a, b, est``: members of long lists with further pivots and with hubs, where they lie in different components."""
+    pivots = stat.where(F.col("c") > LIST).select("key", "pivot")
+    more = keys.where("kind > 1").select("key", "cls", "n", "mini")
     # the most central member of each of HUBS random shares of a common value's list
     met = first.select(F.explode(F.array("a", "b")).alias("cls"), "est").groupBy("cls").agg(F.avg("est").alias("like"))
-    common = keys.where("kind = 1").select("key", "cls", "n")
-    central = F.max(F.struct("like", F.xxhash64("cls").alias("h"), F.col("cls").alias("cls"), F.col("n").alias("n")))
+    common = keys.where("kind = 1").select("key", "cls", "n", "mini")
+    central = F.max(F.struct("like", F.xxhash64("cls").alias("h"), "cls", "n", "mini"))
     hubs = stored(common.join(met, "cls").groupBy("key", F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(HUBS)).alias("share"))
                   .agg(central.alias("pivot")).select("key", "pivot"), "near-hubs")
-    known = first.select("a", "b")
-    second = _estimated(_both(star(common, hubs).distinct().join(known, ["a", "b"], "left_anti"), classes, "sketch"))
-    return first.unionByName(second).where(F.col("est") >= SURE).select("a", "b")
+    of = lambda name: roots.select(F.col("cls").alias(name), F.col("root").alias(f"{name}_root"))
+
+    def apart(members: DataFrame, pivots: DataFrame) -> DataFrame:
+        members = members.join(of("cls"), "cls", "left").withColumn("cls_root", F.coalesce("cls_root", "cls"))
+        pivots = pivots.withColumn("pivot_cls", F.col("pivot.cls")).join(of("pivot_cls"), "pivot_cls", "left")
+        pivots = pivots.select("key", "pivot", F.coalesce("pivot_cls_root", "pivot_cls").alias("pivot_root"))
+        return members.join(pivots, "key").where(F.col("cls_root") != F.col("pivot_root")).select(
+            "key", "cls", "n", "mini", F.struct("pivot.cls", "pivot.n", "pivot.mini").alias("pivot"))
+
+    met_already = first.select("a", "b")
+    pairs = _starred(apart(more, pivots).unionByName(apart(common, hubs)), per_cent).distinct().join(met_already, ["a", "b"], "left_anti")
+    return _estimated(_both(pairs, classes, "sketch"))
 
 
 def _both(pairs: DataFrame, by: DataFrame, *names: str) -> DataFrame:
@@ -253,10 +319,10 @@ def _full_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, words: int
             .mapInArrow(full, "cls binary, full binary"))
 
 
-def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: DataFrame, words: int, per_cent: int,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: the candidate pairs of classes whose exact similarity is at least ``per_cent`` per cent."""
-    likely = stored(candidates(classes, keys, per_cent), "near-likely")
+def links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, words: int, per_cent: int, id_col: str = "doc_id",
+          text_col: str = "text") -> DataFrame:
+    """``a, b``: the candidate ``pairs`` of classes whose exact similarity is at least ``per_cent`` per cent."""
+    likely = stored(pairs.where(F.col("est") >= SURE).select("a", "b"), "near-likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sets = _full_sets(docs, signed, wanted, words, id_col, text_col)
 
@@ -265,7 +331,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, keys: DataFram
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * shared >= per_cent * (len(x) + len(y) - shared)
 
-    return _confirm(_both(likely, stored(sets, "near-sets"), "full"), "full", exact)
+    return stored(_confirm(_both(likely, stored(sets, "near-sets"), "full"), "full", exact), "near-links")
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -418,6 +484,13 @@ def connect(edges: DataFrame) -> DataFrame:
         now = nxt.select("cls", "root")
 
 
+def joined_up(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` after the links ``more``: members hang on their roots, which is all that earlier links said."""
+    if more.isEmpty():
+        return roots
+    return connect(roots.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _signed_components(docs: DataFrame, words: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     """``doc, tag, n, cls, component_id, first``: ``first`` is the one row key (doc, tag) that stands for the component."""
     signed = stored(signatures(docs, words, id_col, text_col), "near-signed")
@@ -425,11 +498,14 @@ def _signed_components(docs: DataFrame, words: int, per_cent: int, id_col: str,
     key = F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("tag")))
     classes = stored(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), key.alias("first")), "near-classes")
     keys = listing(classes)
-    found = stored(links(docs, signed, classes, keys, words, per_cent, id_col, text_col), "near-links")
-    roots = connect(found)
+    stat = lists_of(keys)
+    first = first_candidates(classes, keys, stat, per_cent)
+    roots = connect(links(docs, signed, first, words, per_cent, id_col, text_col))
+    further = further_candidates(classes, keys, stat, first, roots, per_cent)
+    roots = joined_up(roots, links(docs, signed, further, words, per_cent, id_col, text_col))
     more = remaining(docs, signed, classes, keys, roots, words, per_cent, id_col, text_col)
-    if more is not None and not more.isEmpty():
-        roots = connect(found.unionByName(more))
+    if more is not None:
+        roots = joined_up(roots, more)
     named = classes.select("cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = stored(named, "near-named")
     best = stored(named.groupBy("root").agg(F.min("first").alias("best")), "near-best")
