@@ -28,6 +28,7 @@ VIF_ELSE = "Low (<5)"
 SKEW_BANDS = ((0.5, "Right-skewed"),)
 EFFECT_BANDS = ((0.8, "Large (>0.8)"), (0.5, "Medium (0.5-0.8)"))
 EFFECT_ELSE = "Small (<0.5)"
+STRONG_R, STRONG_SKEW = 0.6, 1.0
 CO_REFERENCE = 1.8
 SEVERITY_STEPS = ((1.8, "Low"), (5.0, "Moderate"), (12.0, "High"))
 SEVERITY_ELSE = "Very high"
@@ -129,6 +130,11 @@ def bucket_label(c, bands: Iterable[tuple[float, str]], otherwise: str, absolute
     return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
 
 
+def exceeds(c, threshold: float) -> Column:
+    """P10 flag: 1 if the size of a figure is strictly above ``threshold``, NULL without a figure."""
+    return (F.abs(col_of(c)) > F.lit(threshold)).cast("int")
+
+
 def skew_shape(c) -> Column:
     x = col_of(c)
     return (F.when(x > 0.5, F.lit("Right-skewed"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col_of, ratio
+from ..functions.scalar import STRONG_SKEW, col_of, exceeds, ratio
 from .clean import numeric_columns
 from .joins import key_join, measured
 from .quantiles import grouped_quantiles, quantiles
@@ -44,22 +44,22 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None,
     long = _unpivot(one.select("*", *[F.col("n").alias(f"c{i}__n") for i in range(len(cols))]),
                     cols, ["missing", "n"])
     share = ratio(F.col("missing") * 100.0, F.col("n"))
-    pct = F.round(share, 1)
+    pct = F.bround(share, 1)
     return long.select(
         "column",
         F.col("missing").cast("bigint").alias("missing"),
         F.col("n").cast("bigint").alias("rows"),
         pct.alias("missing_pct"),
-        F.when(share > drop_above, F.lit("DROPPED"))
-         .when(F.col("missing") > 0, F.lit("Median imputation"))
-         .otherwise(F.lit("-")).alias("action"),
+        F.when(share > drop_above, F.lit("drop"))
+         .when(F.col("missing") > 0, F.lit("impute_median"))
+         .otherwise(F.lit("none")).alias("action"),
         F.coalesce((share > drop_above).cast("int"), F.lit(0)).alias("over_threshold"),
     )
 
 
 def overall_missing_pct(profile: DataFrame) -> DataFrame:
     """M3: mean over columns of the (unrounded) missing share, in % to 1 dp."""
-    return profile.agg(F.round(F.avg(ratio(F.col("missing") * 100.0, F.col("rows"))), 1)
+    return profile.agg(F.bround(F.avg(ratio(F.col("missing") * 100.0, F.col("rows"))), 1)
                        .alias("overall_missing_pct"))
 
 
@@ -129,7 +129,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "se
 
 
 def skewness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """A4: bias-adjusted sample skewness G1 (pandas ``skew``) per column."""
+    """A4: bias-adjusted sample skewness G1 (pandas ``skew``) per column, and P10's flag of a strong one."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
@@ -138,7 +138,8 @@ def skewness(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     long = _unpivot(df.agg(*aggs), cols, ["n", "g1"])
     n = F.col("n").cast("double")
     adj = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
-    return long.select("column", F.col("n").cast("bigint").alias("n"), adj.alias("skew"))
+    strong = exceeds("skew", STRONG_SKEW)
+    return long.select("column", F.col("n").cast("bigint").alias("n"), adj.alias("skew")).withColumn("strong", strong)
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import VIF_BANDS, VIF_ELSE, bucket_label, col_of
+from ..functions.scalar import STRONG_R, VIF_BANDS, VIF_ELSE, bucket_label, col_of, exceeds
 
 
 def corr_long(df: DataFrame, cols: Sequence[str], full: bool = False) -> DataFrame:
@@ -64,7 +64,7 @@ def corr_rect(df: DataFrame, rows: Sequence[str], cols: Sequence[str]) -> DataFr
 
 def pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]], min_n: int = 10,
                keys: Sequence[str] = ()) -> DataFrame:
-    """Per (x, y) pair and key: n, r (only when n > min_n),
+    """Per (x, y) pair and key: n, r (only when n > min_n), P10's flag of a strong r,
     OLS slope, intercept and R^2 of y on x."""
     aggs = []
     for k, (x, y) in enumerate(pairs):
@@ -75,6 +75,7 @@ def pair_stats(df: DataFrame, pairs: Sequence[tuple[str, str]], min_n: int = 10,
     one = df.groupBy(*keys).agg(*aggs)
     rows = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{k}").alias("n"),
                      F.when(F.col(f"n{k}") > min_n, F.col(f"r{k}")).alias("r"),
+                     F.when(F.col(f"n{k}") > min_n, exceeds(F.col(f"r{k}"), STRONG_R)).alias("strong"),
                      F.col(f"s{k}").alias("slope"), F.col(f"i{k}").alias("intercept"),
                      F.col(f"q{k}").alias("r2"))
             for k, (x, y) in enumerate(pairs)]

@@ -124,9 +124,9 @@ _MISSING_COLS = ("event_id", "ts", "user_id", "event_type", "value")
 _MISSING_SQL = "WITH " + RAW_EVENTS_SQL + ",\ncounts AS (\n" + "\nUNION ALL\n".join(
     f"  SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS n FROM nulled"
     for c in _MISSING_COLS) + """)
-SELECT "column", missing, n AS rows, round(missing * 100.0 / n, 1) AS missing_pct,
-       CASE WHEN missing * 100.0 / n > 50 THEN 'DROPPED'
-            WHEN missing > 0 THEN 'Median imputation' ELSE '-' END AS action,
+SELECT "column", missing, n AS rows, round_even(missing * 100.0 / n, 1) AS missing_pct,
+       CASE WHEN missing * 100.0 / n > 50 THEN 'drop'
+            WHEN missing > 0 THEN 'impute_median' ELSE 'none' END AS action,
        CASE WHEN missing * 100.0 / n > 50 THEN 1 ELSE 0 END AS over_threshold
 FROM counts"""
 
@@ -139,7 +139,7 @@ def missing_profile(spark, sf_dir):
 
 
 @register("overall_missing", "WITH " + RAW_EVENTS_SQL + """
-SELECT round(avg(pct), 1) AS overall_missing_pct FROM (
+SELECT round_even(avg(pct), 1) AS overall_missing_pct FROM (
 """ + "\nUNION ALL\n".join(
     f"  SELECT count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) AS pct FROM nulled"
     for c in _MISSING_COLS) + "\n)", floats=["overall_missing_pct"])
@@ -173,8 +173,8 @@ def describe_lineitem(spark, sf_dir):
 
 
 @register("skewness_lineitem", "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column, count({c}) AS n, skewness({c}) AS skew FROM lineitem"
-    for c in LINEITEM_NUMERIC), floats=["skew"], ints=["n"])
+    f"SELECT '{c}' AS column, count({c}) AS n, skewness({c}) AS skew, CASE WHEN abs(skewness({c})) > 1 THEN 1 ELSE 0 END AS strong FROM lineitem"
+    for c in LINEITEM_NUMERIC), floats=["skew"], ints=["n", "strong"])
 def skewness_lineitem(spark, sf_dir):
     """A4: bias-adjusted skewness per column."""
     return prof.skewness(read_table(spark, sf_dir, "lineitem"), list(LINEITEM_NUMERIC))
@@ -325,7 +325,7 @@ _TYPES = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint")
 
 @register("type_profile", "WITH " + RAW_EVENTS_SQL + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
-    f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 1) AS null_pct FROM nulled"
+    f"round_even(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 1) AS null_pct FROM nulled"
     for c, t in _TYPES), floats=["null_pct"], ints=["nulls"])
 def type_profile(spark, sf_dir):
     """A2: column types with null counts and shares."""

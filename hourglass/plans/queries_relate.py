@@ -69,18 +69,19 @@ def _pair_sql(keys=()):
     return "\nUNION ALL\n".join(
         f"SELECT {kc}'{x}' AS x, '{y}' AS y, regr_count({y}, {x}) AS n, "
         f"CASE WHEN regr_count({y}, {x}) > 10 THEN corr({x}, {y}) END AS r, "
+        f"CASE WHEN abs(corr({x}, {y})) > 0.6 THEN 1 ELSE 0 END AS strong, "
         f"regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2 "
         f"FROM {_JOIN_SQL}{grp}" for x, y in _PAIRS)
 
 
-@register("pair_trends", _pair_sql(), floats=["r", "slope", "intercept", "r2"], ints=["n"])
+@register("pair_trends", _pair_sql(), floats=["r", "slope", "intercept", "r2"], ints=["n", "strong"])
 def pair_trends(spark, sf_dir):
     """R (n > 10 guard), OLS slope/intercept/R^2 for each pair."""
     return relate.pair_stats(_lineitem_part(spark, sf_dir), _PAIRS)
 
 
 @register("pair_trends_by_flag", _pair_sql(["l_returnflag"]),
-          floats=["r", "slope", "intercept", "r2"], ints=["n"])
+          floats=["r", "slope", "intercept", "r2"], ints=["n", "strong"])
 def pair_trends_by_flag(spark, sf_dir):
     """One fit per group (the coloured-scatter trend lines)."""
     return relate.pair_stats(_lineitem_part(spark, sf_dir), _PAIRS, keys=["l_returnflag"])

@@ -59,7 +59,7 @@ def test_every_tab_runs_and_tells_the_expected_story(aq):
     for name, out in res.items():
         assert out.count() >= 1, name
     miss = {r.column: r for r in res["missing.profile"].collect()}
-    assert miss["NMHC(GT)"].action == "DROPPED" and miss["CO(GT)"].action == "Median imputation"
+    assert miss["NMHC(GT)"].action == "drop" and miss["CO(GT)"].action == "impute_median"
     ab = res["ab.test"].first()
     assert ab.p_value < 0.001 and ab.cohens_d > 0.5 and ab.uplift_pct > 20
     red = {r.x: r for r in res["collinearity.redundancy"].collect()}

@@ -78,8 +78,8 @@ def test_missing_profile_rules(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, 1.0), (3, None, 2.0), (None, 1.0, 3.0)],
                                "a int, b double, c double")
     out = {r.column: r for r in prof.missing_profile(df).collect()}
-    assert (out["a"].missing, out["a"].missing_pct, out["a"].action) == (1, 25.0, "Median imputation")
-    assert (out["b"].missing_pct, out["b"].action, out["b"].over_threshold) == (75.0, "DROPPED", 1)
+    assert (out["a"].missing, out["a"].missing_pct, out["a"].action) == (1, 25.0, "impute_median")
+    assert (out["b"].missing_pct, out["b"].action, out["b"].over_threshold) == (75.0, "drop", 1)
     assert prof.sparse_columns(df) == ["b"]
 
 
