@@ -327,32 +327,41 @@ def adf_test(df: DataFrame, col: str, ts: str, keys: Sequence[str] = (),
     iu = np.triu_indices(m)
 
     def partial(batches):
-        """Per batch and key: Gram of the common-sample rows (numpy), plus the
+        """Per key of a task: Gram of the common-sample rows (numpy), plus the
         few rows before the common sample (at most maxlag per key)."""
+        sums: dict = {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            for key, g in pdf.groupby(gkeys, sort=False):
+            if len(sums) > 1000:                             # many keys: hand on what there is
+                yield pd.DataFrame(list(sums.values()))
+                sums = {}
+            for key, g in pdf.groupby(gkeys, sort=False, dropna=False):
                 key = key if isinstance(key, tuple) else (key,)
                 zz = np.vstack(g["_z"].to_numpy())
                 common = (g["rn"] >= g["kmax"] + 1).to_numpy()
                 edge = ((g["rn"] >= 1) & (g["rn"] <= g["kmax"])).to_numpy()
                 zc = zz[common]
-                out = {k: [v] for k, v in zip(gkeys, key)}
-                out.update({"kmax": [int(g["kmax"].iloc[0])], "n": [int(g["n"].iloc[0])],
-                            "nobs": [int(common.sum())], "cells": [(zc.T @ zc)[iu].tolist()],
-                            "edge_rn": [g["rn"].to_numpy()[edge].tolist()], "edge_z": [zz[edge].tolist()]})
-                yield pd.DataFrame(out)
+                names_ = tuple(None if pd.isna(v) else v for v in key)
+                had = sums.setdefault(names_, {**dict(zip(gkeys, key)), "kmax": int(g["kmax"].iloc[0]), "n": int(g["n"].iloc[0]), "nobs": 0,
+                                               "cells": np.zeros(len(tri)), "edge_rn": [], "edge_z": []})
+                had["nobs"] += int(common.sum())
+                had["cells"] = had["cells"] + (zc.T @ zc)[iu]
+                had["edge_rn"] += g["rn"].to_numpy()[edge].tolist()
+                had["edge_z"] += zz[edge].tolist()
+        if sums:
+            yield pd.DataFrame(list(sums.values()))
 
     key_schema = ", ".join(f"{k} {base.schema[k].dataType.simpleString()}" for k in gkeys)
-    part = rows.mapInPandas(partial, f"{key_schema}, kmax int, n long, nobs long, cells array<double>, "
-                                     "edge_rn array<long>, edge_z array<array<double>>")
-    # element-wise sum of the per-batch Grams: one small array per (batch, key)
-    zero = F.array_repeat(F.lit(0.0), len(tri))
+    part = materialise(rows.mapInPandas(partial, f"{key_schema}, kmax int, n long, nobs long, cells array<double>, "
+                                     "edge_rn array<long>, edge_z array<array<double>>"))
+    # the tasks' Grams are added up cell by cell (map-side first); a key then holds one Gram and at most maxlag early rows
+    cells = (part.select(*gkeys, F.posexplode("cells").alias("pos", "v")).groupBy(*gkeys, "pos").agg(F.sum("v").alias("v"))
+             .groupBy(*gkeys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda c: c["v"]).alias("cells")))
     grams = part.groupBy(*gkeys).agg(
         F.first("kmax").alias("kmax"), F.first("n").alias("n"), F.sum("nobs").alias("nobs"),
-        F.aggregate(F.collect_list("cells"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("cells"),
         F.flatten(F.collect_list("edge_rn")).alias("edge_rn"), F.flatten(F.collect_list("edge_z")).alias("edge_z"))
+    grams = key_join(grams, cells, gkeys)
     use_aic = bool(autolag)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

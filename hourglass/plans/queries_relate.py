@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import relate
 from ..sources.readers import read_table
 from .catalog import register
+from .sweep import gram_sql, swept
 
 CORR_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 
@@ -112,13 +113,25 @@ def redundancy_check(spark, sf_dir):
 _VIF_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_retailprice", "p_size")
 
 
-@register("vif_uncentered")
+def _vif_sql(centred):
+    k = len(_VIF_COLS)
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(_VIF_COLS))
+    return f"""
+WITH d AS (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in _VIF_COLS)} FROM {_JOIN_SQL}),
+g AS ({gram_sql(_VIF_COLS, 'd', centred)}),
+{swept('g', k)},
+v AS (SELECT g.i, -g.v * w{k}.v AS vif FROM g JOIN w{k} USING (i, j) WHERE g.i = g.j)
+SELECT feature, vif, CASE WHEN vif > 10 THEN 'High (>10)' WHEN vif > 5 THEN 'Medium (5-10)' ELSE 'Low (<5)' END AS risk
+FROM v JOIN (VALUES {names}) AS n(i, feature) USING (i)"""
+
+
+@register("vif_uncentered", _vif_sql(False), floats=["vif"])
 def vif_uncentered(spark, sf_dir):
     """C11: VIF without intercept (dashboard definition), risk bands."""
     return relate.vif(_lineitem_part(spark, sf_dir), _VIF_COLS).orderBy(F.desc("vif"))
 
 
-@register("vif_centered")
+@register("vif_centered", _vif_sql(True), floats=["vif"])
 def vif_centered(spark, sf_dir):
     """C11 option: classical (centred) VIF from the inverse correlation matrix."""
     return relate.vif(_lineitem_part(spark, sf_dir), _VIF_COLS, centered=True).orderBy(F.desc("vif"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import timeseries as tsop
 from ..sources.readers import read_table
 from .catalog import register
+from .sweep import gram_sql, swept
 from .fixtures import series_events
 
 _HOURLY_SQL = """
@@ -151,6 +152,27 @@ def adf_hourly(spark, sf_dir):
     return tsop.adf_test(_hourly(spark, sf_dir), "value", "ts", keys=["event_type"])
 
 
+_ADF_LAG = 3
+_ADF_COLS = ["one", "level", *[f"d{i}" for i in range(1, _ADF_LAG + 1)], "dy"]
+_ADF_SQL = _DAILY_SQL + f""",
+s AS (SELECT row_number() OVER (ORDER BY day) AS rn, o_totalprice AS y FROM d WHERE o_totalprice IS NOT NULL),
+y AS (SELECT rn, y - lag(y) OVER o AS dy, lag(y) OVER o - avg(y) OVER () AS level FROM s WINDOW o AS (ORDER BY rn)),
+x AS (SELECT 1.0::DOUBLE AS one, level, dy, {', '.join(f'lag(dy, {i}) OVER (ORDER BY rn) AS d{i}' for i in range(1, _ADF_LAG + 1))} FROM y),
+k AS (SELECT * FROM x WHERE d{_ADF_LAG} IS NOT NULL),
+g AS ({gram_sql(_ADF_COLS, 'k')}),
+{swept('g', len(_ADF_COLS) - 1)},
+r AS (SELECT max(v) FILTER (i = 1 AND j = {len(_ADF_COLS) - 1}) AS beta, max(v) FILTER (i = j AND i = {len(_ADF_COLS) - 1}) AS ssr,
+             -max(v) FILTER (i = 1 AND j = 1) AS inv, (SELECT count(*) FROM k) AS n FROM w{len(_ADF_COLS) - 1})
+SELECT beta / sqrt(ssr / (n - {len(_ADF_COLS) - 1}) * inv) AS adf_stat, {_ADF_LAG} AS used_lag, n AS nobs FROM r"""
+
+
+@register("adf_fixed_lag", _ADF_SQL, floats=["adf_stat"], ints=["used_lag", "nobs"])
+def adf_fixed_lag(spark, sf_dir):
+    """T7 at a fixed lag, against normal equations."""
+    test = tsop.adf_test(_daily_orders(spark, sf_dir), "o_totalprice", "day", maxlag=_ADF_LAG, autolag=None)
+    return test.select("adf_stat", "used_lag", "nobs")
+
+
 @register("adf_daily_orders")
 def adf_daily_orders(spark, sf_dir):
     """T7 on one long series: the daily order-value means."""
