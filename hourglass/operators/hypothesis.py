@@ -215,11 +215,22 @@ def qq_fit(points: DataFrame) -> DataFrame:
                       F.corr("osr", "osm").alias("r"))
 
 
-def qq_grid(df: DataFrame, col: str, points: int = 1000, accuracy: int = 10_000) -> DataFrame:
+def qq_grid(df: DataFrame, col: str, points: int = 1000, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """H7 for very large n: ``points`` probability-plot points instead of n.
 
     Theoretical quantiles at p_j = (j - 0.5) / points; sample quantiles from
-    one fixed-size sketch pass (rank error at most n / accuracy)."""
+    one fixed-size sketch pass (rank error at most n / accuracy), or, ``exact``, the values of
+    the ranks ceil(p_j n) from sorted ranges."""
+    if exact:
+        ranked = row_ranks(df.select(F.nanvl(col_of(col).cast("double"), F.lit(None)).alias("osr")).where(F.col("osr").isNotNull()), ["osr"])
+        n = ranked.count()
+        # a row's points: those j with ceil((2 j - 1) n / (2 points)) = rank + 1, in whole numbers
+        first = F.floor((2 * points * F.col("rank") + n) / (2 * n)).cast("long")
+        last = F.floor((2 * points * (F.col("rank") + 1) + n) / (2 * n)).cast("long")
+        some = ranked.where(last > first).select("osr", F.explode(F.sequence(first + 1, last)).alias("i")) if n else \
+            ranked.select("osr", F.col("rank").alias("i"))
+        p = (F.col("i") - 0.5) / points
+        return some.select("i", p.alias("p"), "osr", norm_ppf_col(p).alias("osm"))
     probs = [(j - 0.5) / points for j in range(1, points + 1)]
     q = df.agg(F.percentile_approx(col_of(col).cast("double"), probs, accuracy).alias("q"))
     pts = q.select(F.posexplode("q").alias("j", "osr"))

@@ -39,4 +39,5 @@ def load_all() -> None:
     from . import queries_svm  # noqa: F401
     from . import queries_linear  # noqa: F401
     from . import queries_sketches  # noqa: F401
+    from . import queries_models  # noqa: F401
     from . import queries_sources  # noqa: F401
