@@ -87,3 +87,42 @@ def live_series(stream: DataFrame, key: str, ts: str = "ts", value: str = "value
     nulls = lambda c: F.nanvl(F.col(c), F.lit(None)).alias(c)
     out = rows.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("key", "hour", nulls("mean_value"), "n", nulls("filled"), nulls("rolling"))
+
+
+_RUN_STATE = "run int, times array<long>, pending array<double>"
+_RUN_OUT = "key string, ts timestamp, value double, run int, alert int"
+
+
+def settled_run_alerts(stream: DataFrame, key: str, threshold: float, run: int = 3, ts: str = "ts", value: str = "value",
+                       watermark: str = "2 hours") -> DataFrame:
+    """Run lengths above ``threshold`` that do not hang on the order of arrival.
+
+    Readings wait in the state until the watermark has passed them, then come out in order of time (and value) with the length
+    of their run: the same rows as from an ordered batch of the readings that were not too late."""
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value"))
+
+    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        length, times, pending = state.get if state.exists else (0, [], [])
+        times, pending = np.array(times, np.int64), np.array([np.nan if v is None else v for v in pending], float)
+        if not state.hasTimedOut:
+            for b in batches:
+                b = b[b["ts"].notna()]
+                times = np.concatenate([times, b["ts"].to_numpy("datetime64[us]").astype(np.int64)])
+                pending = np.concatenate([pending, b["value"].to_numpy(float)])
+        order = np.lexsort((pending, times))
+        times, pending = times[order], pending[order]
+        mark = state.getCurrentWatermarkMs()
+        done = int(np.searchsorted(times, mark * 1000))
+        lengths = []
+        for v in pending[:done].tolist():
+            length = length + 1 if v > threshold else 0          # NaN is not above
+            lengths.append(length)
+        state.update((length, times[done:].tolist(), pending[done:].tolist()))
+        if done < len(times):
+            state.setTimeoutTimestamp(max(int(times[done]) // 1000 + 1, mark + 1))
+        if done:
+            yield pd.DataFrame({"key": k[0], "ts": pd.to_datetime(times[:done], unit="us"), "value": pending[:done], "run": np.array(lengths, np.int32),
+                                "alert": (np.array(lengths) >= run).astype(np.int32)})
+
+    out = rows.withWatermark("ts", watermark).groupBy("key").applyInPandasWithState(step, _RUN_OUT, _RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("value", F.nanvl("value", F.lit(None)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourglass.operators import clean, timeseries as ts
 from hourglass.streaming import alerts as A
-from hourglass.streaming.live import Series, live_series
+from hourglass.streaming.live import Series, live_series, settled_run_alerts
 
 SCHEMA = "k string, ts timestamp, value double"
 
@@ -73,3 +73,20 @@ def test_values_before_the_first_reading_stay_empty():
     s = Series(2)
     s.add(np.array([1, 2, 3]), np.array([np.nan, 4.0, 6.0]))
     assert s.close(4) == [(1, None, 0, None, None), (2, 4.0, 1, 4.0, None), (3, 6.0, 1, 6.0, 5.0)]
+
+
+def test_runs_do_not_hang_on_arrival(spark, tmp_path):
+    rows, got = _readings(400, 3), []
+    for name, part in (("arrived", rows), ("sorted", rows.sort_values(["ts", "value"]).reset_index(drop=True))):
+        path = str(tmp_path / name)
+        _written(spark, part, path, 5)
+        stream = settled_run_alerts(A.read_stream(spark, path, SCHEMA, max_files_per_trigger=1), "k", threshold=0.2, run=2, watermark="3 hours")
+        A.start(stream, f"runs_{name}", trigger_once=True).awaitTermination(180)
+        got.append(sorted((r.key, r.ts, str(r.value), r.run, r.alert) for r in spark.table(f"runs_{name}").collect()))
+    mark, want = rows["ts"].max() - pd.Timedelta("3 hours"), []
+    for k, g in rows[rows["ts"] < mark].sort_values(["ts", "value"]).groupby("k"):
+        length = 0
+        for t, v in zip(g["ts"], g["value"]):
+            length = length + 1 if v > 0.2 else 0
+            want.append((k, t.to_pydatetime(), "None" if np.isnan(v) else str(v), length, int(length >= 2)))
+    assert got[0] == got[1] == sorted(want) and len(want) > 200
