@@ -122,7 +122,7 @@ def _keys(marked: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             out = []
             for cls, n, held in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "held"))):
                 mini = np.zeros(RETAINED, "<u2")
@@ -151,11 +151,11 @@ def _overlapping(n: list[np.ndarray], mini: list[np.ndarray], per_cent: int) ->
     out = 100 * small.astype(np.int64) >= per_cent * large.astype(np.int64)
     at = np.flatnonzero(out)
     need = np.minimum(max(1, OVERLAP + (per_cent - 80) // 5), -(-per_cent * large[at].astype(np.int64) // 100))
-    for i in range(0, len(at), 20_000):
-        part = at[i:i + 20_000]
+    for i in range(0, len(at), 4_000):
+        part = at[i:i + 4_000]
         held = [np.arange(RETAINED) < x[part, None] for x in n]
         same = (mini[0][part][:, :, None] == mini[1][part][:, None, :]) & held[0][:, :, None] & held[1][:, None, :]
-        out[part] = same.any(axis=2).sum(axis=1) >= need[i:i + 20_000]
+        out[part] = same.any(axis=2).sum(axis=1) >= need[i:i + 4_000]
     return out
 
 
@@ -168,14 +168,13 @@ def _all_pairs(lists: DataFrame, per_cent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            held = batch.column("held")
+        for held in (b.column("held").slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ends, members = held.offsets.to_numpy() - held.offsets[0].as_py(), held.flatten()
             cls, n, mini = (members.field(c) for c in ("cls", "n", "mini"))
             n, mini, size = n.to_numpy(), _minis(mini), np.diff(ends)
             for m in np.unique(size).tolist():
                 starts, (i, j) = ends[:-1][size == m], np.triu_indices(m, 1)
-                step = max(1, 200_000 // len(i))
+                step = max(1, 40_000 // len(i))
                 for k in range(0, len(starts), step):
                     base = starts[k:k + step, None]
                     x, y = (base + i).ravel(), (base + j).ravel()
