@@ -62,7 +62,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
-# Raw layout of the hourly air-quality CSV the dashboard reads.
+# --- fixed values: columns of the hourly air-quality CSV the dashboard reads ---
 AIR_QUALITY_SCHEMA = T.StructType(
     [T.StructField("Date", T.StringType()), T.StructField("Time", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in (

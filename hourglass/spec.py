@@ -38,7 +38,7 @@ class SeriesSpec:
         return df.select([col_of(c) for c in cols if c in df.columns])
 
 
-# The air-quality table the dashboard reads.
+# --- fixed values: column names of the air-quality table the dashboard reads ---
 AIR_QUALITY = SeriesSpec(
     ts="Datetime",
     targets=("CO(GT)", "C6H6(GT)", "NOx(GT)", "NO2(GT)"),
