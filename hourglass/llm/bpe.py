@@ -6,7 +6,8 @@ rewrites all its positions and adds the pairs that appear to their lists.  Ranks
 whole block give every pre-token the same merges as the usual loop on it alone.
 
 Rows are mapped in place: no shuffle, so hot sources and copies make no difference.  Defined results: null and empty
-texts have no ids and decode to the empty text; repeated rows are repeated; an empty table gives an empty result.
+texts have no ids and decode to the empty text; very long texts are encoded whole; repeated rows are repeated; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

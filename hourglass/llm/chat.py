@@ -8,8 +8,9 @@ derived by prefix sums of segment and turn lengths.
 
 Turns are encoded row by row before any shuffle; a conversation's rows then meet in order and are folded one by one, so
 a very long conversation is never held whole.  Defined results: null roles and texts read as empty, a null conv_id is
-one conversation, turns are ordered by turn (nulls first), then role and text; repeated rows are repeated turns; an
-empty table gives an empty result.
+one conversation, turns are ordered by turn (nulls first), then role and text; repeated rows are repeated turns; very long
+texts are whole; other columns are ignored; an empty table gives an empty result.  The order of turns and the digest over them
+put one conversation into one task.
 """
 
 from __future__ import annotations

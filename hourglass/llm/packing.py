@@ -13,7 +13,8 @@ a bin and an offset by a search in the list of moves.  A run of gaps is used up
 so the moves are at most about 3 * capacity * log2(capacity): a size that does not grow with the table.
 
 Defined results: a null or empty text is one piece with the end id alone; ties within a class are dealt by rank; repeated
-rows are packed each on its own; an empty table packs nothing.
+rows are packed each on its own; very long texts are cut into pieces of the capacity; other columns are ignored; an empty table
+packs nothing.
 """
 
 from __future__ import annotations

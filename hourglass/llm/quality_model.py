@@ -7,7 +7,8 @@ pass without a shuffle.  Inputs of a score are statistics of the text alone.
 
 Defined results: a null or empty text has all statistics zero and is scored like any other; labels that are null are
 left out, repeated labels of a document are averaged (1 from one half on); without labels of both kinds the score
-is their smoothed share (0.5 with no label); repeated rows are scored alike; an empty table gives an empty result.
+is their smoothed share (0.5 with no label); repeated rows are scored alike; very long texts are read whole; other
+columns are ignored when scoring and carried by :func:`keep_good`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

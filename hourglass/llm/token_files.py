@@ -14,7 +14,8 @@ leaves one whole file.
 
 Documents are range-partitioned by id (ties split by the text's hash), so no key gathers in one task; each partition is one
 file, and the files in order hold the ids in ascending doc_id order.  Defined results: null ids come first, a null
-text reads as empty, repeated rows are kept, an empty table makes no files and no rows.
+text reads as empty, a very long text is one frame, repeated rows are kept (rows equal in id and text stay in one file), other columns
+are ignored, an empty table makes no files and no rows.
 """
 
 from __future__ import annotations
