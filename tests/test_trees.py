@@ -135,3 +135,39 @@ def test_forest_does_not_hang_on_partitions_and_survives_saving(spark, tmp_path)
 def test_bootstrap_draws_about_each_row_once():
     w = trees.bootstrap(np.arange(200_000), 3, 42)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+
+
+def test_sets_grown_together_are_the_trees_grown_alone():
+    x, y = _table("classes", 600, 5)
+    w, place = np.random.default_rng(6).integers(1, 4, len(y)).astype(float), np.random.default_rng(7).integers(0, 3, len(y))
+    y[place == 1] = 1.0                                                   # a pure set among the others
+    found = trees.grow_all(x, y, w, place, [3, 4, 5], tried=2)
+    for i, g in enumerate(found):
+        r = place == i
+        alone = trees.grow(x[r], y[r], w[r], tried=2, seed=3 + i)
+        assert (g.feature, g.threshold, g.left, g.right) == (alone.feature, alone.threshold, alone.left, alone.right)
+        assert g.value == pytest.approx(alone.value) and g.rows == alone.rows and g.gain == pytest.approx(alone.gain)
+
+
+def test_cells_of_many_nodes_are_summed_without_a_pass_for_each(spark):
+    """A level of upper nodes: the work of a task hangs on its rows, not on rows x nodes."""
+    r = np.random.default_rng(8)
+    x, y = np.round(r.normal(size=(500, 3)), 1), r.integers(0, 2, 500).astype(float)
+    forest, tree = trees.GrownForest("abc", keys=["id"], n_trees=1, sampled=False, bins=4), trees.Nodes()
+    level = tree.split_all(np.array([0]), np.array([0]), np.array([0.0]), np.array([1.0]))
+    level = tree.split_all(level, np.array([1, 2]), np.array([0.0, 0.3]), np.array([1.0, 1.0])).tolist()
+    edges, own = [np.array([-0.5, 0.0, 0.5])] * 3, {(0, level[1]): [(-3.0, 3.0)] * 3}
+    rows = trees._learned(_frame(spark, x, y), "abc", "label", ["id"])
+    got = {(c["node"], c["feature"], c["bin"]): (c["n"], c["s"], c["x_low"], c["x_high"], c["low"], c["high"])
+           for c in forest._cells(rows, {0: tree}, {0: level}, edges, own).collect()}
+    at, want = trees.descend(x, *tree.arrays()), {}
+    for node in level:
+        for f in range(3):
+            v, t = x[at == node, f], y[at == node]
+            code = np.minimum((4 * ((v + 3) / 6)).astype(int), 3) if node == level[1] else np.searchsorted(edges[f], v)
+            for b in np.unique(code):
+                k = code == b
+                want[node, f, b] = (k.sum(), t[k].sum(), v[k].min(), v[k].max(), t[k].min(), t[k].max())
+    assert got == want
+    cells = trees._cell_sums(np.array([7, 2, 7]), 1 << 40, np.array([1.0, 2.0, 1.0]), np.array([1.0, 2.0, 3.0]), np.array([0.0, 1.0, 1.0]))
+    assert [c.tolist() for c in cells] == [[2, 7], [2.0, 2.0], [2.0, 1.0], [2.0, 3.0], [1.0, 0.0], [1.0, 1.0]]
