@@ -170,4 +170,4 @@ def test_cells_of_many_nodes_are_summed_without_a_pass_for_each(spark):
                 want[node, f, b] = (k.sum(), t[k].sum(), v[k].min(), v[k].max(), t[k].min(), t[k].max())
     assert got == want
     cells = trees._cell_sums(np.array([7, 2, 7]), 1 << 40, np.array([1.0, 2.0, 1.0]), np.array([1.0, 2.0, 3.0]), np.array([0.0, 1.0, 1.0]))
-    assert [c.tolist() for c in cells] == [[2, 7], [2.0, 2.0], [2.0, 1.0], [2.0, 3.0], [1.0, 0.0], [1.0, 1.0]]
+    assert [c.tolist() for c in cells] == [[2, 7], [2.0, 2.0], [2.0, 1.0], [2.0, 1.0], [2.0, 3.0], [1.0, 0.0], [1.0, 1.0]]
