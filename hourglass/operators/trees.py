@@ -40,7 +40,7 @@ BINS = 64                    # of an upper node's histogram
 SAMPLE = 20_000              # rows whose quantiles are the first bin edges
 TREES_AT_ONCE = 25           # trees that share the passes of the upper levels
 ASK_ROWS = 50_000            # rows scored with one node's arrays in one task
-RANGES = 2048                # of the attribute lists at most: bounds what the driver sees
+RANGES = 200                 # of the attribute lists at most: bounds what the driver sees; up to 200, Spark's writers hold no entries in memory
 RANGE_ROWS = 1 << 18         # entries of a range before there are RANGES
 SCAN_ROWS = 1 << 17          # rows whose cells a task sums at once
 

@@ -171,3 +171,10 @@ def test_cells_of_many_nodes_are_summed_without_a_pass_for_each(spark):
     assert got == want
     cells = trees._cell_sums(np.array([7, 2, 7]), 1 << 40, np.array([1.0, 2.0, 1.0]), np.array([1.0, 2.0, 3.0]), np.array([0.0, 1.0, 1.0]))
     assert [c.tolist() for c in cells] == [[2, 7], [2.0, 2.0], [2.0, 1.0], [2.0, 1.0], [2.0, 3.0], [1.0, 0.0], [1.0, 1.0]]
+
+
+def test_attribute_lists_are_cut_into_no_more_ranges_than_writers_keep_off_memory(spark):
+    rows = spark.createDataFrame([(float(i), float(i % 7), float(i % 3)) for i in range(150)], "a double, b double, label double")
+    tree = trees.ExactTree(["a", "b"], range_rows=1)
+    lists = tree._lists(trees._learned(rows, tree.inputs, "label"))
+    assert lists.rdd.getNumPartitions() == 200 and lists.count() == 300
