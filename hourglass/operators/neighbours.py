@@ -6,15 +6,17 @@ A join of asked points with indexed points that never compares all with all:
    asked once.  So a value that a third of the rows share costs one comparison, not its square.
 2. A bounded sample gives the pivots; every indexed point lies in the cell of its nearest pivot and carries its distance to it.
    Cells of more than ``CELL_ROWS`` points are split by a second set of pivots, drawn inside the cell.
+   Near cells make up a group of ``GROUP`` times that, a large cell is its own.
 3. An asked point first meets the inner cell it would lie in.  The k-th distance there is its reach; without k points there,
    the reach comes from the cells' radii.
-4. It then goes to those cells alone that the triangle inequality cannot rule out: a cell is out if its whole ring of
+4. It then meets those cells alone that the triangle inequality cannot rule out: a cell is out if its whole ring of
    radii lies farther off than the reach, or the plane between its pivot and the nearest pivot does.  Inner cells are judged the same way.
+   It is sent once to a group with such cells, not once to each: where no cell can be ruled out, all asked points go to all cells.
 5. Blocks of points meet blocks of asked points; matrix products pick candidates within the reach, their distances are then
    summed column by column, so equal differences give equal distances.  The k best of each block are merged.
 
 Only the first pivots (``PIVOTS`` at most) and one row of figures a first cell are sent to every task; inner pivots travel
-with their cell.  No group of a task holds more than about ``CELL_ROWS`` points and ``ASK_ROWS`` asked points.
+with their cell.  No task holds more than about ``GROUP * CELL_ROWS`` points and ``ASK_ROWS`` asked points at once.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -37,7 +40,8 @@ from .saved import TableModel
 
 PIVOTS = 1024                # first pivots at most
 INNER = 64                   # pivots inside a large cell at most
-CELL_ROWS, ASK_ROWS = 4096, 2048
+CELL_ROWS, ASK_ROWS = 4096, 8192
+GROUP = 8                    # times CELL_ROWS: points of the cells that a task takes at once
 SEED = 42
 
 
@@ -67,11 +71,12 @@ def _slack(reach: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def cells_in_reach(to_pivot: np.ndarray, reach: np.ndarray, low: np.ndarray, high: np.ndarray, between: np.ndarray,
-                   home: np.ndarray) -> np.ndarray:
-    """Asked points by cells: True where the triangle inequality cannot rule the cell out."""
-    d, r = to_pivot, _slack(reach, to_pivot.max(axis=1, initial=0))[:, None]
+                   home: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Asked points by cells: True where the triangle inequality cannot rule the cell out.  ``own``: distance to the home pivot
+    if that is not among the cells."""
+    d, own = to_pivot, (to_pivot[np.arange(len(to_pivot)), home] if own is None else own)[:, None]
+    r = _slack(reach, np.maximum(d.max(axis=1, initial=0), own[:, 0]))[:, None]
     near = (d - high <= r) & (low - d <= r)
-    own = d[np.arange(len(d)), home][:, None]
     gap = 2 * between[home]
     # distance to the plane between the two pivots, for cells whose pivot is another point
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -101,9 +106,16 @@ class Pivots:
         return np.where(held[:, -1] >= k, reach, np.inf)
 
 
-def nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, at_once: int = 64):
+def _k_best(i: np.ndarray, ids: np.ndarray, d2: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` smallest distances (then ids) of each ``i``, in that order."""
+    order = np.lexsort((ids, d2, i))
+    return order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < k]
+
+
+def nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, at_once: int | None = None):
     """The ``k`` nearest rows of ``x`` within each asked point's reach: positions in q and x, squared distances."""
     out_q, out_x, out_d = [], [], []
+    at_once = at_once or max(64, (1 << 18) // max(len(x), 1))
     square = (x * x).sum(axis=1)
     for at in range(0, len(q), at_once):
         part, limit = q[at:at + at_once], reach[at:at + at_once]
@@ -117,10 +129,7 @@ def nearest_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray,
         exact = np.zeros(len(i))
         for c in range(x.shape[1]):
             exact += (part[i, c] - x[j, c]) ** 2
-        order = np.lexsort((ids[j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        best = rank < k
+        best = _k_best(i, ids[j], exact, k)
         out_q.append(i[best] + at)
         out_x.append(j[best])
         out_d.append(exact[best])
@@ -173,6 +182,21 @@ class PivotIndex:
         if (counts > cell_rows).any():
             self._split(rows.join(F.broadcast(blocks), "cell"), seed)
         self.rows, self.inner = materialise(self.rows), materialise(self.inner)
+        self.group()
+
+    def group(self) -> None:
+        """Numbers the groups: a large cell alone, others with the free cells nearest to the first free one."""
+        rows, most = self.pivots.rows, GROUP * self.cell_rows
+        groups, free = np.full(len(rows), -1), (rows > 0) & (rows <= self.cell_rows)
+        large = np.flatnonzero(rows > self.cell_rows)
+        groups[large], n = np.arange(len(large)), len(large)
+        while free.any():
+            near = np.argsort(np.where(free, self.pivots.between[free.argmax()], np.inf), kind="stable")[:free.sum()]
+            near = near[np.cumsum(rows[near]) <= most]
+            groups[near], free[near], n = n, False, n + 1
+        self.groups = groups
+        self.blocks = self.spark.createDataFrame([(int(c), int(groups[c]), int(-(-rows[c] // most))) for c in np.flatnonzero(rows)],
+                                                 "cell int, group int, row_blocks int")
 
     def _split(self, large: DataFrame, seed: int) -> None:
         """Points of large cells go to inner pivots."""
@@ -201,9 +225,9 @@ class PivotIndex:
         self.inner = self.inner.unionByName(inner.drop("blocks").join(figures, ["cell", "sub"]))
 
     # ------------------------------------------------------------ routing
-    def _first_cells(self, asked: DataFrame, home_only: bool) -> DataFrame:
-        """``ask, x, reach`` to the first cells in reach; without a reach yet, to the home cell."""
-        pivots, k = self.pivots, self.k
+    def _routed(self, asked: DataFrame, home_only: bool) -> DataFrame:
+        """``ask, x, reach, home`` to the groups with first cells in reach; without a reach yet, to the home cell's group."""
+        pivots, groups, k = self.pivots, self.groups, self.k
 
         def route(batches):
             for b in batches:
@@ -215,61 +239,82 @@ class PivotIndex:
                 reach = b.column("reach").to_numpy(zero_copy_only=False)
                 reach = np.minimum(reach, pivots.first_reach(d, k))
                 if home_only:
-                    i, cell = np.arange(len(q)), home
-                else:
-                    i, cell = np.nonzero(cells_in_reach(d, reach, pivots.low, pivots.high, pivots.between, home) & (pivots.rows > 0))
-                yield pa.RecordBatch.from_arrays([b.column("ask").take(pa.array(i)), _lists(q[i]), pa.array(reach[i]), pa.array(cell.astype(np.int32))],
-                                                 names=["ask", "x", "reach", "cell"])
-
-        return asked.mapInArrow(route, "ask long, x array<double>, reach double, cell int")
-
-    def routed(self, asked: DataFrame, home_only: bool) -> DataFrame:
-        """``ask, x, reach`` to inner cells: ``cell, sub, n`` (points there)."""
-        first = materialise(self._first_cells(asked, home_only))
-        sizes = first.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("blocks"))      # a row a pivot
-        left = first.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("ask"), F.col("blocks")).cast("int"))
-        right = self.inner.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        schema = "ask long, x array<double>, reach double, cell int, sub int, n long"
-
-        def choose(asks: pa.Table, cells: pa.Table) -> pa.Table:
-            q, p = _points(asks), _points(cells, "pivot")
-            if not len(q) or not len(p):
-                i, j = np.zeros(0, int), np.zeros(0, int)
-            else:
-                d = distances(q, p)
-                home = d.argmin(axis=1)
-                if home_only:
-                    i, j = np.arange(len(q)), home
+                    i, group = np.arange(len(q)), groups[home]
                 else:
-                    low, high = (cells.column(c).to_numpy() for c in ("low", "high"))
-                    i, j = np.nonzero(cells_in_reach(d, asks.column("reach").to_numpy(), low, high, distances(p, p), home))
-            take = asks.select(["ask", "x", "reach"]).take(pa.array(i))
-            cells = cells.select(["cell", "sub", "n"]).take(pa.array(j))
-            return pa.table([*take.columns, *cells.columns], names=["ask", "x", "reach", "cell", "sub", "n"])
-
-        return materialise(cogrouped(left, right, ["cell", "block"], choose, schema))
-
-    def _met(self, routed: DataFrame) -> DataFrame:
-        """Blocks of points with blocks of asked points: ``ask, id, label, d2`` of each block's k best."""
-        k = self.k
-        sizes = routed.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("ask_blocks"),
-                                                  F.ceil(F.max("n") / (2 * self.cell_rows)).cast("int").alias("row_blocks"))
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+                    near = cells_in_reach(d, reach, pivots.low, pivots.high, pivots.between, home)
+                    hit = np.zeros((len(q), groups.max() + 1), bool)
+                    for cell in np.flatnonzero(pivots.rows):
+                        hit[:, groups[cell]] |= near[:, cell]
+                    i, group = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([b.column("ask").take(pa.array(i)), _lists(q[i]), pa.array(reach[i]), pa.array(home[i].astype(np.int32)),
+                                                  pa.array(group.astype(np.int32))], names=["ask", "x", "reach", "home", "group"])
+
+        return materialise(asked.mapInArrow(route, "ask long, x array<double>, reach double, home int, group int"))
+
+    def _met(self, routed: DataFrame, home_only: bool) -> DataFrame:
+        """Blocks of a group's points with blocks of asked points: ``ask, id, label, d2`` of each block's k best in the inner cells
+        in reach (``home_only``: in the home cell, otherwise in all but that one), and a row of ``ask, n_cells, n_compared``."""
+        pivots, groups, k = self.pivots, self.groups, self.k
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        key = ["cell", "sub", "row_block", "ask_block"]
-        left = self.rows.join(sizes, ["cell", "sub"]).withColumn("row_block", deal("id", "row_blocks")).withColumn("ask_block", spread("ask_blocks"))
-        right = routed.join(sizes, ["cell", "sub"]).withColumn("ask_block", deal("ask", "ask_blocks")).withColumn("row_block", spread("row_blocks"))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        sizes = routed.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / ASK_ROWS).cast("int").alias("ask_blocks"))      # a row a group
+        cells = F.broadcast(self.blocks.join(sizes, "group"))
+        key, none = ["group", "row_block", "ask_block"], F.lit(None).cast("double")
+        points = self.rows.select("cell", "sub", "id", "x", "label", none.alias("low"), none.alias("high")).join(cells, "cell").withColumn(
+            "row_block", deal("id", "row_blocks"))
+        large = cells.where(F.col("cell").isin(np.flatnonzero(pivots.rows > self.cell_rows).tolist()))
+        inner = self.inner.select("cell", "sub", F.lit(None).cast("long").alias("id"), F.col("pivot").alias("x"), none.alias("label"), "low", "high")
+        inner = inner.join(F.broadcast(large), "cell").withColumn("row_block", spread("row_blocks"))
+        left = points.unionByName(inner).withColumn("ask_block", spread("ask_blocks"))
+        of_group = F.broadcast(self.blocks.groupBy("group").agg(F.max("row_blocks").alias("row_blocks")).join(sizes, "group"))
+        right = routed.join(of_group, "group").withColumn("ask_block", deal("ask", "ask_blocks")).withColumn("row_block", spread("row_blocks"))
+        schema = pa.schema([("ask", pa.int64()), ("id", pa.int64()), ("label", pa.float64()), ("d2", pa.float64()), ("n_cells", pa.int64()),
+                            ("n_compared", pa.int64())])
 
         def match(points: pa.Table, asks: pa.Table) -> pa.Table:
-            i, j, d2 = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-            if points.num_rows and asks.num_rows:
-                i, j, d2 = nearest_of(_points(points), points.column("id").to_numpy(), _points(asks), asks.column("reach").to_numpy(), k)
-            found = points.select(["id", "label"]).take(pa.array(j))
-            return pa.table([asks.column("ask").take(pa.array(i)), *found.columns, pa.array(d2)], names=["ask", "id", "label", "d2"])
-
-        pick = ["id", "x", "label"]
-        return cogrouped(left.select(*key, *pick), right.select(*key, "ask", "x", "reach"), key, match,
-                         "ask long, id long, label double, d2 double")
+            if not points.num_rows or not asks.num_rows:
+                return schema.empty_table()
+            q, reach, home = _points(asks), asks.column("reach").to_numpy(), asks.column("home").to_numpy()
+            pivot = points.filter(pc.is_valid(points.column("low"))).sort_by("sub")
+            points = points.filter(pc.is_null(points.column("low")))
+            if pivot.num_rows:                               # one large cell
+                p, code = _points(pivot, "x"), np.searchsorted(pivot.column("sub").to_numpy(), points.column("sub").to_numpy())
+                d = distances(q, p)
+                first = d.argmin(axis=1)
+                met = (np.arange(len(p)) == first[:, None]) & (home == pivot.column("cell")[0].as_py())[:, None]
+                near = met if home_only else cells_in_reach(d, reach, *(pivot.column(c).to_numpy() for c in ("low", "high")), distances(p, p), first)
+            else:
+                cells = np.flatnonzero(groups == asks.column("group")[0].as_py())
+                code = np.searchsorted(cells, points.column("cell").to_numpy())
+                met = home[:, None] == cells
+                if not home_only:
+                    own = np.sqrt(sum((q[:, c] - pivots.x[home, c]) ** 2 for c in range(q.shape[1])))
+                    near = cells_in_reach(distances(q, pivots.x[cells]), reach, pivots.low[cells], pivots.high[cells], pivots.between[:, cells], home, own)
+            use = met if home_only else near & ~met
+            x, ids, rows, found = _points(points), points.column("id").to_numpy(), np.argsort(code, kind="stable"), []
+            starts = np.searchsorted(code[rows], np.arange(use.shape[1] + 1))
+            for cell in np.flatnonzero(use.any(axis=0)):
+                of, own = np.flatnonzero(use[:, cell]), rows[starts[cell]:starts[cell + 1]]
+                if len(own):
+                    i, j, d2 = nearest_of(x[own], ids[own], q[of], reach[of], k)
+                    found.append((of[i], own[j], d2))
+            i, j, d2 = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            best = _k_best(i, ids[j], d2, k)
+            ask, named = asks.column("ask"), points.select(["id", "label"]).take(pa.array(j[best]))
+            empty = lambda n, t: pa.nulls(n, t)
+            n = len(best)
+            near = pa.table([ask.take(pa.array(i[best])), *named.columns, pa.array(d2[best]), empty(n, pa.int64()), empty(n, pa.int64())], schema=schema)
+            n_cells, n_compared = use.sum(axis=1), use @ np.diff(starts)
+            did = np.flatnonzero(n_cells)
+            if asks.column("row_block")[0].as_py():              # a cell cut into blocks counts once
+                n_cells = np.zeros_like(n_cells)
+            n = len(did)
+            work = pa.table([ask.take(pa.array(did)), empty(n, pa.int64()), empty(n, pa.float64()), empty(n, pa.float64()), pa.array(n_cells[did]),
+                             pa.array(n_compared[did])], schema=schema)
+            return pa.concat_tables([near, work])
+
+        return materialise(cogrouped(left.select(*key, "cell", "sub", "id", "x", "label", "low", "high"), right.select(*key, "ask", "x", "reach", "home"), key,
+                                     match, "ask long, id long, label double, d2 double, n_cells long, n_compared long"))
 
     def search(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         """For ``ask long, x array<double>`` (distinct points): neighbours ``ask, rank, id, label, distance``, and the work:
@@ -279,15 +324,15 @@ class PivotIndex:
                     self.spark.createDataFrame([], "ask long, n_cells long, n_compared long"))
         order = Window.partitionBy("ask").orderBy("d2", "id")
         top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
+        near_of = lambda met: met.where(F.col("n_cells").isNull()).select("ask", "id", "label", "d2")
         asked = materialise(asked.select("ask", "x", F.lit(float("inf")).alias("reach")))
-        home = self.routed(asked, True)
-        near = materialise(top(self._met(home)))
+        home = self._met(self._routed(asked, True), True)
+        near = materialise(top(near_of(home)))
         reach = near.where(F.col("rank") == self.k).select("ask", F.sqrt("d2").alias("reach"))
         asked = asked.drop("reach").join(reach, "ask", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        rest = self.routed(asked.select("ask", "x", "reach"), False)
-        rest = materialise(rest.join(home.select("ask", "cell", "sub"), ["ask", "cell", "sub"], "left_anti"))
-        found = top(near.drop("rank").unionByName(self._met(rest)))
-        work = home.unionByName(rest).groupBy("ask").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_compared"))
+        rest = self._met(self._routed(asked.select("ask", "x", "reach"), False), False)
+        found = top(near.drop("rank").unionByName(near_of(rest)))
+        work = home.unionByName(rest).where(F.col("n_cells").isNotNull()).groupBy("ask").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_compared").alias("n_compared"))
         return found.select("ask", "rank", "id", "label", F.sqrt("d2").alias("distance")), work
 
 
@@ -368,6 +413,7 @@ class NearestNeighboursModel(Model, TableModel):
         index.pivots = Pivots(**{c: np.array(v) for c, v in state["pivots"].items()})
         index.rows, index.inner = read("rows"), read("inner")
         index.spark, index.d = index.rows.sparkSession, index.pivots.x.shape[1]
+        index.group()
         return cls(state["inputs"], index)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from hourglass.operators import ml
-from hourglass.operators.neighbours import cells_in_reach, distances, nearest_neighbours, vote
+from hourglass.operators.neighbours import PivotIndex, cells_in_reach, distances, nearest_neighbours, vote
 
 SMALL = {"cell_rows": 40, "inner": 5, "pivots": 8}
 
@@ -107,3 +107,16 @@ def test_classifier_in_a_pipeline(spark):
     want = [labels[[i for i, _ in n]].mean() for n in _brute((x - mean) / std, (q - mean) / std)]
     assert [got[r["id"]][1] for r in test.orderBy("id").collect()] == pytest.approx(want)
     assert ml.fit_one("KNN", stages, train, test, "classification").metrics["accuracy"] > 0.9
+
+
+def test_where_no_cell_is_ruled_out_an_asked_point_is_sent_once_to_a_group(spark):
+    r = np.random.default_rng(7)
+    x, q = r.normal(size=(900, 40)), r.normal(size=(30, 40))
+    points = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(x)], "id long, x array<double>, label double")
+    asked = spark.createDataFrame([(i, v.tolist(), float("inf")) for i, v in enumerate(q)], "ask long, x array<double>, reach double")
+    index = PivotIndex(points, 7, cell_rows=100)
+    cells, groups = int((index.pivots.rows > 0).sum()), index.groups.max() + 1
+    assert groups <= 4 and cells > 20
+    assert index._routed(asked, False).count() <= len(q) * groups       # was a copy of the point for every cell
+    got, _ = _found(spark, x, q, cell_rows=100)
+    assert got == _brute(x, q)
