@@ -32,8 +32,9 @@ def _fitted(spark, sf_dir, kind):
     rows = read_table(spark, sf_dir, "part").withColumn("label", value)
     if kind == "classification":
         rows = rows.withColumn("label", (F.col("label") > medians(rows, ["label"])["label"]).cast("double"))
-    train, test = (d.persist() for d in ml.hash_split(rows, ["p_partkey"]))
-    n = train.count()
+    train, test = ml.hash_split(rows, ["p_partkey"])
+    train, n = ml.prepared(train)
+    test = test.persist()
     models = (ml.regressors(n, train.agg(F.stddev_pop("label")).first()[0], FEATURES, keys=["p_partkey"]) if kind == "regression"
               else ml.classifiers(n, FEATURES, keys=["p_partkey"]))
     results = ml.fit_all(models, ml.feature_stages(train, FEATURES), train, test, kind)
