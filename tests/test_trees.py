@@ -178,3 +178,40 @@ def test_attribute_lists_are_cut_into_no_more_ranges_than_writers_keep_off_memor
     tree = trees.ExactTree(["a", "b"], range_rows=1)
     lists = tree._lists(trees._learned(rows, tree.inputs, "label"))
     assert lists.rdd.getNumPartitions() == 200 and lists.count() == 300
+
+
+def test_rows_are_sorted_once_however_deep_the_tree(monkeypatch):
+    x = np.array([[float(i // 5), float(i % 3)] for i in range(400)])
+    y = np.array([4.0 ** (i // 5) for i in range(400)])                   # the largest are parted one after another: about 80 levels
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sizes.append(np.size(a)) or sort(a, *args, **kw))
+    tree = trees.grow(x, y, np.ones(400))
+    assert tree.depth() > 70 and sum(sizes) <= 2 * x.size + 2 * len(tree.feature)
+
+
+@pytest.mark.parametrize("branch_rows", [0, 32])
+def test_rows_are_routed_to_wanted_leaves_alone(monkeypatch, branch_rows):
+    monkeypatch.setattr(trees, "BRANCH_ROWS", branch_rows)
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(300, 3)), 1)
+    tree = trees.grow(x, r.random(300), np.ones(300), max_depth=5)
+    leaves = np.flatnonzero(np.array(tree.feature) < 0)
+    wanted = np.zeros(len(tree.feature), bool)
+    wanted[leaves[::3]] = True
+    own, at = np.arange(0, 300, 2), trees.descend(x, *tree.arrays())
+    rows, leaf = trees.routed(np.ascontiguousarray(x.T), own, tree.arrays(), wanted)
+    assert sorted(rows) == [i for i in own if wanted[at[i]]] and (at[rows] == leaf).all()
+    assert [len(v) for v in trees.routed(x.T, own, tree.arrays(), np.zeros(len(wanted), bool))] == [0, 0]
+    assert [len(v) for v in trees.routed(np.zeros((0, 0)), np.arange(0), tree.arrays(), wanted)] == [0, 0]
+
+
+def test_attribute_lists_reach_the_scans_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK", 200)
+    x, y = _table("regression", 300, 10)
+    tree = trees.ExactTree("abc", range_rows=100)
+    lists = tree._lists(trees._learned(_frame(spark, x, y).repartition(3), tree.inputs, "label")).persist()
+    blocks = trees._blocks(lists, 3).toArrow()
+    assert blocks.num_rows <= 900 // (200 // 3) + 2 * lists.rdd.getNumPartitions()
+    got = sorted((int(f), v, t, *p) for b in trees._entries(blocks.to_batches()) for f, v, t, p in zip(*b))
+    assert got == sorted((f, p[f], t, *p) for p, t in zip(x.tolist(), y.tolist()) for f in range(3))
+    lists.unpersist()
