@@ -1,5 +1,6 @@
 """Exact trees and grown forests against an exhaustive search."""
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -215,3 +216,31 @@ def test_attribute_lists_reach_the_scans_in_blocks(spark, monkeypatch):
     got = sorted((int(f), v, t, *p) for b in trees._entries(blocks.to_batches()) for f, v, t, p in zip(*b))
     assert got == sorted((f, p[f], t, *p) for p, t in zip(x.tolist(), y.tolist()) for f in range(3))
     lists.unpersist()
+
+
+def test_forest_rows_are_dealt_in_blocks(spark):
+    """A set of rows reaches its task as blocks of bytes, each set as a task of its own."""
+    x, y = _table("regression", 300, 11)
+    key, n, (ids, points) = trees._by_key(np.arange(300) % 3, np.arange(300), x)
+    assert key.tolist() == [0, 1, 2] and n.tolist() == [100] * 3
+    table = pa.table([ids, points], names=["id", "x"])
+    assert trees._unpacked(table, "id", np.int64).tolist() == [i for j in range(3) for i in range(j, 300, 3)]
+    assert (trees._unpacked(table, "x", float).reshape(300, 3) == np.concatenate([x[j::3] for j in range(3)])).all()
+    assert [len(v) for v in trees._by_key(np.zeros(0, np.int32), np.zeros(0), np.zeros((0, 3)))] == [0, 0, 2]
+    rows = trees._learned(_frame(spark, x, y), "abc", "label", ["id"])
+    alone = {t: trees.Nodes(rows=[300.0]) for t in range(40)}
+    parts = trees.GrownForest("abc", keys=["id"], n_trees=40, sampled=False)._finish(rows, alone, {t: [0] for t in alone})
+    assert parts.rdd.getNumPartitions() == 40 and sorted((r.tree, r.rows[0]) for r in parts.collect()) == [(t, 300.0) for t in range(40)]
+
+
+@pytest.mark.parametrize("tried", [None, 2])
+def test_sums_of_cells_and_of_ordered_rows_give_the_same_tree(monkeypatch, tried):
+    x, y = _table("regression", 600, 12)
+    x[:, 1], w = np.floor(3 * x[:, 1]), np.random.default_rng(13).integers(1, 4, 600).astype(float)
+    found = []
+    for cells in (0, 2, 1e9):                                             # ordered rows alone, both, cells alone
+        monkeypatch.setattr(trees, "CELLS_A_ROW", cells)
+        found.append(trees.grow(x, y, w, tried=tried, seed=5))
+    for g in found[1:]:
+        assert (g.feature, g.threshold, g.left, g.right, g.rows) == (found[0].feature, found[0].threshold, found[0].left, found[0].right, found[0].rows)
+        assert g.value == pytest.approx(found[0].value) and g.gain == pytest.approx(found[0].gain)
